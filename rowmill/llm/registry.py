@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operator modules."""
 
-from . import mixing, topk, unit_dedup
+from . import licenses, mixing, token_files, topk, unit_dedup
 
-_MODULES = (mixing, topk, unit_dedup)
+_MODULES = (mixing, topk, licenses, token_files, unit_dedup)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
