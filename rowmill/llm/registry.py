@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operator modules."""
 
-from . import decontaminate, html_text, licenses, mixing, token_files, topk, toxicity, unit_dedup
+from . import decontaminate, html_text, licenses, mixing, ngram_join, token_files, topk, toxicity, unit_dedup
 
-_MODULES = (decontaminate, mixing, html_text, topk, licenses, toxicity, token_files, unit_dedup)
+_MODULES = (decontaminate, ngram_join, mixing, html_text, topk, licenses, toxicity, token_files, unit_dedup)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
