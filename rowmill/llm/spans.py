@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
-
 #: One 64-bit key for a row's id and text. Rows equal in both share it, and share their result.
 ROW_KEY = "k bigint"
 
@@ -29,6 +27,26 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+PACKED = "doc_id bigint, k bigint, n_bytes bigint, z binary"
+
+
+def _pack(batches):
+    for batch in batches:
+        raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        z = [pa.compress(r, codec="zstd", asbytes=True) if r else b"" for r in raw]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(map(len, raw), pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "k", "n_bytes", "z"])
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """PACKED rows of docs (doc_id, k, text): texts compressed before they are shuffled."""
+    return docs.select("doc_id", "k", "text").mapInArrow(_pack, PACKED)
+
+
+def unpack(batch: pa.RecordBatch, i: int) -> bytes:
+    n = batch.column("n_bytes")[i].as_py()
+    return pa.decompress(batch.column("z")[i].as_py(), n, codec="zstd", asbytes=True) if n else b""
+
+
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 CUT_COLUMNS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, starts array<bigint>, ends array<bigint>"
 
@@ -36,11 +54,11 @@ CUT_COLUMNS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint,
 def _cut(with_text: bool):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            ids = batch.column("doc_id").to_pylist()
             starts, ends = batch.column("starts"), batch.column("ends")
             rows = {n: [] for n in _CUT.names}
             for i, d in enumerate(ids):
-                raw = (texts[i].as_py() or "").encode()
+                raw = unpack(batch, i)
                 spans = merged(zip(starts[i].as_py() or (), ends[i].as_py() or ()))
                 at, parts = 0, []
                 for a, b in spans:
@@ -55,10 +73,10 @@ def _cut(with_text: bool):
     return run
 
 
-def cut(docs: DataFrame, spans: DataFrame, n_spans: int, with_text: bool = True) -> DataFrame:
+def cut(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
     """CUT_COLUMNS of each row of docs (doc_id, text); spans (k, starts, ends) lists the byte spans to remove by row key.
 
-    The span table is broadcast where its counted spans fit the bound; otherwise both sides shuffle.
+    Texts are joined to their spans by key, which shuffles each text once.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("k"))
-    return keyed.join(small(spans, n_spans, 48), "k", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cut(with_text), CUT_COLUMNS)
+    return pack(keyed).join(spans, "k", "left").select("doc_id", "n_bytes", "z", "starts", "ends").mapInArrow(_cut(with_text), CUT_COLUMNS)
