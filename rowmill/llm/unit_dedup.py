@@ -23,7 +23,6 @@ from .common import Scratch
 from .spans import cut, row_key
 
 MIN_WORDS = 8
-_SENTENCE = re.compile(rb"[^.!?]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|$)")
 _END = re.compile(rb"(?<=[.!?])\s+")
 
 
@@ -44,8 +43,11 @@ def units(raw: bytes, min_words: int):
         at += len(line) + 1
 
 
-def _units(min_words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+
+
+def _units(min_words: int, digests_only: bool):
+    """Places and digests of all units, or for the count their first digest halves alone."""
 
     def run(batches):
         for batch in batches:
@@ -60,7 +62,12 @@ def _units(min_words: int):
                         ends.append(b)
                         digests.append(h)
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], schema=schema)
+                if digests_only:
+                    values, n = np.unique(h[:, 0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["d1", "n"])
+                else:
+                    columns = [ids, keys, starts, ends, h[:, 0].copy(), h[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES)], schema=_PLACES)
 
     return run
 
@@ -68,19 +75,20 @@ def _units(min_words: int):
 def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = True) -> DataFrame:
     """CUT_COLUMNS of every row: what is left of it, and the removed byte spans.
 
-    Digests are grouped with a partial minimum in each task, so a unit that half of all documents share costs one row a
-    task; only digests that occur twice go into the join back, which Spark may split where one of them is hot.
+    Half digests are counted first, 8 bytes a unit with partial sums in each task. Only units whose half digest occurs twice
+    are placed; the earliest place of each whole digest is a partial minimum as well, so a unit that half of all documents
+    share costs one row a task. The joins are on digests, and Spark may split the side where one of them is hot.
     """
     scratch = Scratch(docs.sparkSession, "units")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    all_units = scratch.settle(keyed.mapInArrow(_units(min_words), "doc_id long, k long, start long, end long, d1 long, d2 long"))
+    counts = keyed.mapInArrow(_units(min_words, True), "d1 long, n long").groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1")
+    places = keyed.mapInArrow(_units(min_words, False), "doc_id long, k long, start int, end int, d1 long, d2 long")
+    places = scratch.settle(places.join(counts, "d1"))
     place = F.struct("doc_id", "k", "start")
-    first = all_units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
-    again = all_units.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "k", "start").eqNullSafe(F.col("first"))).select("k", "start", "end").distinct()
-    spans = scratch.settle(again.groupBy("k").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
-    n = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-    scratch.drop(all_units)
-    return cut(docs, spans, n, with_text)
+    first = places.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
+    again = places.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "k", "start").eqNullSafe(F.col("first"))).select("k", "start", "end").distinct()
+    spans = again.groupBy("k").agg(F.collect_list(F.col("start").cast("long")).alias("starts"), F.collect_list(F.col("end").cast("long")).alias("ends"))
+    return cut(docs, spans, with_text)
 
 
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
