@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .spans import row_key
 
 K, SLACK, ENOUGH = 3, 4, 0.6
@@ -44,14 +45,18 @@ def lowered(text: Column) -> Column:
     return F.when(text.rlike("[\u212A\u0130]"), exact).otherwise(F.lower(text))
 
 
+def _grams(w: Column, n: Column) -> Column:
+    """The K-grams of an array of n words, in order."""
+    return F.arrays_zip(*[F.slice(w, F.lit(i + 1), n - (K - 1)).alias(f"t{i + 1}") for i in range(K)])
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """(label, base, n_grams, tpos, t1, t2, t3, gram)"""
-    rows = []
-    for base, entries in ((True, {v: k for k, v in BASE.items()}), (False, NOTICES)):
-        for label, text in entries.items():
-            w = text.split()
-            rows += [(label, base, len(w) - K + 1, i, *w[i : i + K]) for i in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "label string, base boolean, n_grams int, tpos int, t1 string, t2 string, t3 string").withColumn("gram", F.xxhash64("t1", "t2", "t3"))
+    rows = [f"('{label}', true, '{text}')" for text, label in BASE.items()] + [f"('{label}', false, '{text}')" for label, text in NOTICES.items()]
+    t = spark.sql(f"select label, base, split(text, ' ') as w from values {', '.join(rows)} as t(label, base, text)")
+    n = F.size("w")
+    t = t.select("label", "base", (n - (K - 1)).alias("n_grams"), F.posexplode(_grams(F.col("w"), n)).alias("tpos", "g"))
+    return t.select("label", "base", "n_grams", "tpos", "g.*").withColumn("gram", F.xxhash64("t1", "t2", "t3"))
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -59,15 +64,16 @@ def votes(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(lowered(F.col("text")), SEPARATOR), "")
     w = docs.select("k", words.alias("w")).where(F.size("w") >= K)
     n = F.size("w")
-    grams = w.select("k", F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), n - 2).alias("a"), F.slice("w", F.lit(2), n - 2).alias("b"), F.slice("w", F.lit(3), n - 2).alias("c"))).alias("pos", "g"))
-    grams = grams.select("k", "pos", "g.a", "g.b", "g.c").withColumn("gram", F.xxhash64("a", "b", "c"))
+    grams = w.select("k", F.posexplode(_grams(F.col("w"), n)).alias("pos", "g"))
+    grams = grams.select("k", "pos", F.col("g.t1").alias("a"), F.col("g.t2").alias("b"), F.col("g.t3").alias("c")).withColumn("gram", F.xxhash64("a", "b", "c"))
     hit = grams.join(F.broadcast(templates(docs.sparkSession)), "gram").where("a = t1 and b = t2 and c = t3")
     return hit.select("k", "label", "base", "n_grams", "tpos", "pos").distinct()
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(k, label, base, first, last, score): verified spans in words, for docs with a row key k."""
-    line = votes(docs).groupBy("k", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi"))
+    cast = Scratch(docs.sparkSession, "licenses").settle(votes(docs))  # read twice below; the texts are split once
+    line = cast.groupBy("k", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi"))
     whole = line.where(F.col("base") & (F.col("n") == F.col("n_grams"))).select("k", "label", "base", F.col("lo").alias("first"), F.col("hi").alias("last"), F.lit(1.0).alias("score"))
     near = Window.partitionBy("k", "label").orderBy("diag")
     new = (F.col("diag") - F.lag("diag").over(near) > SLACK) | F.lag("diag").over(near).isNull()
