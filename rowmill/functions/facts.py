@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .money import trim_zeros
-from .text import blank, c
+from .text import blank, c, let
 
 # Patterns of stated facts.
 EMPLOYEES = [
@@ -59,15 +59,13 @@ def _clean(x) -> Column:
 
 
 def fmt_employees(x) -> Column:
-    n = _clean(x)
-    return F.when(n >= 1000, F.concat(F.translate(trim_zeros(F.format_string("%.1f", F.bround(n / 1000, 1))), ".", ","), F.lit(" тыс."))).otherwise(F.bround(n, 0).cast("long").cast("string"))
+    return let(_clean(x), lambda n: F.when(n >= 1000, F.concat(F.translate(trim_zeros(F.format_string("%.1f", F.bround(n / 1000, 1))), ".", ","), F.lit(" тыс."))).otherwise(F.bround(n, 0).cast("long").cast("string")))
 
 
 def fmt_revenue(x) -> Column:
     """Billions with one decimal; more than a million counts as roubles."""
-    n = _clean(x)
-    t = F.format_string("%.1f", F.when(n > 1e6, n / 1e9).otherwise(n))
-    return F.concat(F.translate(F.replace(t, F.lit(".0"), F.lit("")), ".", ","), F.lit(" млрд руб."))
+    words = lambda n: F.concat(F.translate(F.replace(F.format_string("%.1f", F.when(n > 1e6, n / 1e9).otherwise(n)), F.lit(".0"), F.lit("")), ".", ","), F.lit(" млрд руб."))
+    return let(_clean(x), lambda n: F.when(n.isNotNull(), words(n)))
 
 
 def is_budget_org(*names) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c
+from .text import c, let
 
 
 def _finite(x: Column) -> Column:
@@ -20,11 +20,13 @@ def to_double(x) -> Column:
 
 def money(x) -> Column:
     """A sum: of comma and point, the later one is the decimal sign."""
-    t = F.regexp_replace(c(x).cast("string"), r"[^0-9,.\-]", "")
-    comma, point = F.length(t) - F.instr(F.reverse(t), ","), F.length(t) - F.instr(F.reverse(t), ".")
-    both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
-    t = F.when(both & (comma > point), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    return _finite(t.try_cast("double"))
+
+    def plain(t: Column) -> Column:
+        comma, point = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
+        later = F.when((comma > 0) & (point > 0) & (comma > point), F.replace(t, F.lit(","), F.lit(""))).when((comma > 0) & (point > 0), F.translate(F.replace(t, F.lit("."), F.lit("")), ",", "."))
+        return _finite(F.coalesce(later, F.translate(t, ",", ".")).try_cast("double"))
+
+    return let(F.regexp_replace(c(x).cast("string"), r"[^0-9,.\-]", ""), plain)
 
 
 #: Marks of a unit in a header or value, in order of precedence, and what they multiply by.
@@ -32,25 +34,22 @@ UNITS = {"billion_rub": (("млрд", "миллиард"), 1e9), "million_rub":
 
 
 def money_unit(x) -> Column:
-    low = F.lower(F.coalesce(c(x).cast("string"), F.lit("")))
-    out = F.lit("unknown")
-    for unit in reversed(UNITS):
-        hit = F.lit(False)
-        for mark in UNITS[unit][0]:
-            hit = hit | low.contains(mark)
-        out = F.when(hit, unit).otherwise(out)
-    return out
+    marks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(u).alias("u")) for u, (ms, _) in UNITS.items() for m in ms])
+    return let(F.lower(F.coalesce(c(x).cast("string"), F.lit(""))), lambda low: F.coalesce(F.get(F.filter(marks, lambda k: low.contains(k["m"])), F.lit(0))["u"], F.lit("unknown")))
 
 
 def money_to_unit(x, hint=None) -> Column:
     """struct<rub, unit>: by the unit in the value, else in the header, else by size: up to a million counts as billions."""
-    own, value = money_unit(x), money(x)
-    unit = own if hint is None else F.when(own != "unknown", own).otherwise(money_unit(hint))
-    factor = F.lit(None).cast("double")
-    for name in UNITS:
-        factor = F.when(unit == name, UNITS[name][1]).otherwise(factor)
-    guess = F.when(value > 1e6, F.struct(value.alias("rub"), F.lit("rub_inferred").alias("unit"))).otherwise(F.struct((value * 1e9).alias("rub"), F.lit("billion_rub_inferred").alias("unit")))
-    return F.when(value.isNull(), F.struct(F.lit(None).cast("double").alias("rub"), unit.alias("unit"))).when(factor.isNotNull(), F.struct((value * factor).alias("rub"), unit.alias("unit"))).otherwise(guess)
+    factors = F.create_map(*[y for u, (_, f) in UNITS.items() for y in (F.lit(u), F.lit(f))])
+    unit = let(money_unit(x), lambda own: F.when(own != "unknown", own).otherwise(money_unit(hint))) if hint is not None else money_unit(x)
+    pair = lambda rub, u: F.struct(rub.alias("rub"), u.alias("unit"))
+
+    def sized(s: Column) -> Column:
+        value, u = s["v"], s["u"]
+        guess = F.when(value > 1e6, pair(value, F.lit("rub_inferred"))).otherwise(pair(value * 1e9, F.lit("billion_rub_inferred")))
+        return F.when(value.isNull(), pair(F.lit(None).cast("double"), u)).when(u != "unknown", pair(value * F.element_at(factors, u), u)).otherwise(guess)
+
+    return let(F.struct(money(x).alias("v"), unit.alias("u")), sized)
 
 
 def trim_zeros(x) -> Column:
@@ -59,7 +58,7 @@ def trim_zeros(x) -> Column:
 
 def to_billions(x) -> Column:
     """Billions with up to three decimals."""
-    return trim_zeros(F.format_string("%.3f", c(x) / 1e9))
+    return F.when(c(x).isNotNull(), trim_zeros(F.format_string("%.3f", c(x) / 1e9)))
 
 
 def raw_rub(x) -> Column:
@@ -69,8 +68,7 @@ def raw_rub(x) -> Column:
 
 def revenue_issue(x) -> Column:
     """What looks wrong with a revenue in roubles; empty if nothing does."""
-    v = money(x)
-    return F.when(v.isNull(), "missing_revenue").when(v < 0, "negative_revenue").when((v > 0) & (v < 1e6), "revenue_below_1m").when(v > 1e13, "revenue_extremely_high_check_unit").otherwise("")
+    return let(money(x), lambda v: F.when(v.isNull(), "missing_revenue").when(v < 0, "negative_revenue").when((v > 0) & (v < 1e6), "revenue_below_1m").when(v > 1e13, "revenue_extremely_high_check_unit").otherwise(""))
 
 
 def number(x) -> Column:
@@ -85,4 +83,4 @@ def number(x) -> Column:
 def coord(x) -> Column:
     """A coordinate with up to six decimals as text, null if it cannot be read."""
     v = to_double(F.trim(c(x).cast("string")))
-    return trim_zeros(F.format_string("%.6f", v))
+    return F.when(v.isNotNull(), trim_zeros(F.format_string("%.6f", v)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import GENERIC_NAMES, LEGAL_FORM_PATTERN, LEGAL_FORMS, SHORT_FORMS, UPPER_WORDS
-from .text import blank, c, squeeze
+from .text import blank, c, let, squeeze
 
 _FORM = f"(?iU){LEGAL_FORM_PATTERN}"
 _QUOTED = '[«"]([^»"]+)[»"]'
@@ -26,33 +26,41 @@ def title_name(x, upper=UPPER_WORDS) -> Column:
 
 def legal_form(x, forms=LEGAL_FORMS) -> Column:
     """struct<form, rest>: the legal form of a name, from its long text in front or a short one anywhere, and what is left."""
-    t = F.coalesce(c(x), F.lit(""))
-    upper = squeeze(F.upper(t))
-    short = F.regexp_extract(t, _FORM, 1)
-    found = F.struct(squeeze(F.upper(short)).alias("form"), F.regexp_replace(t, F.concat(F.lit(r"(?s)^(.*?)\Q"), short, F.lit(r"\E(.*)$")), F.lit("$1$2")).alias("rest"))
-    out = F.when(short != "", found).otherwise(F.struct(F.lit("").alias("form"), t.alias("rest")))
-    for long in sorted(forms, key=len):
-        rest = F.trim(F.substring(t, F.lit(len(long) + 1), F.length(t)))
-        out = F.when(upper.startswith(long), F.struct(F.lit(forms[long]).alias("form"), rest.alias("rest"))).otherwise(out)
-    return out
+    table = F.array(*[F.struct(F.lit(long).alias("long"), F.lit(forms[long]).alias("short")) for long in sorted(forms, key=len, reverse=True)])
+    pair = lambda form, rest: F.struct(form.alias("form"), rest.alias("rest"))
+
+    def short(t: Column) -> Column:
+        cut = lambda m: F.when(m == "", pair(F.lit(""), t)).otherwise(pair(squeeze(F.upper(m)), F.concat(F.left(t, F.position(m, t) - 1), F.substring(t, F.position(m, t) + F.length(m), F.length(t)))))
+        return let(F.regexp_extract(t, _FORM, 1), cut)
+
+    def form(t: Column) -> Column:
+        upper = squeeze(F.upper(t))
+        named = F.get(F.filter(table, lambda f: upper.startswith(f["long"])), F.lit(0))
+        return let(named, lambda f: F.when(f.isNotNull(), pair(f["short"], F.trim(F.substring(t, F.length(f["long"]) + 1, F.length(t))))).otherwise(short(t)))
+
+    return let(F.coalesce(c(x), F.lit("")), form)
 
 
 def official_name(x, fallback=None) -> Column:
     """`FORM «Name»` of a full name."""
-    t = blank(x) if fallback is None else F.coalesce(blank(x), blank(fallback))
-    t = F.regexp_replace(F.translate(t, "“”„", '"""'), r"(?U)\s+", " ")
-    form = legal_form(t)
-    quoted = F.regexp_extract(t, _QUOTED, 1)
-    name = title_name(F.when(quoted != "", quoted).otherwise(F.btrim(form["rest"], F.lit(" \t\r\n.,;:-«»\""))))
-    plain = F.coalesce(F.nullif(name, F.lit("")), title_name(F.btrim(t, F.lit('«»"'))))
-    return F.when(t.isNotNull(), F.when((form["form"] != "") & (name != ""), F.concat(form["form"], F.lit(" «"), name, F.lit("»"))).otherwise(plain))
+
+    def whole(t: Column) -> Column:
+        def made(form: Column) -> Column:
+            quoted = F.regexp_extract(t, _QUOTED, 1)
+            bare = F.btrim(form["rest"], F.lit(" \t\r\n.,;:-«»\""))
+            name = title_name(F.when(quoted != "", quoted).otherwise(bare))
+            return let(name, lambda n: F.when((form["form"] != "") & (n != ""), F.concat(form["form"], F.lit(" «"), n, F.lit("»"))).when(n != "", n).otherwise(title_name(F.btrim(t, F.lit('«»"')))))
+
+        return F.when(t.isNotNull(), let(legal_form(t), made))
+
+    given = blank(x) if fallback is None else F.coalesce(blank(x), blank(fallback))
+    return let(F.regexp_replace(F.translate(given, "“”„", '"""'), r"(?U)\s+", " "), whole)
 
 
 def short_from_official(x) -> Column:
     """The name without its form."""
-    n = F.coalesce(official_name(x), F.lit(""))
-    quoted = F.regexp_extract(n, _QUOTED, 1)
-    return F.when(quoted != "", F.trim(quoted)).otherwise(F.btrim(F.regexp_replace(n, _FORM, ""), F.lit(' «»".,;:-')))
+    bare = lambda n: let(F.regexp_extract(n, _QUOTED, 1), lambda q: F.when(q != "", F.trim(q)).otherwise(F.btrim(F.regexp_replace(n, _FORM, ""), F.lit(' «»".,;:-'))))
+    return let(F.coalesce(official_name(x), F.lit("")), bare)
 
 
 def short_name(official, original=None) -> Column:
@@ -65,9 +73,9 @@ def short_name(official, original=None) -> Column:
 
 def name_variants(*cols, cap: int = 5) -> Column:
     """Up to `cap` spellings, in order of value, official form, short form; without forms, generic words and repeats in other case."""
-    every = F.array_compact(F.flatten(F.array(*[F.array(blank(x), official_name(x), F.when(blank(x).isNotNull(), short_from_official(x))) for x in cols])))
+    forms = lambda v: F.when(v.isNotNull(), F.array(v, official_name(v), short_from_official(v))).otherwise(F.array().cast("array<string>"))
+    every = F.array_compact(F.flatten(F.transform(F.array(*[blank(x) for x in cols]), forms)))
     bare = F.transform(every, lambda v: F.btrim(F.regexp_replace(F.regexp_replace(v, _SHORT, ""), r"(?U)\s+", " "), F.lit(" ,;«»")))
     good = F.filter(bare, lambda v: (F.length(v) >= 3) & ~F.lower(v).isin(GENERIC_NAMES))
-    low = F.transform(good, lambda v: F.lower(v))
-    first = F.filter(good, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
-    return F.slice(first, 1, cap)
+    first = lambda g: F.filter(g, lambda v, i: F.array_position(F.transform(g, lambda w: F.lower(w)), F.lower(v)) == i + 1)
+    return F.slice(let(good, first), 1, cap)

@@ -12,6 +12,11 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x, f) -> Column:
+    """f(x) with x computed once, however often f uses it; keeps generated code small where expressions nest."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squeeze(x) -> Column:
     """Runs of white space, any Unicode kind, as one space; trimmed."""
     return F.trim(F.regexp_replace(c(x), r"(?U)\s+", " "))
@@ -144,17 +149,20 @@ def expand_short(x, region, profile, min_len: int = DESCRIPTION_MIN) -> Column:
 
 def text_issues(x, forbidden=FORBIDDEN_WORDS) -> Column:
     """Names of what is wrong with a description."""
-    t = squeeze(F.coalesce(c(x), F.lit("")))
-    low, n = F.lower(t), F.size(sentences(t))
-    checks = [F.when(n != DESCRIPTION_SENTENCES, F.concat(F.lit("sentence_count_"), n.cast("string"))), F.when(F.length(t) < DESCRIPTION_MIN, F.lit("too_short")), F.when(F.length(t) > DESCRIPTION_MAX, F.lit("too_long"))]
-    checks += [F.when(low.contains(w), F.lit(f"forbidden_word_{w}")) for w in forbidden]
-    checks += [
-        F.when(t.rlike(r"(?i)https?://|www\."), F.lit("contains_link")),
-        F.when(~t.rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),
-        F.when(~t.rlike(r"(?U)Численность работников\s+—\s+около"), F.lit("missing_required_tail")),
-        F.when(low.contains("требуют уточнения"), F.lit("missing_financial_or_employees_values")),
-    ]
-    return F.array_compact(F.array(*checks))
+
+    def issues(t: Column) -> Column:
+        low, n = F.lower(t), F.size(sentences(t))
+        words = F.transform(F.filter(F.array(*[F.lit(w) for w in forbidden]), lambda w: low.contains(w)), lambda w: F.concat(F.lit("forbidden_word_"), w))
+        size = [let(n, lambda m: F.when(m != DESCRIPTION_SENTENCES, F.concat(F.lit("sentence_count_"), m.cast("string")))), F.when(F.length(t) < DESCRIPTION_MIN, F.lit("too_short")), F.when(F.length(t) > DESCRIPTION_MAX, F.lit("too_long"))]
+        rest = [
+            F.when(t.rlike(r"(?i)https?://|www\."), F.lit("contains_link")),
+            F.when(~t.rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),
+            F.when(~t.rlike(r"(?U)Численность работников\s+—\s+около"), F.lit("missing_required_tail")),
+            F.when(low.contains("требуют уточнения"), F.lit("missing_financial_or_employees_values")),
+        ]
+        return F.concat(F.array_compact(F.array(*size)), words, F.array_compact(F.array(*rest)))
+
+    return let(squeeze(F.coalesce(c(x), F.lit(""))), issues)
 
 
 def text_qa(df, col: str, forbidden=FORBIDDEN_WORDS):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import FORBIDDEN_WORDS
 from ..functions.facts import fmt_employees, fmt_revenue, is_budget_org, key_fact, tail, text_city, text_employees, text_revenue, text_year
 from ..functions.names import official_name
-from ..functions.text import blank, clean_text, drop_forbidden, first_nonblank, sentences, text_issues
+from ..functions.text import blank, clean_text, drop_forbidden, first_nonblank, let, sentences, text_issues
 
 
 def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
@@ -33,12 +33,16 @@ def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
     )
     missing = [("company_name", name), ("year", year), ("city", city), ("region", blank(region)), ("employees", employees), ("revenue_or_budget", revenue)]
     df = df.withColumn("missing", F.array_compact(F.array(*[F.when(v.isNull(), F.lit(f"missing_{n}")) for n, v in missing])))
-    named, place = F.coalesce(name, F.lit("Компания")), F.coalesce(city, F.lit("указанном регионе"))
-    since = F.coalesce(F.concat(F.lit(" с "), year, F.lit(" года")), F.lit(""))
-    first = F.concat(named, F.lit(" работает"), since, F.lit(" в "), place, F.lit(" и занимается "), activity, F.lit("."))
-    second = F.concat(F.lit("Компания обслуживает "), F.coalesce(blank(region), F.lit("указанный регион")), F.lit("; основная база связана с "), place, F.lit("."))
-    last = F.coalesce(tail(employees, revenue, F.substring(have("employees_year"), 1, 4), F.substring(have("revenue_year"), 1, 4), is_budget_org(named, have("CompanyName"))), F.lit("Данные о численности работников и годовых финансовых показателях требуют уточнения."))
-    return df.withColumn("description", F.concat_ws(" ", first, second, key_fact(have("Industry"), have("Subindustry")), last))
+    parts = F.struct(F.coalesce(name, F.lit("Компания")).alias("name"), F.coalesce(city, F.lit("указанном регионе")).alias("place"), year.alias("year"), employees.alias("employees"), revenue.alias("revenue"), activity.alias("activity"))
+
+    def told_as(p):
+        since = F.coalesce(F.concat(F.lit(" с "), p["year"], F.lit(" года")), F.lit(""))
+        first = F.concat(p["name"], F.lit(" работает"), since, F.lit(" в "), p["place"], F.lit(" и занимается "), p["activity"], F.lit("."))
+        second = F.concat(F.lit("Компания обслуживает "), F.coalesce(blank(region), F.lit("указанный регион")), F.lit("; основная база связана с "), p["place"], F.lit("."))
+        last = F.coalesce(tail(p["employees"], p["revenue"], F.substring(have("employees_year"), 1, 4), F.substring(have("revenue_year"), 1, 4), is_budget_org(p["name"], have("CompanyName"))), F.lit("Данные о численности работников и годовых финансовых показателях требуют уточнения."))
+        return F.concat_ws(" ", first, second, key_fact(have("Industry"), have("Subindustry")), last)
+
+    return df.withColumn("description", let(parts, told_as))
 
 
 def pick_text(df: DataFrame, rules: str, other: str) -> DataFrame:

@@ -23,6 +23,10 @@ def is_placeholder(v: Column) -> Column:
     return hit
 
 
+def _hits(pattern: str, kind: str) -> Column:
+    return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(kind).alias("key"), F.rtrim(h, F.lit(",);]}")).alias("v")))
+
+
 def scan_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, kind, key, value_length, value_sha256) of each distinct finding."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, r"\r?\n")).alias("line_no", "line"))
@@ -33,8 +37,7 @@ def scan_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = F.when(key.rlike(SECRET_KEY_PATTERN) & (value != ""), F.array(F.struct(F.lit("credential_assignment").alias("kind"), key.alias("key"), value.alias("v")))).otherwise(F.array())
     found = [named]
     for pattern, kind in ((BEARER, "bearer_token"), (URL_VALUE, "url_credential")):
-        hits = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
-        found.append(F.transform(hits, lambda h, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lit(kind).alias("key"), F.rtrim(h, F.lit(",);]}")).alias("v"))))
+        found.append(_hits(pattern, kind))
     out = lines.select(id_col, "line_no", F.explode(F.concat(*found)).alias("f")).where(~is_placeholder(F.col("f.v")))
     return out.select(id_col, "line_no", "f.kind", "f.key", F.length("f.v").alias("value_length"), F.substring(F.sha2(F.col("f.v"), 256), 1, 12).alias("value_sha256")).distinct()
 

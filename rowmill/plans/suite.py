@@ -1,4 +1,6 @@
 """Registered queries and the DuckDB SQL each must equal."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import suite_rows, suite_text
+
+QUERIES: dict = suite_rows.QUERIES | suite_text.QUERIES
+ORACLE: dict = suite_rows.ORACLE | suite_text.ORACLE
