@@ -98,7 +98,7 @@ def slices(column: pa.Array, limit: int = 2 << 20):
     a, n = 0, len(column)
     while a < n:
         b = int(np.searchsorted(offs, offs[a] + limit, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), n, a + 20_000)
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 

@@ -252,16 +252,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], LEAK_COLUMNS)
-    if n_blocks > 1:
-        return out
-    return out.groupBy("doc_id", "k", "item_id").agg(F.max_by(F.struct("covered", "cosine", "first_word", "last_word"), F.struct("covered", "cosine")).alias("b")).select("doc_id", "k", "item_id", "b.*")
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold benchmark items."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    out = scratch.settle(leaks(docs, benchmark).select(F.col("k").alias("_k")).distinct())
-    return docs.withColumn("_k", row_key()).join(small(out, out.count(), 24), "_k", "left_anti").select(docs.columns)
+    out = scratch.settle(leaks(docs, benchmark).select(F.col("k").alias("__rm_key")).distinct())
+    return docs.withColumn("__rm_key", row_key()).join(small(out, out.count(), 24), "__rm_key", "left_anti").select(docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Markup is stripped to a list of lines, one for each block of the page in order. Text that belongs to menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element or by the words of its class,
-id or role, becomes a line of length 0, and so does text outside <article> or <main> where a page has one. Link text does
-not count towards a line's length. The lengths are summed over sliding windows of `WINDOW` lines: the text surges where the
+id or role, becomes a line of length 0, and so does text outside <article> or <main> where a page has one; within these it
+leaves no line, so that an article stays in one piece. Link text outside them does not count towards a line's length. The lengths are summed over sliding windows of `WINDOW` lines: the text surges where the
 sum rises from 0 above the threshold and dives where it falls back to 0; the lines between a surge and its dive are kept
 whole, short ones included. The threshold is a share of the page's largest window, so a short article is still the peak of
 its own page.
@@ -71,9 +71,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text = " ".join(html.unescape("".join(piece)).split())
         around, inside = state()
         if text and not around:
-            out.append((text, max(0, len(text) - links) if links < 0.8 * len(text) else 0, inside))
-        elif text or out:
-            out.append(("", 0, inside))
+            out.append((text, len(text) if inside else max(0, len(text) - links) if links < 0.8 * len(text) else 0, inside))
+        elif text and not inside:
+            out.append(("", 0, False))
         piece.clear()
         links = 0
 
@@ -125,7 +125,6 @@ def main_text(page: str | None) -> str:
         found = [x if x[2] else ("", 0, False) for x in found]
     if not found:
         return ""
-    # a block that closes leaves one empty line; what is cut away leaves more
     length = [n for _, n, _ in found]
     size = len(length)
     window = [sum(length[i : i + WINDOW]) for i in range(size)]
@@ -141,7 +140,8 @@ def main_text(page: str | None) -> str:
         while end < size and window[end]:
             end += 1
         if max(window[i:end]) >= SHARE * peak:
-            kept += [t for t, _, _ in found[i : min(size, end + WINDOW - 1)] if t]
+            full = [j for j in range(i, min(size, end + WINDOW - 1)) if length[j]]
+            kept += [t for t, _, _ in found[full[0] : full[-1] + 1] if t]
         i = end + WINDOW - 1
     return "\n\n".join(kept)
 

@@ -110,10 +110,10 @@ def plan_mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken. Rows without words are left out, as no words are taken from them."""
     scratch = Scratch(docs.sparkSession, "mix")
-    plan = plan_mix(docs, scratch).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    plan = plan.groupBy("doc_id").agg(F.max("_times").alias("_times")).withColumnRenamed("doc_id", "_id")
-    out = docs.where(F.regexp_count("text", F.lit(WORDS)) > 0).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    plan = plan_mix(docs, scratch).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__rm_times"))
+    plan = plan.groupBy("doc_id").agg(F.max("__rm_times").alias("__rm_times")).withColumnRenamed("doc_id", "__rm_id")
+    out = docs.where(F.regexp_count("text", F.lit(WORDS)) > 0).join(plan, F.col("doc_id").eqNullSafe(F.col("__rm_id")))
+    return out.withColumn("__rm_copy", F.explode(F.sequence(F.lit(1), F.col("__rm_times")))).select(docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

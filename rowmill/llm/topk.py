@@ -73,7 +73,7 @@ def _above(shared):
     def run(batches):
         block, low, need = shared.value
         for at, ids, s in _scores(block, batches):
-            rows, cols = np.nonzero(s >= low[at][:, None])
+            rows, cols = np.nonzero((s >= low[at][:, None]) & np.isfinite(s))
             if not len(rows):
                 continue
             score, vec = s[rows, cols].astype(np.int64), ids[cols]

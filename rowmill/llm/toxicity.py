@@ -249,7 +249,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic."""
     scratch = Scratch(docs.sparkSession, "rejected")
     out = scratch.settle(toxicity(docs, labels).where("predicted = 1").select("k").distinct())
-    return docs.withColumn("_k", row_key()).join(small(out.withColumnRenamed("k", "_k"), out.count(), 24), "_k", "left_anti").select(docs.columns)
+    return docs.withColumn("__rm_key", row_key()).join(small(out.withColumnRenamed("k", "__rm_key"), out.count(), 24), "__rm_key", "left_anti").select(docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
