@@ -32,14 +32,12 @@ def clean_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("clean"))
 
 
-@query(r"select doc_id, trim(regexp_replace(translate(text, ',;|""', '   '''), '\s+', ' ', 'g')) as flat, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) as n from documents")
+@query(r"""select doc_id, trim(regexp_replace(translate(text, ',;|"', '   '''), '\s+', ' ', 'g')) as flat, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) as n from documents""")
 def flat_values(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.flat_clean("text").alias("flat"), F.length(text.squeeze("text")).cast("long").alias("n"))
 
 
-_CASES = """(values (0, 'общество с ограниченной ответственностью "северный ветер"'), (1, 'ПАО «НЛМК»'), (2, 'гуп водоканал-2 карелии'), (3, 'АКЦИОНЕРНОЕ ОБЩЕСТВО Тгк-2'), (4, 'просто имя')) as t(i, name)"""
-
 
 def _named(spark, sf_dir):
     """Customers under names with legal forms, spelled in five ways."""
