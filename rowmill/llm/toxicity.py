@@ -2,15 +2,16 @@
 
 Features are densities a text of any length can have: hits of a lexicon learned from the labelled rows (words, and stems of
 the first bytes of longer words), hits of a short built-in lexicon, second-person words and their closeness to hits,
-capitals, shouting, punctuation, and obfuscation such as digits or symbols inside words. The lexicon is counted over all
-labelled training rows; the trees and the calibration are fitted by Spark ML on at most `FIT_ROWS` labelled rows, drawn by
-hash. Trees learn from two thirds of these, the isotonic curve maps their margin to a rate on the rest.
+capitals, shouting, punctuation, and obfuscation such as digits or symbols inside words. Labelled training rows are dealt in
+two halves by hash: the lexicon is counted over one half, all of it; the trees and the calibration are fitted by Spark ML on
+the other, at most `FIT_ROWS` rows of it, where chance hits of the lexicon do not look like evidence. Trees learn from two
+thirds of these, the isotonic curve maps their margin to a rate on the rest.
 
 Labels, lang, source and doc_id never enter a score. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
 Defined cases: null and empty texts have all densities 0 and are scored like any other; rows that repeat an id take the
-highest label of that id; labels of unknown documents are left out; without both labels to learn from, the score is the
-density of built-in hits; an empty table gives no rows.
+highest label of that id; labels of unknown documents are left out; with too few rows of either label to learn from, the
+score follows the number of built-in hits; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .spans import row_key
 
 #: At most so many labelled rows fit the trees and the calibration, and so many lexicon entries are kept.
 FIT_ROWS, LEXICON, CANDIDATES = 24_000, 600, 20_000
+#: With fewer rows of either label for the trees, built-in hits alone make the score.
+LEAST_ROWS = 8
 STEM, CUT = 7, 0.3
 #: Insults in the corpus' languages, and second-person words.
 INSULTS = "idiot moron stupid trash scum loser worthless pathetic disgusting clown dumb garbage filth freak jerk imbecile bastard idiota imbécil estúpido basura asqueroso trottel dumm abschaum widerlich crétin débile ordure minable".split()
@@ -166,7 +169,7 @@ def learn_lexicon(train: DataFrame, entries: int = LEXICON) -> tuple[np.ndarray,
     if not bad or not good:
         return np.zeros(0, np.uint64), np.zeros(0)
     count = lambda t, keep: train.where(F.col("toxic") == t).select("text").mapInArrow(_vocabulary(keep), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    seen = count(1, None).where(F.col("n") >= max(2, bad // 1000)).orderBy(F.desc("n"), "h").limit(CANDIDATES).toPandas()
+    seen = count(1, None).where(F.col("n") >= max(3, bad // 500)).orderBy(F.desc("n"), "h").limit(CANDIDATES).toPandas()
     h = seen.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     h, n_bad = h[order], seen.n.to_numpy(np.float64)[order]
@@ -205,7 +208,7 @@ class Toxicity:
     def score(self, rows: DataFrame) -> DataFrame:
         """(doc_id, k, score) of rows of features."""
         if self.trees is None:
-            return rows.select("doc_id", "k", F.least(F.lit(1.0), F.col("insults") * 20).alias("score"))
+            return rows.select("doc_id", "k", (1 - F.exp(F.lit(0.25) * (1 - F.exp("insult_any")))).alias("score"))
         out = self.margin(rows)
         if self.curve is None:
             return out.select("doc_id", "k", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("margin") * -2))).alias("score"))
@@ -218,16 +221,17 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Toxicity,
     known = labels.where("toxic in (0, 1)").where(F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 2))
     known = scratch.settle(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     n = known.count()
-    train = Toxicity.keyed(docs).join(small(known, n, 32), "doc_id").select("text", "toxic")
+    # a hash of the id deals rows to lexicon, trees and calibration; the id itself is no input
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    train = Toxicity.keyed(docs).join(small(known.where(half == 0), n, 32), "doc_id").select("text", "toxic")
     model = Toxicity(spark, learn_lexicon(train), None, None)
     rows = scratch.settle(model.features(docs))
-    share = min(1.0, FIT_ROWS / max(n, 1))
-    # a hash of the id deals rows to the sample and to trees or calibration; the id itself is no input
-    dealt = rows.join(small(known, n, 32), "doc_id").withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0).where(F.col("u") < share)
+    share = min(1.0, 2 * FIT_ROWS / max(n, 1))
+    dealt = rows.join(small(known.where(half == 1), n, 32), "doc_id").withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0).where(F.col("u") < share)
     dealt = scratch.settle(dealt.withColumn("part", F.when(F.col("u") < share * 2 / 3, 0).otherwise(1)).drop("u"))
     have = {(r.part, r.toxic): r["count"] for r in dealt.groupBy("part", "toxic").count().collect()}
-    if have.get((0, 0)) and have.get((0, 1)):
-        gbt = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=3, maxIter=12, stepSize=0.3, maxBins=32, seed=7)
+    if min(have.get((0, 0), 0), have.get((0, 1), 0)) >= LEAST_ROWS:
+        gbt = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=3, maxIter=12, stepSize=0.3, maxBins=32, minInstancesPerNode=4, seed=7)
         base = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(dealt.withColumn("label", F.col("toxic").cast("double")))
         # the sample is bounded by FIT_ROWS rows of numbers, so it stays in memory; a lost executor recomputes it from the table
         model.trees = gbt.fit(base.where("part = 0").select("x", "label").coalesce(4))
