@@ -4,7 +4,8 @@ Texts are cut into passages of `WIDTH` words that start every `STEP` words. A pa
 benchmark's words, with document counts from all documents; words in more than a fifth of them weigh nothing. A randomised
 SVD finds the latent space: every task multiplies its passages by a random matrix and back, the products are summed over
 the corpus, and their orthonormal basis spans the leading right singular vectors. Passages and benchmark items are compared
-by cosine in that space; of a candidate, the part along the item must reach `HELD` of the item's length. It is confirmed on the words themselves: the longest common subsequence with the passage
+by cosine in that space; of a candidate, the part along the item must reach `HELD` of the item's length. Items of which less
+than `WEIGHING` of the words weigh anything skip that gate, as a match may hold none of these words. A candidate is confirmed on the words themselves: the longest common subsequence with the passage
 and its neighbours must cover `COVER` of the item's words, and `ANSWER` of its last words, where the answer stands.
 
 The benchmark is taken in blocks of `ITEMS` items, so what each task holds (vocabulary x `RANK` numbers) is bounded; items of
@@ -28,7 +29,7 @@ from .spans import row_key
 from .toxicity import _SPLIT, fold
 
 WIDTH, STEP, RANK, ITEMS, SHORTEST, SIGNATURE = 64, 32, 64, 4000, 6, 1024
-COSINE, HELD, COVER, ANSWER, STOP = 0.1, 0.3, 0.7, 0.5, 0.2
+COSINE, HELD, COVER, ANSWER, STOP, WEIGHING = 0.1, 0.3, 0.7, 0.5, 0.2, 0.5
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +149,14 @@ def _confirmed(shared):
         masks = [(_masks(w), _masks(w[-max(3, len(w) // 5) :]), len(w), max(3, len(w) // 5)) for _, w in items]
         item_bits = _signatures(np.concatenate([np.array(w, np.uint64) for _, w in items]), np.repeat(np.arange(len(items)), [len(w) for _, w in items]), len(items))
         spare = np.array([len(w) - int(np.ceil(COVER * len(w))) for _, w in items])
+        light = np.array([np.mean(idf[np.searchsorted(vocab, np.array(w, np.uint64))] > 0) < WEIGHING for _, w in items])
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist()
             out = []
             for a, _, data, offs in slices(batch.column("text"), 1 << 20):
                 h, first = words_of(data, offs)
                 p = _Passages(vocab, idf, h, first)
-                if not len(p.term):
+                if not len(p.term) and not light.any():
                     continue
                 size = p.norms()
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -164,14 +166,15 @@ def _confirmed(shared):
                 z = p.sums(basis[p.term] * p.weight[:, None].astype(np.float32))
                 length = np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)
                 z /= length[:, None]
-                rows = np.flatnonzero(size > 0)
+                rows = np.arange(int(p.base[-1])) if light.any() else np.flatnonzero(size > 0)
                 best: dict = {}
                 for r in range(0, len(rows), 4096):
                     some = rows[r : r + 4096]
                     cos = z[some] @ vectors.T
                     # what else a passage holds dilutes the cosine; its part along an item that it covers stays
                     along = cos * length[some][:, None] >= HELD * latent[None, :]
-                    i, j = np.nonzero((cos >= COSINE) & along & (size[some][:, None] >= 0.4 * norms[None, :]))
+                    gate = (cos >= COSINE) & along & (size[some][:, None] > 0) & (size[some][:, None] >= 0.4 * norms[None, :])
+                    i, j = np.nonzero(gate | light[None, :])
                     # every word of an item that is missing takes one from the common subsequence
                     few = np.concatenate([np.bitwise_count(item_bits[j[c : c + 65536]] & ~near[some[i[c : c + 65536]]]).sum(axis=1) <= spare[j[c : c + 65536]] for c in range(0, len(i), 65536)] or [np.zeros(0, bool)])
                     i, j = i[few], j[few]

@@ -240,6 +240,18 @@ def test_decontaminate(spark):
     assert {x.doc_id for x in decontaminate.drop_leaks(table(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontaminate_finds_items_of_frequent_words(spark):
+    r = random.Random(9)
+    text = lambda n: " ".join("u%d" % r.randrange(5000) for _ in range(n))
+    often, item = [f"f{j}" for j in range(8)], text(30)
+    common = " ".join(r.choice(often) for _ in range(20))
+    docs = [(i, text(60) + " " + " ".join(often) + " " + (item if i % 3 == 0 else text(30)) + " " + text(40)) for i in range(90)]
+    docs += [(100, text(50) + " " + common + " " + text(50)), (101, common), (102, item), (103, "")]
+    bench = spark.createDataFrame([(1, item), (2, common), (3, text(25))], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table(spark, docs), bench).collect()}
+    assert found == {(i, 1) for i in (*range(0, 90, 3), 102)} | {(100, 2), (101, 2)}
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     vocab = ["w%d" % i for i in range(400)]
