@@ -111,6 +111,18 @@ def test_unit_dedup(spark, rows):
     assert got == want
 
 
+def test_unit_dedup_of_short_units(spark):
+    passage = "It rained. We left. Nobody came back that night. Why? They knew."
+    cjk = "这是一个重复的句子。没有空格的文字也是单元。"
+    docs = [(1, f"First text of its own. {passage} It went on."), (2, f"Another one entirely. {passage} It ended."), (3, cjk), (4, "x " + cjk), (5, "Yes. A clean text that holds one short answer. No."), (6, "Yes. Other words are around the same short answer. No.")]
+    docs += [(10 + i, f"text {i} has a line\nShare this\nthat text {i} does not share" + ("\nRare line" if i < 3 else "")) for i in range(25)]
+    got = {r.doc_id: r.kept for r in unit_dedup.drop_repeated_units(table(spark, docs)).collect()}
+    assert got[1] == docs[0][1] and got[2].split() == "Another one entirely. It ended.".split()
+    assert got[3] == cjk and got[4].strip() == "x " + cjk[: cjk.index("。") + 1]
+    assert all(got[i] == dict(docs)[i] for i in (5, 6, 10))
+    assert all("Share this" not in got[i] for i in range(11, 35)) and all("Rare line" in got[i] for i in (10, 11, 12))
+
+
 def test_mixing(spark, rows):
     """Documents are taken whole, so the text that is longer than its source's target is left out here."""
     rows = [x for n, x in enumerate(rows) if x not in rows[:n] and len(x[1] or "") < 100_000]
