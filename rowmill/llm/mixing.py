@@ -7,8 +7,9 @@ histograms of words by hash bucket: cumulate, find the bucket in which the budge
 the document at the threshold is long, a part of the budget stays open; further rounds fill it, each with the documents not
 yet taken that fit into it. No document is sorted, and reruns agree because the hash is of the id.
 
-Defined cases: null or empty text has size 0 and takes 0; rows that repeat an id share a hash and are taken or left
-together; an empty table gives an empty result; extra columns do not matter.
+Defined cases: null or empty text has size 0 and takes 0; rows that repeat an id, or have none, are told apart by a hash of
+their text, and of equal rows as many are taken as fit; an empty table gives an empty result; extra columns do not matter.
+The SQL takes the rows of an id together; it gives the same where ids are unique.
 """
 
 from __future__ import annotations
@@ -50,40 +51,73 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     return per.select("sid", "source", "source_size", F.when(F.col("capped"), (F.col("source_size") * cap).cast("double")).otherwise(share).alias("target"))
 
 
+#: A row's place in hash order: by id, then by text, then by a number that no other row has.
+KEY = ("h", "h2", "h3")
+
+
 def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sid, theta): rows (sid, h, size) with h < theta are the longest run in hash order whose sizes fit budgets (sid, left)."""
-    front, done = scratch.settle(budgets.select("sid", "left", F.lit(0).cast("long").alias("prefix"))), []
-    for shift in range(BITS - STEP, -1, -STEP):
-        n = front.count()
-        if not n:
-            break
-        inside = rows.join(small(front, n, 64), "sid").where(F.shiftright("h", shift + STEP) == F.col("prefix"))
-        hist = inside.groupBy("sid", "left", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        cum = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("sid").orderBy("b")))
-        edge = cum.where(F.col("cum") > F.col("left")).groupBy("sid").agg(F.min_by(F.struct("b", (F.col("left") - F.col("cum") + F.col("s")).alias("left"), "lo", "hi"), "b").alias("e"))
-        state = scratch.settle(front.select("sid", "prefix").join(edge, "sid", "left"))
-        single = F.col("e.lo") == F.col("e.hi")
-        done.append(state.where("e is null").select("sid", F.shiftleft(F.col("prefix") + 1, shift + STEP).alias("theta")))
-        done.append(state.where("e is not null").where(single).select("sid", F.col("e.lo").alias("theta")))
-        front = scratch.settle(state.where("e is not null").where(~single).select("sid", F.col("e.left").alias("left"), F.col("e.b").alias("prefix")))
+    """(sid, t, t2, t3): rows (sid, *KEY, size) below it are the longest run in order of KEY whose sizes fit budgets (sid, left)."""
+    none = F.lit(0).cast("long")
+    front, done = scratch.settle(budgets.select("sid", "left", none.alias("t"), none.alias("t2"), none.alias("prefix"))), []
+    for place, key in enumerate(KEY):
+        above = [F.col(k) == F.col(t) for k, t in zip(KEY[:place], ("t", "t2"))]
+
+        def bound(of):
+            return [F.col(t) for t in ("t", "t2")[:place]] + [of] + [none] * (2 - place)
+
+        for shift in range(BITS - STEP, -1, -STEP):
+            n = front.count()
+            if not n:
+                break
+            inside = rows.join(small(front, n, 64), "sid").where(F.shiftright(key, shift + STEP) == F.col("prefix"))
+            for same in above:
+                inside = inside.where(same)
+            ends = [f(k).alias(name + k) for k in KEY for f, name in ((F.min, "lo_"), (F.max, "hi_"))]
+            hist = inside.groupBy("sid", "left", F.shiftright(key, shift).alias("b")).agg(F.sum("size").alias("s"), *ends)
+            cum = hist.withColumn("cum", F.sum("s").over(Window.partitionBy("sid").orderBy("b")))
+            edge = cum.where(F.col("cum") > F.col("left")).groupBy("sid").agg(F.min_by(F.struct("b", (F.col("left") - F.col("cum") + F.col("s")).alias("left"), *[x + k for k in KEY for x in ("lo_", "hi_")]), "b").alias("e"))
+            state = scratch.settle(front.select("sid", "t", "t2", "prefix").join(edge, "sid", "left"))
+            single = (F.col("e.lo_h") == F.col("e.hi_h")) & (F.col("e.lo_h2") == F.col("e.hi_h2")) & (F.col("e.lo_h3") == F.col("e.hi_h3"))
+            past = bound(F.shiftleft(F.col("prefix") + 1, shift + STEP))
+            done.append(state.where("e is null").select("sid", *[c.alias(t) for c, t in zip(past, ("t", "t2", "t3"))]))
+            done.append(state.where("e is not null").where(single).select("sid", F.col("e.lo_h").alias("t"), F.col("e.lo_h2").alias("t2"), F.col("e.lo_h3").alias("t3")))
+            front = scratch.settle(state.where("e is not null").where(~single).select("sid", F.col("e.left").alias("left"), "t", "t2", F.col("e.b").alias("prefix")))
+        # several rows of one hash: it is settled, and the next one tells them apart
+        if place < 2:
+            name = ("t", "t2")[place]
+            front = front.withColumn(name, F.col("prefix")).withColumn("prefix", none)
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
     return scratch.settle(out)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number in __rm_row that no other row has; to be settled before it is used."""
+    return docs.withColumn("__rm_row", F.monotonically_increasing_id())
+
+
+def _short(text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - BITS)
+
+
 def plan_mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), mix_hash(F.col("doc_id")).alias("h"))
-    rows = scratch.settle(rows)
+    return _plan(numbered(docs), scratch).drop("__rm_row")
+
+
+def _plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """plan_mix of numbered rows, with their numbers."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), mix_hash(F.col("doc_id")).alias("h"), _short(F.col("text")).alias("h2"), "__rm_row")
+    rows = scratch.settle(rows).withColumn("h3", _short(F.col("__rm_row")))
     goal = scratch.settle(targets(rows))
     n = goal.count()
     goals = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = goals.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     per = small(goals, n, 256)
-    rows = rows.withColumnRenamed("source", "src").join(per, F.col("src").eqNullSafe(F.col("source"))).select("doc_id", "size", "h", "sid", "source_size", "target", "whole")
+    rows = rows.withColumnRenamed("source", "src").join(per, F.col("src").eqNullSafe(F.col("source"))).select("doc_id", "size", *KEY, "__rm_row", "sid", "source_size", "target", "whole")
     rows = scratch.settle(rows)
-    open_rows = rows.where("size > 0 and whole < 3").select("sid", "h", "size")
+    open_rows = rows.where("size > 0 and whole < 3").select("sid", *KEY, "__rm_row", "size")
     budgets = goals.select("sid", "target", "left")
     picks = None
     for _ in range(ROUNDS):
@@ -91,28 +125,27 @@ def plan_mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
         m = budgets.count()
         if not m:
             break
-        fit = open_rows.join(small(budgets.select("sid", "left"), m, 64), "sid").where("size <= left").select("sid", "h", "size")
+        fit = open_rows.join(small(budgets.select("sid", "left"), m, 64), "sid").where("size <= left").select("sid", *KEY, "__rm_row", "size")
         if picks is not None:
-            fit = fit.join(picks.select("sid", "h"), ["sid", "h"], "left_anti")
-        # rows of one hash go together
+            fit = fit.join(picks.select("__rm_row"), "__rm_row", "left_anti")
         theta = thresholds(fit, budgets, scratch)
-        got = scratch.settle(fit.join(small(theta, m, 64), "sid").where("h < theta").groupBy("sid", "h").agg(F.sum("size").alias("size")))
+        got = scratch.settle(fit.join(small(theta, m, 64), "sid").where("h < t or h = t and (h2 < t2 or h2 = t2 and h3 < t3)").select("sid", "__rm_row", "size"))
         used = got.groupBy("sid").agg(F.sum("size").alias("used"))
         budgets = budgets.join(used, "sid", "left").select("sid", "target", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
         picks = got if picks is None else picks.union(got)
     if picks is None:
         rows = rows.withColumn("extra", F.lit(0))
     else:
-        rows = rows.join(picks.select("sid", "h", F.col("size").alias("picked")), ["sid", "h"], "left").withColumn("extra", F.when(F.col("picked").isNotNull() & (F.col("size") > 0), 1).otherwise(0))
-    return rows.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
+        rows = rows.join(picks.select("__rm_row", F.lit(1).alias("picked")), "__rm_row", "left").withColumn("extra", F.coalesce("picked", F.lit(0)))
+    return rows.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), "__rm_row")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each row as often as it is taken. Rows without words are left out, as no words are taken from them."""
     scratch = Scratch(docs.sparkSession, "mix")
-    plan = plan_mix(docs, scratch).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__rm_times"))
-    plan = plan.groupBy("doc_id").agg(F.max("__rm_times").alias("__rm_times")).withColumnRenamed("doc_id", "__rm_id")
-    out = docs.where(F.regexp_count("text", F.lit(WORDS)) > 0).join(plan, F.col("doc_id").eqNullSafe(F.col("__rm_id")))
+    rows = scratch.settle(numbered(docs))
+    plan = _plan(rows, scratch).where("taken > 0").select("__rm_row", (F.col("taken") / F.col("size")).cast("int").alias("__rm_times"))
+    out = rows.join(plan, "__rm_row")
     return out.withColumn("__rm_copy", F.explode(F.sequence(F.lit(1), F.col("__rm_times")))).select(docs.columns)
 
 

@@ -154,6 +154,21 @@ def test_mixing(spark, rows):
     assert copies == {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]}
 
 
+@pytest.mark.parametrize("hot, equal", [(None, True), (7, False)])
+def test_mixing_splits_a_hot_id(spark, hot, equal):
+    """A third of a source's rows share an id, or have none; the target ends within them."""
+    text = lambda i: ("w" if equal else f"n{i}") + " w" * 9
+    rows = [(hot, text(i), "b") for i in range(300)] + [(1000 + i, text(i), "b") for i in range(600)] + [(5000 + i, text(i), "a") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs, mixing.Scratch(spark, "t")).collect()
+    b = [r for r in plan if (r.doc_id or 0) < 5000]
+    assert len(plan) == len(rows) and 0 <= b[0].target - sum(r.taken for r in b) < 10
+    want = Counter()
+    for r in plan:
+        want[r.doc_id] += r.taken // r.size
+    assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == +want
+
+
 def test_top_k(spark):
     r = random.Random(5)
     rows = [(i, [r.uniform(-1, 1) for _ in range(6)], 0) for i in range(200)]
