@@ -2,7 +2,7 @@
 
 Markup is stripped to a list of lines, one for each block of the page in order. Text that belongs to menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element or by the words of its class,
-id or role, becomes a line of length 0, and so does text outside <article> or <main> where a page has one; within these it
+id or role (a whole one, or a compound of such words and layout words alone), becomes a line of length 0, and so does text outside <article> or <main> where a page has one; within these it
 leaves no line, so that an article stays in one piece. Link text outside them does not count towards a line's length. The lengths are summed over sliding windows of `WINDOW` lines: the text surges where the
 sum rises from 0 above the threshold and dives where it falls back to 0; the lines between a surge and its dive are kept
 whole, short ones included. The threshold is a share of the page's largest window, so a short article is still the peak of
@@ -34,14 +34,45 @@ OUTSIDE = frozenset("nav header footer aside form menu head title button dialog
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion teaser menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts disclaimer newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond discussion disqus reader-comments related recommended popup modal overlay pagination pager search copyright legal hidden contentinfo complementary".split()
 )
+#: Words that with a mark make up a compound name of the same meaning; any other word (has-, related-work) makes it another thing.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons center column container content fixed form global group icons inner item items left link links list main outer page panel post primary region right row secondary section site slot small sticky top unit wrap wrapper".split())
+#: Marks that name parts of articles too: inside an article they count only where links or short lines make up the element.
+EVERYDAY = frozenset("alert alerts copyright disclaimer discussion foot head hidden legal notice notices related reply respond search share sharing side social".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINK_SHARE, SHORT_LINE = 0.5, 40
+_TAG = re.compile(r"<[^>]*>")
+_LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
+_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS)) + r"|br)\b[^>]*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|[A-Z][a-z]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """(marks text around the article, marks the article itself)"""
+def _names(token: str) -> set[str]:
+    """The marks that a class, id or role is made of, or none if it is about anything else."""
+    if token.lower() in MARKS:
+        return {token.lower()}
+    words = {p.lower() for p in _PART.findall(token)}
+    return words & MARKS if words <= MARKS | LAYOUT else set()
+
+
+def _sparse(page: str, at: int, name: str) -> bool:
+    """Whether links or short lines make up the element `name` whose content begins at `at`."""
+    depth, end = 1, len(page)
+    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m.group(1) else 1
+        if not depth:
+            end = m.start()
+            break
+    part = page[at:end]
+    rows = [n for n in (len(" ".join(_TAG.sub("", x).split())) for x in _BLOCK.split(part)) if n]
+    links = sum(len(" ".join(_TAG.sub("", x).split())) for x in _LINK.findall(part))
+    return links >= LINK_SHARE * sum(rows) or sum(rows) < SHORT_LINE * len(rows)
+
+
+def _marked(attributes: str) -> tuple[bool, bool, bool]:
+    """(marks text around the article, marks the article itself, the former by everyday words alone)"""
     around = main = False
+    found: set[str] = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -51,9 +82,9 @@ def _marked(attributes: str) -> tuple[bool, bool]:
         elif name in ("class", "id", "role"):
             if name == "role" and value.lower() in ("main", "article"):
                 main = True
-            words = {p.lower() for p in _PART.findall(value)}
-            around |= bool(words & MARKS)
-    return around, main
+            for token in value.split():
+                found |= _names(token)
+    return around or bool(found), main, not around and found <= EVERYDAY
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -108,7 +139,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     if stack[i][0] in BLOCKS:
                         break
             around, inside = state()
-            mark, main = _marked(m.group(4)) if m.group(4) else (False, False)
+            mark, main, everyday = _marked(m.group(4)) if m.group(4) else (False, False, False)
+            mark = mark and name not in HEADINGS and not (inside and everyday and not around and not _sparse(page, m.end(), name))
             outside = name in OUTSIDE and not (name == "header" and inside)
             hit = around or outside or mark and name not in ("html", "body", "article", "main")
             hit = hit or name == "article" and mark and inside

@@ -237,6 +237,16 @@ def test_html():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
 
 
+def test_html_marks_are_whole_names():
+    text = "This is a sentence of the article that is long enough to count."
+    for around in ("div class='content has-sidebar'", "div id='post' class='with-comments'", "div class='no-sidebar'"):
+        assert html_text.main_text(f"<body><{around}><p>{text}</p></div>") == text
+    for part in ("<section id='discussion'><p>{}</p></section>", "<h2 id='related-work'>{}</h2>", "<h2 id='discussion'>{}</h2>", "<div class='legal-analysis'><p>{}</p></div>"):
+        assert html_text.main_text("<article><p>" + text + "</p>" + part.format(text) + "</article>") == text + "\n\n" + text
+    for part in ("<div class=share><a href=/>Share this article with everyone that you may know</a></div>", "<div class='ad-box'>" + text + "</div>", "<ul class=social><li>Mail<li>Post</ul>"):
+        assert html_text.main_text("<article><p>" + text + "</p>" + part + "</article>") == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>A short page.</p>", 3), (2, None, None, 4)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "A short page.", 13), (2, "", 0)]
