@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,36 +20,61 @@ BROADCAST_BYTES = 24_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is named (tests, one machine)."""
+    """The folder all executors share: the one the session names, else one beside the warehouse's tables, and a temporary
+    one only where driver and executors are one process (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rowmill-"))
+        local = sc.master.startswith("local")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rowmill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_rowmill")
         named = sc.getCheckpointDir()
     return named
 
 
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_LEFT: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every scratch table of this session; results that still read one must be written before."""
+    _delete(spark, *_LEFT)
+    _LEFT.clear()
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _LEFT and SparkContext._active_spark_context else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            clear(spark)
+
+
 class Scratch:
-    """Tables written once to the shared folder, so that lineage ends there and a lost executor costs one reread."""
+    """Tables written once to the shared folder, so that lineage ends there and a lost executor costs one reread.
+
+    Steps drop tables that nothing reads any more; what a result still reads goes at the end of the session.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-        self.paths: dict[int, str] = {}
+        _LEFT.append(self.root)
 
     def settle(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._rowmill_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._rowmill_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, *(t._rowmill_path for t in tables))
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -55,27 +84,14 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 # ---- bytes of a batch of texts -------------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(20240607)
-#: A random odd 64-bit value for each byte; the polynomial hashes below run over these values modulo 2**64.
-BYTE_VALUES = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i <= n, kept between batches."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 21)
-        for k, b in enumerate((BASE, _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Spans of more bytes than this are hashed by blake2b, one at a time.
+LONG = 256
+#: Masks of the first n bytes of a little-endian word of 8.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,7 +103,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(column: pa.Array, limit: int = 2 << 20):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """(first row, last row + 1, bytes, offsets from 0) of runs of whole texts with about `limit` bytes each; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
@@ -123,12 +139,26 @@ def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = FOLDED_VALUES) -> np.ndarray:
-    """A mixed 64-bit hash of each span of bytes, from prefix polynomial hashes; by default A-Z count as a-z."""
-    up, down = powers(len(data))
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=h[1:])
-    return mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by default with A-Z as a-z.
+
+    Eight bytes at a time pass through `mix`, which is one to one and not linear, so that no family of texts collides the
+    way Thue-Morse strings do under every polynomial modulo 2**64. Spans of equal length up to 8 bytes never collide.
+    """
+    data = _LOWER[data] if folded else data
+    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    for j in range(0, LONG, 8):
+        if not len(at):
+            break
+        block = np.ascontiguousarray(words[starts[at] + j]).view(np.uint64).ravel() & FIRST_BYTES[np.minimum(size[at] - j, 8)]
+        h[at] = mix(h[at] * np.uint64(0xA24BAED4963EE407) ^ block)
+        at = at[size[at] > j + 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def int_lists(values: np.ndarray, offs: np.ndarray, kind=None) -> pa.Array:
@@ -143,20 +173,29 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """(node, root) for every node of edges (a, b); root is the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes; every round is
-    written to the shared folder. No neighbour list is ever gathered.
+    written to the shared folder. No neighbour list is ever gathered. Minima of few edges are broadcast; others are tables of
+    their own, so that Spark can split the side where one node has most of the edges.
     """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
+
     e = scratch.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
+    now = state(e)
+    while now[0]:
+        few = now[0] * 64 <= BROADCAST_BYTES
+        minima = F.broadcast if few else scratch.settle
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.settle(large.where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = minima(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = large if few else scratch.settle(large)
+        least = minima(large.groupBy("a").agg(F.min("b").alias("m")))
         step = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         nxt = scratch.settle(step.where("a <> b").distinct())
         # settled when every node has one parent and no parent has a parent, that is when the edge set stays the same
-        same = nxt.count() == e.count() and nxt.join(e, ["a", "b"], "left_anti").isEmpty()
-        scratch.drop(e, large)
+        before, now = now, state(nxt)
+        scratch.drop(e, *(() if few else (large, low, least)))
         e = nxt
-        if same:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if now == before:
+            break
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

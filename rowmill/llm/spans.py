@@ -8,12 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: One 64-bit key for a row's id and text. Rows equal in both share it, and share their result.
-ROW_KEY = "k bigint"
-
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+    """A 128-bit key for a row's id and text. Rows equal in both share it, and share their result."""
+    name = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -27,7 +26,7 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-PACKED = "doc_id bigint, k bigint, n_bytes bigint, z binary"
+PACKED = "doc_id bigint, k binary, n_bytes bigint, z binary"
 
 
 def _pack(batches):
@@ -51,7 +50,7 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 CUT_COLUMNS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, starts array<bigint>, ends array<bigint>"
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, choose):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -60,6 +59,7 @@ def _cut(with_text: bool):
             for i, d in enumerate(ids):
                 raw = unpack(batch, i)
                 spans = merged(zip(starts[i].as_py() or (), ends[i].as_py() or ()))
+                spans = choose(raw, spans) if choose else spans
                 at, parts = 0, []
                 for a, b in spans:
                     parts.append(raw[at:a])
@@ -73,10 +73,11 @@ def _cut(with_text: bool):
     return run
 
 
-def cut(docs: DataFrame, spans: DataFrame, with_text: bool = True) -> DataFrame:
-    """CUT_COLUMNS of each row of docs (doc_id, text); spans (k, starts, ends) lists the byte spans to remove by row key.
+def cut(docs: DataFrame, spans: DataFrame, with_text: bool = True, choose=None) -> DataFrame:
+    """CUT_COLUMNS of each row of docs (doc_id, text); spans (k, starts, ends) lists the byte spans to remove by row key; of a text's
+    merged spans, choose(bytes, spans) gives those that go.
 
     Texts are joined to their spans by key, which shuffles each text once.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("k"))
-    return pack(keyed).join(spans, "k", "left").select("doc_id", "n_bytes", "z", "starts", "ends").mapInArrow(_cut(with_text), CUT_COLUMNS)
+    return pack(keyed).join(spans, "k", "left").select("doc_id", "n_bytes", "z", "starts", "ends").mapInArrow(_cut(with_text, choose), CUT_COLUMNS)

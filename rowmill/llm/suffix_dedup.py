@@ -5,13 +5,14 @@ if equal). Equal windows have equal anchors at equal distance, so only windows o
 windows of a text that share an anchor occurrence form a run; a run and the bytes it spans are a context.
 
 1. Anchors are counted; those that occur once cannot lie in a repeated window.
-2. Contexts of the others are grouped by digest with partial counts: a context that occurs twice is repeated as a whole, so a
-   passage that many documents share costs a row a task, and is never brought together.
+2. Contexts of the others are grouped by a 128-bit cryptographic digest of their bytes with partial counts: a context that
+   occurs twice is repeated as a whole, so a passage that many documents share costs a row a task, and is never brought together.
 3. What is left are contexts that occur once under an anchor with other contexts, where repeats begin or end. Their bytes are
    gathered by anchor, one copy of each distinct context, and the suffixes at all their window starts are mergesorted. Two
    suffixes are compared by their common extension, found by binary search over prefix polynomial hashes in about log
    LENGTH steps; neighbours in the order that agree on LENGTH bytes are repeated, once their bytes are compared as well.
-4. An anchor with more than GROUP distinct contexts is not sorted in one task: its windows are counted by digest instead.
+4. An anchor with more than GROUP distinct contexts would be an unbounded group for one task. Its windows are dealt over all
+   tasks by 128-bit digest and counted there: the same spans come out, without a sort.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; matches within one text and overlapping ones
 count; every row of an equal id and text is another place; an empty table gives no rows.
@@ -26,12 +27,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Scratch, mix, powers, slices
+from .common import Scratch, mix, slices
 from .spans import cut, pack, row_key, unpack
 
 LENGTH, GRAM, GROUP = 200, 40, 4000
 _WINDOW = LENGTH - GRAM + 1
-_SEGMENT = 4 << 20
+_SEGMENT = 2 << 20
+#: A random odd 64-bit value for each byte; prefix hashes are polynomials of them modulo 2**64. They only order and propose:
+#: strings of up to LENGTH bytes are far too short for the texts that collide under every base, and equality is checked by bytes.
+BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and _BASE**-i for i <= n, kept between batches."""
+    if len(_POWERS[0]) <= n:
+        size = max(n + 1, 1 << 20)
+        for k, b in enumerate((_BASE, _INVERSE)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS[0], _POWERS[1]
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -51,7 +69,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offs: np.ndarray):
-    """Of the texts in data: text number, anchor hash, first window, number of windows, anchor distance, digest of each run."""
+    """Of the texts in data: text number, anchor hash, first window in it and in data, number of windows, anchor distance of each run."""
     out = []
     for s in range(0, max(len(data) - LENGTH + 1, 0), _SEGMENT):
         piece = data[s : s + _SEGMENT + LENGTH - 1]
@@ -69,25 +87,30 @@ def runs(data: np.ndarray, offs: np.ndarray):
         last = ok.copy()
         last[:-1] &= ~ok[1:] | new[1:]
         lo, hi = np.flatnonzero(new), np.flatnonzero(last)
-        end = hi + LENGTH
-        digest = mix((h[end] - h[lo]) * down[lo] ^ np.uint64(0x2545F4914F6CDD1D))
-        out.append((doc[lo], grams[at[lo]], lo + s - offs[doc[lo]], hi - lo + 1, at[lo] - lo, digest))
+        out.append((doc[lo], grams[at[lo]], lo + s - offs[doc[lo]], lo + s, hi - lo + 1, at[lo] - lo))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
 
 
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128 bits of a cryptographic hash of each piece of raw."""
+    view, blake = memoryview(raw), hashlib.blake2b
+    flat = b"".join(blake(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.arange(len(starts) + 1, dtype=np.int32) * 16), pa.py_buffer(flat)])
+
+
 def _anchors(only_hash: bool):
     def run(batches):
         for batch in batches:
             keys = batch.column("k")
             for a, b, data, offs in slices(batch.column("text")):
-                doc, h, lo, w, j, d = runs(data, offs)
+                doc, h, lo, at, w, j = runs(data, offs)
                 if only_hash:
                     values, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.uint64).view(np.int64)), pa.array(n)], names=["h", "n"])
                 else:
                     k = keys.slice(a, b - a).take(pa.array(doc))
                     place = (lo.astype(np.int64) << 16) | (w.astype(np.int64) << 8) | j.astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), k, pa.array(place), pa.array(d.astype(np.uint64).view(np.int64))], names=["h", "k", "place", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), k, pa.array(place), _digests(data.tobytes(), at, at + w + LENGTH - 1)], names=["h", "k", "place", "d"])
 
     return run
 
@@ -190,7 +213,7 @@ def _spans_of(keys, lo, context, rel, flags):
     first = on[new]
     last = on[np.r_[np.flatnonzero(new)[1:] - 1, len(on) - 1]]
     c = context[first]
-    return pa.RecordBatch.from_arrays([pa.array(keys[c]), pa.array(lo[c] + rel[first]), pa.array(lo[c] + rel[last] + LENGTH)], names=["k", "start", "end"])
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(c)), pa.array(lo[c] + rel[first]), pa.array(lo[c] + rel[last] + LENGTH)], names=["k", "start", "end"])
 
 
 def _sorted(batches):
@@ -204,7 +227,7 @@ def _sorted(batches):
         w, j, lo = (place >> 8) & 0xFF, place & 0xFF, place >> 16
         group = np.cumsum(np.r_[0, (np.diff(h) != 0).astype(np.int64)])
         context, rel, flags = repeated_windows(np.frombuffer(b"".join(raw), np.uint8), base[:-1], w, j, group)
-        return _spans_of(rows.column("k").to_numpy(), lo, context, rel, flags & (n[context] == 1))
+        return _spans_of(rows.column("k"), lo, context, rel, flags & (n[context] == 1))
 
     held: list = []
     for batch in batches:
@@ -238,7 +261,7 @@ def _bytes_of(batches):
             for a in range(0, len(items), 20000):
                 part = items[a : a + 20000]
                 pieces = [raw[x["place"] >> 16 : (x["place"] >> 16) + ((x["place"] >> 8) & 0xFF) + LENGTH - 1] for x in part]
-                columns = [pa.array([x["h"] for x in part], pa.int64()), pa.array([k] * len(part), pa.int64()), pa.array([x["place"] for x in part], pa.int64()), pa.array([x["n"] for x in part], pa.int64()), pa.array([x["many"] for x in part], pa.bool_()), pa.array(pieces, pa.binary())]
+                columns = [pa.array([x["h"] for x in part], pa.int64()), pa.array([k] * len(part), pa.binary()), pa.array([x["place"] for x in part], pa.int64()), pa.array([x["n"] for x in part], pa.int64()), pa.array([x["many"] for x in part], pa.bool_()), pa.array(pieces, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "k", "place", "n", "many", "bytes"])
 
 
@@ -248,14 +271,15 @@ def _windows(batches):
         for x in batch.to_pylist():
             lo, w = x["place"] >> 16, (x["place"] >> 8) & 0xFF
             d = np.frombuffer(b"".join(hashlib.blake2b(x["bytes"][i : i + LENGTH], digest_size=16).digest() for i in range(w)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(w, x["k"])), pa.array(lo + np.arange(w)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["k", "start", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array([x["k"]] * w, pa.binary()), pa.array(lo + np.arange(w)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["k", "start", "w1", "w2"])
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, starts, ends): byte spans of docs (text) to remove, by row key. Spans may overlap."""
     texts = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    twice = texts.mapInArrow(_anchors(True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    live = scratch.settle(texts.mapInArrow(_anchors(False), "h long, k long, place long, d long").join(twice, "h"))
+    # what is joined to places is a table of its own each time, so that Spark can split the places of a hot key
+    twice = scratch.settle(texts.mapInArrow(_anchors(True), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    live = scratch.settle(texts.mapInArrow(_anchors(False), "h long, k binary, place long, d binary").join(twice, "h"))
     shape = F.col("place").bitwiseAND(F.lit(0xFFFF))
     contexts = live.groupBy("h", "d", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("p"))
     contexts = scratch.settle(contexts.select("h", "d", "shape", "n", "p.k", "p.place"))
@@ -263,15 +287,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     lo = F.shiftright("place", 16)
     whole = whole.select("k", lo.alias("start"), (lo + F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + (LENGTH - 1)).alias("end"))
     edges = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 and single > 0")
-    asked = contexts.join(edges.select("h", (F.col("m") > GROUP).alias("many")), "h")
+    asked = contexts.join(scratch.settle(edges.select("h", (F.col("m") > GROUP).alias("many"))), "h")
     asked = asked.groupBy("k").agg(F.collect_list(F.struct("h", "place", "n", "many")).alias("items"))
     packed = pack(docs.select(F.lit(None).cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text")))
-    found = scratch.settle(packed.join(asked, "k").mapInArrow(_bytes_of, "h long, k long, place long, n long, many boolean, bytes binary"))
+    found = scratch.settle(packed.join(asked, "k").mapInArrow(_bytes_of, "h long, k binary, place long, n long, many boolean, bytes binary"))
     few = found.where("not many").repartition("h").sortWithinPartitions("h").select("h", "k", "place", "n", "bytes")
-    spans = few.mapInArrow(_sorted, "k long, start long, end long")
-    many = scratch.settle(found.where("many").select("k", "place", "bytes").mapInArrow(_windows, "k long, start long, w1 long, w2 long").distinct())
+    spans = few.mapInArrow(_sorted, "k binary, start long, end long")
+    many = scratch.settle(found.where("many").select("k", "place", "bytes").mapInArrow(_windows, "k binary, start long, w1 long, w2 long").distinct())
     again = many.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    crowded = many.join(again, ["w1", "w2"]).select("k", "start", (F.col("start") + LENGTH).alias("end"))
+    crowded = many.join(scratch.settle(again), ["w1", "w2"]).select("k", "start", (F.col("start") + LENGTH).alias("end"))
     out = whole.union(spans).union(crowded)
     return out.groupBy("k").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
