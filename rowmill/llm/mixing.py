@@ -1,15 +1,16 @@
 """Mix sources to target weights with hash-threshold histograms.
 
 Sources, in code-point order with null last, weigh 5, 2, 1 in turn and share all words; a target stops at three times its
-source's words and the excess goes to the rest by weight. A document is taken whole: every copy that fits its source's
-target (`target // source_size`), and one more if its hash lies below the source's threshold. Thresholds come from
-histograms of words by hash bucket: cumulate, find the bucket in which the budget runs out, refine only that bucket. Where
-the document at the threshold is long, a part of the budget stays open; further rounds fill it, each with the documents not
-yet taken that fit into it. No document is sorted, and reruns agree because the hash is of the id.
+source's words and the excess goes to the rest by weight. Every document is taken as often as the target holds its whole
+source (`target // source_size`), and once more if its hash lies below the source's threshold; the document at the threshold
+gives as many of its first words as the target still lacks, so a target is met to the word. Thresholds come from histograms
+of words by hash bucket: cumulate, find the bucket in which the budget runs out, refine only that bucket. No document is
+sorted, and reruns agree because the hash is of the id.
 
 Defined cases: null or empty text has size 0 and takes 0; rows that repeat an id, or have none, are told apart by a hash of
-their text, and of equal rows as many are taken as fit; an empty table gives an empty result; extra columns do not matter.
-The SQL takes the rows of an id together; it gives the same where ids are unique.
+their text, and of equal rows as many are taken as fit; one document longer than its source's target is taken in part; an
+empty table gives an empty result; extra columns do not matter and stay as they are, also on a document taken in part.
+Sources are few: their sums pass through one window.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BITS, STEP = 60, 12
-#: Rounds that fill what long documents leave open, and the share of a target below which nothing more is filled.
-ROUNDS, CLOSE = 5, 0.002
 
 
 def mix_hash(doc_id: Column) -> Column:
@@ -56,7 +55,8 @@ KEY = ("h", "h2", "h3")
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sid, t, t2, t3): rows (sid, *KEY, size) below it are the longest run in order of KEY whose sizes fit budgets (sid, left)."""
+    """(sid, t, t2, t3, rest): rows (sid, *KEY, size) below it are the longest run in order of KEY whose sizes fit budgets
+    (sid, left); the row at it, if any, does not fit, and rest of the budget is left for it."""
     none = F.lit(0).cast("long")
     front, done = scratch.settle(budgets.select("sid", "left", none.alias("t"), none.alias("t2"), none.alias("prefix"))), []
     for place, key in enumerate(KEY):
@@ -79,8 +79,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFra
             state = scratch.settle(front.select("sid", "t", "t2", "prefix").join(edge, "sid", "left"))
             single = (F.col("e.lo_h") == F.col("e.hi_h")) & (F.col("e.lo_h2") == F.col("e.hi_h2")) & (F.col("e.lo_h3") == F.col("e.hi_h3"))
             past = bound(F.shiftleft(F.col("prefix") + 1, shift + STEP))
-            done.append(state.where("e is null").select("sid", *[c.alias(t) for c, t in zip(past, ("t", "t2", "t3"))]))
-            done.append(state.where("e is not null").where(single).select("sid", F.col("e.lo_h").alias("t"), F.col("e.lo_h2").alias("t2"), F.col("e.lo_h3").alias("t3")))
+            done.append(state.where("e is null").select("sid", *[c.alias(t) for c, t in zip(past, ("t", "t2", "t3"))], none.alias("rest")))
+            done.append(state.where("e is not null").where(single).select("sid", F.col("e.lo_h").alias("t"), F.col("e.lo_h2").alias("t2"), F.col("e.lo_h3").alias("t3"), F.col("e.left").alias("rest")))
             front = scratch.settle(state.where("e is not null").where(~single).select("sid", F.col("e.left").alias("left"), "t", "t2", F.col("e.b").alias("prefix")))
         # several rows of one hash: it is settled, and the next one tells them apart
         if place < 2:
@@ -108,63 +108,43 @@ def plan_mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """plan_mix of numbered rows, with their numbers."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), mix_hash(F.col("doc_id")).alias("h"), _short(F.col("text")).alias("h2"), "__rm_row")
-    rows = scratch.settle(rows).withColumn("h3", _short(F.col("__rm_row")))
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), mix_hash(F.col("doc_id")).alias("h"), _short(F.col("text")).alias("h2"), F.col("__rm_row").alias("h3"))
+    rows = scratch.settle(rows)
     goal = scratch.settle(targets(rows))
     n = goal.count()
     goals = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    goals = goals.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    per = small(goals, n, 256)
-    rows = rows.withColumnRenamed("source", "src").join(per, F.col("src").eqNullSafe(F.col("source"))).select("doc_id", "size", *KEY, "__rm_row", "sid", "source_size", "target", "whole")
-    rows = scratch.settle(rows)
-    open_rows = rows.where("size > 0 and whole < 3").select("sid", *KEY, "__rm_row", "size")
-    budgets = goals.select("sid", "target", "left")
-    picks = None
-    for _ in range(ROUNDS):
-        budgets = scratch.settle(budgets.where(F.col("left") > F.col("target") * CLOSE).where("left >= 1"))
-        m = budgets.count()
-        if not m:
-            break
-        fit = open_rows.join(small(budgets.select("sid", "left"), m, 64), "sid").where("size <= left").select("sid", *KEY, "__rm_row", "size")
-        if picks is not None:
-            fit = fit.join(picks.select("__rm_row"), "__rm_row", "left_anti")
-        theta = thresholds(fit, budgets, scratch)
-        got = scratch.settle(fit.join(small(theta, m, 64), "sid").where("h < t or h = t and (h2 < t2 or h2 = t2 and h3 < t3)").select("sid", "__rm_row", "size"))
-        used = got.groupBy("sid").agg(F.sum("size").alias("used"))
-        budgets = budgets.join(used, "sid", "left").select("sid", "target", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
-        picks = got if picks is None else picks.union(got)
-    if picks is None:
-        rows = rows.withColumn("extra", F.lit(0))
-    else:
-        rows = rows.join(picks.select("__rm_row", F.lit(1).alias("picked")), "__rm_row", "left").withColumn("extra", F.coalesce("picked", F.lit(0)))
-    return rows.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), "__rm_row")
+    goals = goals.withColumn("left", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
+    rows = rows.withColumnRenamed("source", "src").join(small(goals, n, 256), F.col("src").eqNullSafe(F.col("source"))).select("doc_id", "size", *KEY, "sid", "source_size", "target", "whole")
+    budgets = goals.where("left >= 1").select("sid", "left")
+    theta = thresholds(rows.where("size > 0").select("sid", *KEY, "size"), budgets, scratch)
+    placed = rows.join(small(theta, n, 64), "sid", "left")
+    below = "h < t or h = t and (h2 < t2 or h2 = t2 and h3 < t3)"
+    extra = F.when(F.expr(below), F.col("size")).when(F.expr("h = t and h2 = t2 and h3 = t3"), F.col("rest")).otherwise(0)
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), F.col("h3").alias("__rm_row"))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), n), "")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it is taken. Rows without words are left out, as no words are taken from them."""
+    """The documents as the mix takes them: each row as often as it is taken whole, and a row taken in part once more with as
+    many of its first words. Rows without words are left out, as no words are taken from them."""
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.settle(numbered(docs))
-    plan = _plan(rows, scratch).where("taken > 0").select("__rm_row", (F.col("taken") / F.col("size")).cast("int").alias("__rm_times"))
-    out = rows.join(plan, "__rm_row")
-    return out.withColumn("__rm_copy", F.explode(F.sequence(F.lit(1), F.col("__rm_times")))).select(docs.columns)
+    plan = _plan(rows, scratch).where("taken > 0").select("__rm_row", F.floor(F.col("taken") / F.col("size")).cast("int").alias("__rm_times"), (F.col("taken") % F.col("size")).cast("int").alias("__rm_rest"))
+    out = rows.join(plan, "__rm_row").withColumn("__rm_last", F.col("__rm_times") + F.when(F.col("__rm_rest") > 0, 1).otherwise(0))
+    out = out.withColumn("__rm_copy", F.explode(F.sequence(F.lit(1), F.col("__rm_last"))))
+    part = F.when(F.col("__rm_copy") > F.col("__rm_times"), _first_words(F.col("text"), F.col("__rm_rest"))).otherwise(F.col("text"))
+    return out.withColumn("text", part).select(docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "mix"))
 
 
-def _sql() -> str:
-    rounds, left, picked = "", "g", []
-    for i in range(1, ROUNDS + 1):
-        prev = f"b{i - 1}" if i > 1 else "g"
-        anti = " ".join(f"and not exists (select 1 from t{j} where t{j}.sid = r.sid and t{j}.h = r.h)" for j in range(1, i))
-        rounds += f""",
-        c{i} as (select r.sid, r.h, r.size, p.lft, sum(r.size) over (partition by r.sid order by r.h) as cum from r join {prev} p on p.sid = r.sid
-               where r.size > 0 and r.whole < 3 and p.lft > p.target * {CLOSE} and p.lft >= 1 and r.size <= p.lft {anti}),
-        t{i} as (select sid, h, sum(size) as size from c{i} where cum <= lft group by sid, h),
-        b{i} as (select p.sid, p.target, p.lft - coalesce(u.used, 0) as lft from {prev} p left join (select sid, sum(size) as used from t{i} group by sid) u on u.sid = p.sid)"""
-        picked.append(f"select sid, h from t{i}")
-    return rf"""
+ORACLE_SQL = rf"""
     with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::bigint as size,
                       ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h from documents),
     s as (select source, sum(size)::bigint as source_size from d group by source),
@@ -176,15 +156,12 @@ def _sql() -> str:
     c as (select *, source_size * 3 * (all_w - w_before) <= (total - cap_before) * w as capped from f),
     o as (select *, sum(case when capped then source_size * 3 else 0 end) over () as cap_sum, sum(case when capped then 0 else w end) over () as w_open from c),
     g0 as (select sid, source, source_size, case when capped then (source_size * 3)::double else (total - cap_sum)::double * w / nullif(w_open, 0) end as target from o),
-    g as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole,
-                 target - (case when source_size > 0 then floor(target / source_size)::bigint else 0 end) * source_size as lft from g0),
-    r as (select d.doc_id, d.size, d.h, g.sid, g.source_size, g.target, g.whole from d join g on d.source is not distinct from g.source)
-    {rounds},
-    p as ({" union all ".join(picked)})
-    select r.doc_id, r.size, r.source_size, r.target,
-           ((r.whole + case when r.size > 0 and p.h is not null then 1 else 0 end) * r.size)::bigint as taken
-    from r left join p on p.sid = r.sid and p.h = r.h"""
+    g as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from g0),
+    r as (select d.doc_id, d.size, g.source_size, g.target, g.whole, floor(g.target - g.whole * g.source_size)::bigint as lft,
+                 coalesce(sum(d.size) over (partition by g.sid order by d.h rows between unbounded preceding and 1 preceding), 0) as before
+          from d join g on d.source is not distinct from g.source)
+    select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, lft - before)))::bigint as taken from r"""
 
 
 QUERIES = {"op3_mix_sources": op3_mix_sources}
-ORACLE = {"op3_mix_sources": _sql()}
+ORACLE = {"op3_mix_sources": ORACLE_SQL}
