@@ -1,12 +1,13 @@
-"""Remove repeated lines and sentences: normalise units, group their digests globally, keep the earliest.
+"""Remove repeated lines, sentences and paragraphs: normalise units, group their digests globally, keep the earliest.
 
-A unit is a line, or a sentence within a line (text up to `.`, `!` or `?` before white space), so that a passage set into a
-paragraph is found by the sentences it holds. A unit of at least `min_words` words counts alone; in scripts without spaces
-each character is a word. Shorter ones recur in clean prose, so they count with their neighbours: the run of units that
-starts, or ends, with the short one and has `min_words` words. A short line counts alone as well where it stands in
-`LINE_TEXTS` distinct texts. Units are equal when they are equal after lower-casing and with white space squeezed, runs when
-their units are. The earliest occurrence in order of doc_id and offset stays; every other is removed, and its byte offsets in
-the original text are kept.
+A unit is a paragraph (lines up to an empty one), a line, or a sentence within a line (text up to `.`, `!` or `?` before white
+space), so that a passage set into a paragraph is found by the sentences it holds. A unit of at least `min_words` words counts
+alone; in scripts without spaces each character is a word. Shorter ones recur in clean prose, so they count with their
+neighbours: the run of units that starts, or ends, with the short one and has `min_words` words. Units are equal when they are
+equal after lower-casing and with white space squeezed, runs when their units are. The earliest occurrence in order of doc_id
+and offset stays; every other is a repeat. Repeats with only white space between them are one region, and a region of at
+least `least_words` words is removed; its byte offsets in the original text are kept. Smaller regions are single sentences
+and footers that clean documents share; `least_words=1` removes them as well.
 
 Defined cases: null text is empty and loses nothing; a unit repeated within one document loses its later occurrences; rows
 equal in id and text are one document and both keep what it keeps; null ids rank first; an empty table gives no rows.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .spans import cut, row_key
 
-MIN_WORDS, LINE_TEXTS = 8, 20
+MIN_WORDS, LEAST_WORDS = 8, 20
+_BLANK = re.compile(rb"\n[ \t\r\f\v]*\n\s*")
 _END = re.compile(rb"(?<=[.!?])\s+|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*")
 #: Kana, Han, Thai, Lao, Burmese and Khmer are written without spaces.
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff]")
@@ -39,28 +41,41 @@ def _unit(start: int, piece: bytes) -> tuple[int, int, int, bytes]:
     return start, start + len(piece), n, hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
+def _count(piece: bytes) -> int:
+    """Words, or characters of scripts without spaces."""
+    n = len(piece.split())
+    return n if piece.isascii() else max(n, len(_UNSPACED.findall(piece.decode("utf-8", "replace"))))
+
+
 def _split(raw: bytes):
-    """Lines, and the sentences of all lines (a line that is not cut is one), each as (start, end, words, digest)."""
-    at, lines, sentences = 0, [], []
+    """Paragraphs of several lines and lines, and the sentences of all lines (a line that is not cut is one), each as (start, end, words, digest)."""
+    at, whole, sentences = 0, [], []
     for line in raw.split(b"\n"):
-        lines.append(_unit(at, line))
+        one = _unit(at, line)
+        whole.append(one)
         begin = 0
         for m in _END.finditer(line):
             sentences.append(_unit(at + begin, line[begin : m.start()]))
             begin = m.end()
-        sentences.append(_unit(at + begin, line[begin:]) if begin else lines[-1])
+        sentences.append(_unit(at + begin, line[begin:]) if begin else one)
         at += len(line) + 1
-    return lines, [u for u in sentences if u[2]]
+    at = 0
+    for m in (*_BLANK.finditer(raw), None):
+        end = m.start() if m else len(raw)
+        if b"\n" in raw[at:end]:
+            whole.append(_unit(at, raw[at:end]))
+        at = m.end() if m else end
+    return whole, [u for u in sentences if u[2]]
 
 
 def _run(found) -> tuple[int, int, bytes]:
     return found[0][0], found[-1][1], hashlib.blake2b(b"".join(u[3] for u in found), digest_size=16, person=b"run").digest()
 
 
-def _with_lines(raw: bytes, min_words: int):
-    """What `units` gives, and (start, end, digest) of the short lines."""
-    lines, sentences = _split(raw)
-    out = {(a, b, h) for a, b, n, h in (*lines, *sentences) if n >= max(1, min_words)}
+def units(raw: bytes, min_words: int):
+    """(start, end, digest) of each paragraph, line and sentence with enough words, and of each run around a sentence with fewer."""
+    whole, sentences = _split(raw)
+    out = {(a, b, h) for a, b, n, h in (*whole, *sentences) if n >= max(1, min_words)}
     for i, u in enumerate(sentences):
         if u[2] < min_words:
             for step in (1, -1):
@@ -70,16 +85,10 @@ def _with_lines(raw: bytes, min_words: int):
                     n += sentences[j][2]
                 if n >= min_words:
                     out.add(_run(sentences[min(i, j) : max(i, j) + 1]))
-    short = [(a, b, hashlib.blake2b(h, digest_size=16, person=b"line").digest()) for a, b, n, h in lines if 0 < n < min_words]
-    return sorted(out), short
-
-
-def units(raw: bytes, min_words: int):
-    """(start, end, digest) of each line and sentence with enough words, and of each run around one with fewer."""
-    return _with_lines(raw, min_words)[0]
+    return sorted(out)
 
 
-_PLACES = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("text_id", pa.int64())])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
 def _units(min_words: int, digests_only: bool):
@@ -89,48 +98,57 @@ def _units(min_words: int, digests_only: bool):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids, keys, starts, ends, digests, texts = [], [], [], [], [], []
-                for d, k, t, x in zip(*(part.column(c).to_pylist() for c in ("doc_id", "k", "text", "text_id"))):
-                    found, short = _with_lines((t or "").encode(), min_words)
-                    for n, (a, b, h) in enumerate(found + short):
+                ids, keys, starts, ends, digests = [], [], [], [], []
+                for d, k, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "k", "text"))):
+                    for a, b, h in units((t or "").encode(), min_words):
                         ids.append(d)
                         keys.append(k)
                         starts.append(a)
                         ends.append(b)
                         digests.append(h)
-                        texts.append(x if n >= len(found) else None)
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 if digests_only:
                     values, n = np.unique(h[:, 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["d1", "n"])
                 else:
-                    columns = [ids, keys, starts, ends, h[:, 0].copy(), h[:, 1].copy(), texts]
+                    columns = [ids, keys, starts, ends, h[:, 0].copy(), h[:, 1].copy()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES)], schema=_PLACES)
 
     return run
 
 
-def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = True) -> DataFrame:
+def _regions(least_words: int):
+    """Spans of one text with white space alone between them as one, if they have enough words."""
+
+    def choose(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            if out and not raw[out[-1][1] : a].strip():
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        return [(a, b) for a, b in out if _count(raw[a:b]) >= least_words]
+
+    return choose
+
+
+def drop_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS, with_text: bool = True) -> DataFrame:
     """CUT_COLUMNS of every row: what is left of it, and the removed byte spans.
 
     Half digests are counted first, 8 bytes a unit with partial sums in each task. Only units whose half digest occurs twice
     are placed; the earliest place of each whole digest is a partial minimum as well, so a unit that half of all documents
-    share costs one row a task. The joins are on digests, and Spark may split the side where one of them is hot. Only a short
-    line's places have a text_id; its distinct ones are counted.
+    share costs one row a task. The joins are on digests with tables of counts, so Spark may split the places of a hot one.
     """
     scratch = Scratch(docs.sparkSession, "units")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_id"))
-    counts = keyed.mapInArrow(_units(min_words, True), "d1 long, n long").groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1")
-    places = keyed.mapInArrow(_units(min_words, False), "doc_id long, k long, start int, end int, d1 long, d2 long, text_id long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    counts = scratch.settle(keyed.mapInArrow(_units(min_words, True), "d1 long, n long").groupBy("d1").agg(F.sum("n").alias("n")).where("n > 1").select("d1"))
+    places = keyed.mapInArrow(_units(min_words, False), "doc_id long, k binary, start int, end int, d1 long, d2 long")
     places = scratch.settle(places.join(counts, "d1"))
     place = F.struct("doc_id", "k", "start")
-    short = places.where("text_id is not null").select("d1", "d2", "text_id").distinct()
-    few = short.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < LINE_TEXTS)
-    first = places.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first")
-    first = first.join(few, ["d1", "d2"], "left_anti")
+    first = scratch.settle(places.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("d1", "d2", "first"))
     again = places.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "k", "start").eqNullSafe(F.col("first"))).select("k", "start", "end").distinct()
     spans = again.groupBy("k").agg(F.collect_list(F.col("start").cast("long")).alias("starts"), F.collect_list(F.col("end").cast("long")).alias("ends"))
-    return cut(docs, spans, with_text)
+    return cut(docs, spans, with_text, _regions(least_words))
 
 
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
