@@ -3,9 +3,10 @@
 Every text's words give rolling word k-grams. Their hashes join the k-grams of the licence templates; a match at word i of
 the text and word j of the template votes for the diagonal i - j. Votes are summed by text, template and diagonal. A
 diagonal that holds all k-grams of a template is the template word for word: these are the base matches of the short
-phrases. For long templates neighbouring diagonals are merged, so that a few inserted or lost words only bend the line; the
-merged span counts if enough of the template's k-grams lie on it and it is not much longer than the template. Joined k-grams
-are verified word by word, so no hash collision votes.
+phrases. For long templates neighbouring diagonals are merged, so that a few inserted or lost words only bend the line. A
+merged span is verified: of each place of the template its first vote counts, and only while the places in the text ascend
+with those in the template, so that a fragment said twenty times is one vote. The span counts if `ENOUGH` of the template's
+k-grams and `DENSE` of the span's are such votes. Joined k-grams are compared word by word, so no hash collision votes.
 
 The template table is fixed text of this module, so broadcasting it is bounded. Voting rows are few: only k-grams that occur
 in a template survive the join, which the planner runs in the scan's own stage, without a shuffle of words.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .spans import row_key
 
-K, SLACK, ENOUGH = 3, 4, 0.6
+K, SLACK, ENOUGH, DENSE = 3, 4, 0.6, 0.4
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase and label of the base scan.
@@ -73,15 +74,20 @@ def votes(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(k, label, base, first, last, score): verified spans in words, for docs with a row key k."""
     cast = Scratch(docs.sparkSession, "licenses").settle(votes(docs))  # read twice below; the texts are split once
-    line = cast.groupBy("k", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi"))
-    whole = line.where(F.col("base") & (F.col("n") == F.col("n_grams"))).select("k", "label", "base", F.col("lo").alias("first"), F.col("hi").alias("last"), F.lit(1.0).alias("score"))
+    cast = cast.withColumn("diag", F.col("pos") - F.col("tpos"))
+    line = cast.where("base").groupBy("k", "label", "base", "n_grams", "diag").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi"))
+    whole = line.where(F.col("n") == F.col("n_grams")).select("k", "label", "base", F.col("lo").alias("first"), F.col("hi").alias("last"), F.lit(1.0).alias("score"))
     near = Window.partitionBy("k", "label").orderBy("diag")
-    new = (F.col("diag") - F.lag("diag").over(near) > SLACK) | F.lag("diag").over(near).isNull()
-    bent = line.where(~F.col("base")).withColumn("line", F.sum(F.when(new, 1).otherwise(0)).over(near))
-    bent = bent.groupBy("k", "label", "base", "n_grams", "line").agg(F.sum("n").alias("n"), F.min("lo").alias("first"), F.max("hi").alias("last"))
-    score = F.least(F.lit(1.0), F.col("n") / F.col("n_grams"))
-    fits = (F.col("last") - F.col("first")) <= 2 * (F.col("n_grams") + K)
-    return whole.union(bent.where(fits).select("k", "label", "base", "first", "last", score.alias("score")).where(F.col("score") >= ENOUGH))
+    gap = F.col("diag") - F.lag("diag").over(near)
+    bent = cast.where(~F.col("base")).withColumn("new", F.when(gap.isNull() | (gap > SLACK), 1).otherwise(0))
+    bent = bent.withColumn("line", F.sum("new").over(near))
+    bent = bent.groupBy("k", "label", "base", "n_grams", "line", "tpos").agg(F.min("pos").alias("pos"))
+    before = Window.partitionBy("k", "label", "line").orderBy("tpos").rowsBetween(Window.unboundedPreceding, -1)
+    bent = bent.withColumn("before", F.max("pos").over(before)).where("before is null or pos > before")
+    bent = bent.groupBy("k", "label", "base", "n_grams", "line").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), (F.max("pos") + K).alias("last"))
+    score = F.col("n") / F.col("n_grams")
+    dense = F.col("n") >= DENSE * (F.col("last") - F.col("first") - (K - 1))
+    return whole.union(bent.where(dense & (score >= ENOUGH)).select("k", "label", "base", "first", "last", score.alias("score")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
