@@ -10,7 +10,7 @@ thirds of these, the isotonic curve maps their margin to a rate on the rest.
 Labels, lang, source and doc_id never enter a score. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
 Defined cases: null and empty texts have all densities 0 and are scored like any other; rows that repeat an id take the
-highest label of that id; labels of unknown documents are left out; with too few rows of either label to learn from, the
+highest label of that id; labels of unknown documents are left out; where no row of a label is left to learn from, the
 score follows the number of built-in hits; an empty table gives no rows.
 """
 
@@ -25,13 +25,12 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, Scratch, slices, small, span_hashes, word_spans
+from .common import Scratch, slices, small, span_hashes, word_spans
 from .spans import row_key
 
-#: At most so many labelled rows fit the trees and the calibration, and so many lexicon entries are kept.
-FIT_ROWS, LEXICON, CANDIDATES = 24_000, 600, 20_000
-#: With fewer rows of either label for the trees, built-in hits alone make the score.
-LEAST_ROWS = 8
+#: Bounds of the model: at most so many labelled rows fit the trees and the calibration, and the lexicon has so many entries,
+#: the best by their log-odds over all words and stems. A word that fewer toxic texts have than LEAST is no evidence.
+FIT_ROWS, LEXICON, LEAST = 24_000, 600, 3
 STEM, CUT = 7, 0.3
 #: Insults in the corpus' languages, and second-person words.
 INSULTS = "idiot moron stupid trash scum loser worthless pathetic disgusting clown dumb garbage filth freak jerk imbecile bastard idiota imbécil estúpido basura asqueroso trottel dumm abschaum widerlich crétin débile ordure minable".split()
@@ -67,37 +66,29 @@ def _tokens(data, offs):
     return starts, ends, first, words, np.where(ends - starts > STEM, stems, np.uint64(0))
 
 
-def _vocabulary(keep: np.ndarray | None):
-    """Per task: (hash, number of texts that have it), of all hashes or of those in keep (sorted)."""
-
-    def run(batches):
-        for batch in batches:
-            total: dict = {}
-            for _, _, data, offs in slices(batch.column("text"), 1 << 20):
-                _, _, first, words, stems = _tokens(data, offs)
-                doc = np.repeat(np.arange(len(offs) - 1), np.diff(first)).astype(np.uint64)
-                seen = []
-                for h in (words, stems):
-                    ok = h != 0
-                    if keep is not None:
-                        at = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                        ok &= keep[at] == h
-                    d, x = doc[ok], h[ok]
-                    order = np.lexsort((d, x))
-                    d, x = d[order], x[order]
-                    new = np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])] if len(x) else np.zeros(0, bool)
-                    seen.append(x[new])
-                values, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n)], names=["h", "n"])
-
-    return run
+def _vocabulary(batches):
+    """Per task: (h, toxic, n), the number of texts of each label that have a word or stem."""
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+        for a, b, data, offs in slices(batch.column("text")):
+            _, _, first, words, stems = _tokens(data, offs)
+            doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+            d, x = np.r_[doc, doc], np.r_[words, stems]
+            d, x = d[x != 0], x[x != 0]
+            order = np.lexsort((d, x))
+            d, x = d[order], x[order]
+            new = np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])] if len(x) else np.zeros(0, bool)
+            d, x = d[new], x[new]
+            for t in (0, 1):
+                values, n = np.unique(x[toxic[a:b][d] == t], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.full(len(n), t)), pa.array(n)], names=["h", "toxic", "n"])
 
 
 def _features(shared):
     def run(batches):
         entries, weights, insults, second = shared.value
         for batch in batches:
-            for a, b, data, offs in slices(batch.column("text"), 1 << 20):
+            for a, b, data, offs in slices(batch.column("text")):
                 m = b - a
                 starts, ends, first, words, stems = _tokens(data, offs)
                 count = np.diff(first)
@@ -158,32 +149,25 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-def _int64(h: np.ndarray) -> np.ndarray:
-    return h.astype(np.uint64).view(np.int64)
-
-
 def learn_lexicon(train: DataFrame, entries: int = LEXICON) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and log-odds of the words and stems that mark toxic texts of train (text, toxic)."""
+    """Sorted hashes and log-odds of the words and stems that mark toxic texts of train (text, toxic).
+
+    Counts and log-odds of all words are made in Spark; the driver gets the best `entries`.
+    """
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return np.zeros(0, np.uint64), np.zeros(0)
-    count = lambda t, keep: train.where(F.col("toxic") == t).select("text").mapInArrow(_vocabulary(keep), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    seen = count(1, None).where(F.col("n") >= max(3, bad // 500)).orderBy(F.desc("n"), "h").limit(CANDIDATES).toPandas()
-    h = seen.h.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    h, n_bad = h[order], seen.n.to_numpy(np.float64)[order]
-    if not len(h):
-        return h, np.zeros(0)
-    clean = count(0, h).toPandas()
-    n_good = np.zeros(len(h))
-    n_good[np.searchsorted(h, clean.h.to_numpy(np.int64).view(np.uint64))] = clean.n
-    odds = np.log((n_bad + 0.5) / (bad + 1)) - np.log((n_good + 0.5) / (good + 1))
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0))
+    seen = train.select("text", "toxic").mapInArrow(_vocabulary, "h long, toxic long, n long").groupBy("h").agg(of(1).alias("bad"), of(0).alias("good")).where(F.col("bad") >= LEAST)
+    rate = F.log((F.col("bad") + 0.5) / (bad + 1))
+    seen = seen.withColumn("odds", rate - F.log((F.col("good") + 0.5) / (good + 1)))
     # what one clean text could undo by chance is no evidence
-    sure = np.log((n_bad + 0.5) / (bad + 1)) - np.log((n_good + 2.0) / (good + 4))
-    best = np.flatnonzero(sure > 1.5)
-    best = np.sort(best[np.argsort(-(sure * np.sqrt(n_bad))[best], kind="stable")[:entries]])
-    return h[best], odds[best]
+    seen = seen.withColumn("sure", rate - F.log((F.col("good") + 2.0) / (good + 4))).where("sure > 1.5")
+    best = seen.orderBy(F.desc(F.col("sure") * F.sqrt("bad")), "h").limit(entries).toPandas()
+    h = best.h.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], best.odds.to_numpy(np.float64)[order]
 
 
 class Toxicity:
@@ -198,7 +182,7 @@ class Toxicity:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
 
     def features(self, docs: DataFrame) -> DataFrame:
-        schema = "doc_id long, k long, " + ", ".join(f"{c} double" for c in FEATURES)
+        schema = "doc_id long, k binary, " + ", ".join(f"{c} double" for c in FEATURES)
         return self.keyed(docs).mapInArrow(_features(self.shared), schema)
 
     def margin(self, rows: DataFrame) -> DataFrame:
@@ -230,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Toxicity,
     dealt = rows.join(small(known.where(half == 1), n, 32), "doc_id").withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0).where(F.col("u") < share)
     dealt = scratch.settle(dealt.withColumn("part", F.when(F.col("u") < share * 2 / 3, 0).otherwise(1)).drop("u"))
     have = {(r.part, r.toxic): r["count"] for r in dealt.groupBy("part", "toxic").count().collect()}
-    if min(have.get((0, 0), 0), have.get((0, 1), 0)) >= LEAST_ROWS:
+    if min(have.get((0, 0), 0), have.get((0, 1), 0)) >= 1:
         gbt = GBTClassifier(labelCol="label", featuresCol="x", maxDepth=3, maxIter=12, stepSize=0.3, maxBins=32, minInstancesPerNode=4, seed=7)
         base = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(dealt.withColumn("label", F.col("toxic").cast("double")))
         # the sample is bounded by FIT_ROWS rows of numbers, so it stays in memory; a lost executor recomputes it from the table
