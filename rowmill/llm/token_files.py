@@ -1,18 +1,20 @@
 """Token ids in grammar-compressed files, with random access.
 
-Documents are dealt by ranges of doc_id and sorted, so the files hold them in ascending order. Each task encodes whole
-texts, ends each with an id, and closes a shard once it holds `SHARD` ids. A shard is compressed by Re-Pair: in each round
-the most frequent pairs of neighbouring symbols get nonterminals and are replaced from left to right. A shard is one row of
+Documents are dealt by ranges of doc_id, and of a hash of the text where ids repeat, and sorted, so the files hold them in
+ascending order. Each task encodes whole texts, ends each with an id, and closes a shard once it holds `SHARD` ids. A shard is
+compressed by Re-Pair: in each round the most frequent pairs of neighbouring symbols get nonterminals and are replaced from
+left to right, and rounds go on while one shortens the shard by a share of `GAIN`. A shard is one row of
 a Parquet file: the remaining symbols, the rules (left, right), every rule's expansion length, and for each document its id
 and number of ids. Cumulated expansion lengths tell which symbols hold a range of ids, so one document is decoded without
 the rest of its shard.
 
 Encoding: white space that follows a non-space begins a new pre-token in this kind of byte-level BPE, so pieces cut there
-encode alike alone and in place. Each distinct piece is encoded once by the tokenizers library and looked up afterwards; a
-text with white space outside ASCII, or with a special token's string, is one piece.
+encode alike alone and in place. Pieces met before are looked up by hash and compared byte by byte; the table of pieces is
+bounded in pieces and bytes and starts anew when it is full. A text with white space outside ASCII, or with a special token's
+string, and a piece of over `LONG` bytes go to the tokenizers library each time and are not kept.
 
-Defined cases: null and empty texts give the end id alone; null ids come first; rows that repeat an id are each written;
-an empty table gives an empty file set and no rows.
+Defined cases: null and empty texts give the end id alone; null ids come first; rows that repeat an id are each written, in
+order of a hash of their text; an empty table gives an empty file set and no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Scratch, shared_dir, slices, small, span_hashes
+from .common import FIRST_BYTES, LONG, Scratch, slices, small, span_hashes
 
-SHARD, ROUNDS, RULES_A_ROUND, LEAST = 1 << 20, 4, 2048, 12
-_TABLE = 1 << 21
+SHARD, GAIN, RULES_A_ROUND, LEAST = 1 << 20, 0.01, 2048, 12
+_TABLE, PIECES, PIECE_BYTES = 1 << 20, 500_000, 16 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -49,27 +51,54 @@ class Encoder:
     def clear(self) -> None:
         self.slot = np.zeros(_TABLE, np.int32)
         self.index: dict[int, int] = {}
-        self.hash, self.at, self.len = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.hash, self.at, self.len, self.raw_at, self.raw_len = (np.zeros(1 << 16, t) for t in (np.uint64, *[np.int64] * 4))
         self.ids = np.zeros(1 << 18, np.uint16 if self.base <= 1 << 16 else np.uint32)
-        self.n, self.used = 0, 0
-        self._add([0], [np.zeros(1, self.ids.dtype)])  # piece 0: the id that ends a document
-
-    def _add(self, hashes, lists) -> None:
-        more = sum(map(len, lists))
+        self.raw = np.zeros(1 << 20, np.uint8)
+        self.n, self.used, self.raw_used = 0, 0, 0
+        self._store([np.zeros(1, self.ids.dtype)])  # piece 0: the id that ends a document
+
+    def _store(self, lists) -> np.ndarray:
+        """Numbers of new pieces with these ids."""
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        more = int(lens.sum())
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) > len(self.hash):
-            self.hash, self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.at, self.len))
-        first, lens = self.n, np.fromiter(map(len, lists), np.int64, len(lists))
-        self.hash[first : first + len(lists)] = hashes
-        self.len[first : first + len(lists)] = lens
-        self.at[first : first + len(lists)] = self.used + np.cumsum(lens) - lens
+        while self.n + len(lists) > len(self.at):
+            self.hash, self.at, self.len, self.raw_at, self.raw_len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.at, self.len, self.raw_at, self.raw_len))
+        new = np.arange(self.n, self.n + len(lists))
+        self.len[new], self.at[new] = lens, self.used + np.cumsum(lens) - lens
         if more:
             self.ids[self.used : self.used + more] = np.concatenate(lists)
         self.n, self.used = self.n + len(lists), self.used + more
-        new = np.arange(first, self.n)
+        return new
+
+    def _add(self, hashes, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces that are kept for later texts."""
+        got = self.lib.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        new = self._store([np.array(g.ids, self.ids.dtype) for g in got])
+        raw, lens = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        while self.raw_used + len(raw) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        self.hash[new], self.raw_len[new], self.raw_at[new] = hashes, lens, self.raw_used + np.cumsum(lens) - lens
+        self.raw_used += len(raw)
         self.slot[(self.hash[new] & np.uint64(_TABLE - 1)).astype(np.int64)] = new
         self.index.update(zip(self.hash[new].tolist(), new.tolist()))
+        return new
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each span of data is its piece, byte by byte."""
+        size = ends - starts
+        ok = (piece > 0) & (self.raw_len[piece] == size)
+        mine = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+        kept = np.lib.stride_tricks.sliding_window_view(self.raw, 8)
+        at, j = np.flatnonzero(ok), 0
+        while len(at):
+            differs = mine[starts[at] + j].view(np.uint64).ravel() ^ kept[self.raw_at[piece[at]] + j].view(np.uint64).ravel()
+            ok[at[(differs & FIRST_BYTES[np.minimum(size[at] - j, 8)]) != 0]] = False
+            j += 8
+            at = at[ok[at] & (size[at] > j)]
+        return ok
 
     def _odd(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Which texts hold white space outside ASCII or a special token's string."""
@@ -111,30 +140,35 @@ class Encoder:
             cut[offs[:-1][offs[:-1] < n]] = True
             starts = np.flatnonzero(cut)
             ends = np.r_[starts[1:], n]
-            h = span_hashes(data, starts, ends, BYTE_VALUES)
+            apart = odd[np.searchsorted(offs, starts, "right") - 1] | (ends - starts > LONG)
+            h = span_hashes(data, starts, np.where(apart, starts, ends), folded=False)
             piece = self.slot[(h & np.uint64(_TABLE - 1)).astype(np.int64)].astype(np.int64)
-            miss = np.flatnonzero((self.hash[piece] != h) | (piece == 0))
+            piece[self.hash[piece] != h] = 0
+            miss = np.flatnonzero((piece == 0) & ~apart)
+            raw = data.tobytes()
             if len(miss):
                 values, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                known = np.fromiter((self.index.get(v, -1) for v in values.tolist()), np.int64, len(values))
-                new = np.flatnonzero(known < 0)
-                raw = data.tobytes()
+                known = np.fromiter((self.index.get(v, 0) for v in values.tolist()), np.int64, len(values))
+                new = np.flatnonzero(known == 0)
                 for a in range(0, len(new), 20_000):
                     part = new[a : a + 20_000]
-                    texts = [raw[starts[i] : ends[i]].decode("utf-8") for i in miss[first[part]]]
-                    got = self.lib.encode_batch(texts, add_special_tokens=False)
-                    known[part] = np.arange(self.n, self.n + len(part))
-                    self._add(values[part], [np.array(g.ids, self.ids.dtype) for g in got])
+                    known[part] = self._add(values[part], [raw[starts[i] : ends[i]] for i in miss[first[part]]])
                 piece[miss] = known[back]
+            state = self.n, self.used
+            other = np.flatnonzero(apart | ~self._same(data, starts, ends, piece))  # the last are pieces of equal hash
+            if len(other):
+                got = self.lib.encode_batch([raw[starts[i] : ends[i]].decode("utf-8") for i in other], add_special_tokens=False)
+                piece[other] = self._store([np.array(g.ids, self.ids.dtype) for g in got])
         else:
-            starts, piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            starts, piece, state = np.zeros(0, np.int64), np.zeros(0, np.int64), (self.n, self.used)
         ends_at = np.searchsorted(starts, offs[1:])
         piece = np.insert(piece, ends_at, 0)
         lens = self.len[piece]
         total = np.cumsum(lens)
         ids = self.ids[np.repeat(self.at[piece] - total + lens, lens) + np.arange(int(total[-1]) if len(total) else 0)]
         upto = total[ends_at + np.arange(len(ends_at))]
-        if self.n > 1_500_000:
+        self.n, self.used = state  # what is not kept is overwritten
+        if self.n > PIECES or self.raw_used > PIECE_BYTES:
             self.clear()
         return ids, np.diff(np.r_[0, upto])
 
@@ -148,15 +182,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion length of each rule); symbols from `base` up are nonterminals."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     bits = np.uint32((1 << 18) - 1)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    before = np.inf
+    while len(seq) >= 2 and len(seq) <= (1 - gain) * before:
+        before = len(seq)
         bucket = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B)))
         bucket = (bucket ^ (bucket >> np.uint32(15))) & bits
         counts = np.bincount(bucket, minlength=int(bits) + 1)
@@ -249,7 +283,9 @@ def _shards(path: str, shard_ids: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHARD) -> None:
     """Write docs (doc_id, text) as shards under path, in ascending order of doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # the hash orders the rows of one id, and splits them where an id, or none, has many
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(_shards(tokenizer, shard_ids), SHARD_COLUMNS).write.option("compression", "zstd").parquet(path)
 
 
