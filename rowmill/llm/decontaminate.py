@@ -1,24 +1,32 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of `WIDTH` words that start every `STEP` words. A passage is a TF-IDF vector over the
-benchmark's words, with document counts from all documents; words in more than a fifth of them weigh nothing. A randomised
-SVD finds the latent space: every task multiplies its passages by a random matrix and back, the products are summed over
-the corpus, and their orthonormal basis spans the leading right singular vectors. Passages and benchmark items are compared
-by cosine in that space; of a candidate, the part along the item must reach `HELD` of the item's length. Items of which less
-than `WEIGHING` of the words weigh anything skip that gate, as a match may hold none of these words. A candidate is confirmed on the words themselves: the longest common subsequence with the passage
-and its neighbours must cover `COVER` of the item's words, and `ANSWER` of its last words, where the answer stands.
-
-The benchmark is taken in blocks of `ITEMS` items, so what each task holds (vocabulary x `RANK` numbers) is bounded; items of
-over `WIDTH` words are several passages of one item. Documents are read three times a block and never shuffled. Before the subsequence is computed, word
-signatures tell how many of an item's words the neighbourhood lacks; each one lacking shortens the subsequence by one.
+benchmark's words, with document counts from all documents. A randomised SVD of the matrix of all passages finds the latent
+space: every task multiplies its passages by a random matrix and back, the products are summed over the corpus, and from them
+the leading singular values and right singular vectors follow (the single-view form for A'A: shift, Cholesky factor, small
+SVD). Passages and benchmark items are compared by cosine in that space; of a candidate, the part along the item must reach
+`HELD` of the item's length. Words in more than a fifth of the documents tell passages apart badly and weigh nothing there;
+items of which less than `WEIGHING` of the words weigh anything skip the gate, so a passage that most documents hold, or one
+of common words, is found all the same. A candidate is confirmed on the words themselves, all of them: the longest common
+subsequence with the passage and its neighbours must cover `COVER` of the item's words, and `ANSWER` of its last words, where
+the answer stands.
+
+Items of over `WIDTH` words are cut into pieces of about equal length, each looked up by itself; those found with at least
+`PIECE` of their words count together against the whole item's length and the whole item's last words. The benchmark is taken
+in blocks by a hash of id and text that hold about `ITEMS` passages, so what each task holds (vocabulary x `RANK` numbers) is
+bounded. Documents are read three times a block and never shuffled. Before the subsequence is computed, word signatures tell
+how many of an item's words the neighbourhood lacks; each one lacking shortens the subsequence by one.
 
 Defined cases: null or empty texts and items match nothing; items of fewer than `SHORTEST` words are too short to tell and
-match nothing; a document is reported once for each item, with its best passage; rows that repeat are each reported; an
-empty table on either side gives no rows.
+match nothing; a document is reported once for each item, with its best passages; items equal in id and text are one; of
+passages that share equally many words the first is reported; rows that repeat are each reported; an empty table on either
+side gives no rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +37,9 @@ from .spans import row_key
 from .toxicity import _SPLIT, fold
 
 WIDTH, STEP, RANK, ITEMS, SHORTEST, SIGNATURE = 64, 32, 64, 4000, 6, 1024
-COSINE, HELD, COVER, ANSWER, STOP, WEIGHING = 0.1, 0.3, 0.7, 0.5, 0.2, 0.5
+COSINE, HELD, COVER, PIECE, ANSWER, STOP, WEIGHING = 0.1, 0.3, 0.7, 0.5, 0.5, 0.2, 0.5
+#: Columns of the random matrix beyond the rank.
+OVERSAMPLE = 16
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +109,7 @@ def _sketch(shared):
         vocab, idf, omega = shared.value
         w = np.zeros((len(vocab), omega.shape[1]), np.float64)
         for batch in batches:
-            for _, _, data, offs in slices(batch.column("text"), 1 << 20):
+            for _, _, data, offs in slices(batch.column("text")):
                 p = _Passages(vocab, idf, *words_of(data, offs))
                 if not len(p.term):
                     continue
@@ -143,17 +153,61 @@ def _masks(words) -> dict:
     return out
 
 
+class Item(NamedTuple):
+    """A benchmark item's number in its block and id, its words and how many of the last are its answer, both in all and in this piece."""
+
+    number: int
+    item_id: int | None
+    words: list[int]
+    tail: int
+    total: int
+    answer: int
+
+
+def _pieces_of(rows) -> list[Item]:
+    """Pieces of at most WIDTH words, of about equal length, of the items (item_id, text)."""
+    out = []
+    for number, (item, text) in enumerate(rows):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h, _ = words_of(raw, np.array([0, len(raw)]))
+        n = len(h)
+        if n >= SHORTEST:
+            answer, m = max(3, n // 5), -(-n // WIDTH)
+            for i in range(m):
+                a, b = i * n // m, (i + 1) * n // m
+                out.append(Item(number, item, h[a:b].tolist(), max(0, b - max(a, n - answer)), n, answer))
+    return out
+
+
+def latent_space(sketch: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors, as columns, and singular values of A, from sketch = A'A omega."""
+    nu = np.finfo(np.float64).eps * max(np.linalg.norm(sketch), 1e-30) * np.sqrt(len(sketch))
+    shifted = sketch + nu * omega
+    core = omega.T @ shifted
+    core = (core + core.T) / 2
+    values, vectors = np.linalg.eigh(core)
+    good = values > max(values.max(), 0) * 1e-12
+    if not good.any():
+        return np.zeros((len(sketch), 0)), np.zeros(0)
+    half = shifted @ (vectors[:, good] / np.sqrt(values[good]))
+    u, s, _ = np.linalg.svd(half, full_matrices=False)
+    s = np.sqrt(np.maximum(s**2 - nu, 0))
+    keep = np.flatnonzero(s > s[0] * 1e-7)[:rank] if len(s) else np.zeros(0, np.int64)
+    return u[:, keep], s[keep]
+
+
 def _confirmed(shared):
     def run(batches):
         vocab, idf, basis, items, vectors, norms, latent = shared.value
-        masks = [(_masks(w), _masks(w[-max(3, len(w) // 5) :]), len(w), max(3, len(w) // 5)) for _, w in items]
-        item_bits = _signatures(np.concatenate([np.array(w, np.uint64) for _, w in items]), np.repeat(np.arange(len(items)), [len(w) for _, w in items]), len(items))
-        spare = np.array([len(w) - int(np.ceil(COVER * len(w))) for _, w in items])
-        light = np.array([np.mean(idf[np.searchsorted(vocab, np.array(w, np.uint64))] > 0) < WEIGHING for _, w in items])
+        masks = [(_masks(x.words), _masks(x.words[len(x.words) - x.tail :]), len(x.words), x.tail) for x in items]
+        item_bits = _signatures(np.concatenate([np.array(x.words, np.uint64) for x in items]), np.repeat(np.arange(len(items)), [len(x.words) for x in items]), len(items))
+        least = np.array([int(np.ceil((COVER if x.total == len(x.words) else PIECE) * len(x.words))) for x in items])
+        spare = np.array([len(x.words) for x in items]) - least
+        light = np.array([np.mean(idf[np.searchsorted(vocab, np.array(x.words, np.uint64))] > 0) < WEIGHING for x in items])
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist()
             out = []
-            for a, _, data, offs in slices(batch.column("text"), 1 << 20):
+            for a, _, data, offs in slices(batch.column("text")):
                 h, first = words_of(data, offs)
                 p = _Passages(vocab, idf, h, first)
                 if not len(p.term) and not light.any():
@@ -184,69 +238,62 @@ def _confirmed(shared):
                         lo, hi = max(lo, int(first[d])), min(lo + WIDTH + 2 * STEP, int(first[d + 1]))
                         words = h[lo:hi].tolist()
                         every, last, m, k = masks[q]
-                        share = common_length(every, m, words) / m
-                        if share >= COVER and common_length(last, k, words) >= ANSWER * k:
-                            key = (d, items[q][0])
-                            if key not in best or share > best[key][0]:
-                                best[key] = (share, c, lo - int(first[d]), hi - int(first[d]))
-                out += [(ids[a + d], keys[a + d], item, *v) for (d, item), v in best.items()]
+                        n = common_length(every, m, words)
+                        if n >= least[q]:
+                            tail = common_length(last, k, words) if k else 0
+                            pieces = best.setdefault((d, items[q].number), {})
+                            if q not in pieces or (n, tail) > pieces[q][:2]:
+                                pieces[q] = (n, tail, c, lo - int(first[d]), hi - int(first[d]))
+                for (d, _), pieces in best.items():
+                    one, (n, tail, c, lo, hi) = items[next(iter(pieces))], zip(*pieces.values())
+                    if sum(n) >= COVER * one.total and sum(tail) >= ANSWER * one.answer:
+                        out.append((ids[a + d], keys[a + d], one.item_id, sum(n) / one.total, max(c), min(lo), max(hi)))
             cols = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "k", "item_id", "covered", "cosine", "first_word", "last_word"])
 
     return run
 
 
-LEAK_COLUMNS = "doc_id long, k long, item_id long, covered double, cosine double, first_word long, last_word long"
-
-
-def _passages_of(rows) -> list[tuple[int, list[int]]]:
-    """(item_id, word hashes) of each passage of at most WIDTH words of the items."""
-    out = []
-    for item, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        h, _ = words_of(raw, np.array([0, len(raw)]))
-        if len(h) >= SHORTEST:
-            starts = range(0, max(1, len(h) - STEP), WIDTH) if len(h) > WIDTH else (0,)
-            out += [(item, h[s : s + WIDTH].tolist()) for s in starts]
-    return out
+LEAK_COLUMNS = "doc_id long, k binary, item_id long, covered double, cosine double, first_word long, last_word long"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """LEAK_COLUMNS: each row of docs (doc_id, text) that holds an item of benchmark (item_id, text), or a paraphrase of it."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
     only = docs.select(F.col("text").cast("string").alias("text"))
-    n_blocks = max(1, -(-bench.count() // ITEMS))
+    passages = bench.agg(F.sum(F.ceil((F.length("text") + 1) / (4 * WIDTH)))).first()[0] or 0
+    n_blocks = max(1, -(-int(passages) // ITEMS))
     out = None
     for i in range(n_blocks):
-        rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == i).collect()  # at most about ITEMS rows
-        items = _passages_of(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).collect()  # about ITEMS passages
+        items = _pieces_of(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         if not items:
             continue
-        vocab = np.unique(np.concatenate([np.array(w, np.uint64) for _, w in items]))
+        vocab = np.unique(np.concatenate([np.array(x.words, np.uint64) for x in items]))
         shared = spark.sparkContext.broadcast(vocab)
         counted = only.mapInArrow(_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term").n
         total = int(counted.get(-1, 0))
         n = np.zeros(len(vocab))
         n[counted.index[counted.index >= 0]] = counted[counted.index >= 0]
         idf = np.where(n <= max(2, STOP * total), np.log((total + 1) / (n + 1)) + 0.1, 0.0)
-        omega = np.random.default_rng(11).standard_normal((len(vocab), rank)).astype(np.float32)
+        omega = np.random.default_rng(11).standard_normal((len(vocab), rank + OVERSAMPLE)).astype(np.float32)
+        width = omega.shape[1]
         shared = spark.sparkContext.broadcast((vocab, idf, omega))
-        sums = only.mapInArrow(_sketch(shared), "term long, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[j]) for j in range(rank)]).alias("y"))
+        sums = only.mapInArrow(_sketch(shared), "term long, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[j]) for j in range(width)]).alias("y"))
         got = sums.toPandas()  # one row for each benchmark word of the block
-        w = np.zeros((len(vocab), rank))
+        w = np.zeros((len(vocab), width))
         if len(got):
             w[got.term.to_numpy()] = np.stack(got.y.to_numpy())
-        for item, words in items:  # items count as passages, so that words no document has are in the space as well
-            t = np.searchsorted(vocab, np.array(words, np.uint64))
+        terms = [np.searchsorted(vocab, np.array(x.words, np.uint64)) for x in items]
+        for t in terms:  # items count as passages, so that words no document has are in the space as well
             x = idf[t] / max(np.sqrt((idf[t] ** 2).sum()), 1e-9)
             np.add.at(w, t, x[:, None] * (x @ omega[t])[None, :])
-        basis = np.linalg.qr(w)[0].astype(np.float32)
+        basis = latent_space(w, omega.astype(np.float64), rank)[0].astype(np.float32)
         vectors, norms, latent = np.zeros((len(items), basis.shape[1]), np.float32), np.zeros(len(items)), np.zeros(len(items))
-        for q, (_, words) in enumerate(items):
-            t = np.searchsorted(vocab, np.array(words, np.uint64))
+        for q, t in enumerate(terms):
             v = (basis[t] * idf[t][:, None]).sum(axis=0)
             latent[q] = np.linalg.norm(v)
             vectors[q], norms[q] = v / max(latent[q], 1e-9), np.sqrt((idf[t] ** 2).sum())
