@@ -1,31 +1,46 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to a list of lines, one for each block of the page in order. Text that belongs to menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by element or by the words of its class,
-id or role (a whole one, or a compound of such words and layout words alone), becomes a line of length 0, and so does text outside <article> or <main> where a page has one; within these it
-leaves no line, so that an article stays in one piece. Link text outside them does not count towards a line's length. The lengths are summed over sliding windows of `WINDOW` lines: the text surges where the
-sum rises from 0 above the threshold and dives where it falls back to 0; the lines between a surge and its dive are kept
-whole, short ones included. The threshold is a share of the page's largest window, so a short article is still the peak of
-its own page.
+Markup is stripped in one pass to a list of lines, one for each block of the page in order, each with its length, the length
+of its links and the element that contains it. Lengths are summed over sliding windows of `WINDOW` lines: the text surges
+where the sum rises from 0 above the threshold and dives where it falls back to 0; the lines between a surge and its dive are
+kept whole, short ones included, with the headings right before them. The threshold is a share of the page's largest window,
+so a short article is still the peak of its own page.
+
+What a line counts is its text outside links, and 0 where links make up most of it. Lines of containers that hold less than
+`SHARE` of what the page's largest container holds count 0 too: they neither start nor end a surge, and stay where they stand
+within one. Names are evidence besides: text that belongs to menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments, by element or by class, id or role (a whole name, or a compound of such words and layout
+words alone), is an empty line. Where a page has <article> or <main>, text outside them counts 0, and within them all of it
+counts and marked parts leave no line, so that an article stays in one piece; everyday names (share, legal) count there only
+for parts that links or short lines make up.
+
+Time is linear in the page, broken markup included: an unclosed quote or comment is looked for once.
 
 Defined cases: null or empty html, or a page without main text, gives an empty text; unclosed elements end with the
-element that holds them; rows that repeat are each answered; an empty table gives no rows.
+element that holds them; rows that repeat are each answered; regions of equal windows
+are all kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, SHARE = 3, 0.2
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: An end tag closes an element at most so many levels up; deeper ones are taken as stray.
+DEPTH = 200
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select math".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+#: A tag that ends itself; an unquoted value may end in a slash as well.
+_ALONE = re.compile(r"(?:^|[\s\"'])/$")
 #: Elements that begin or end a block, that hold no content, and that never hold main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,10 +54,9 @@ LAYOUT = frozenset("area bar block body bottom box btn button buttons center col
 #: Marks that name parts of articles too: inside an article they count only where links or short lines make up the element.
 EVERYDAY = frozenset("alert alerts copyright disclaimer discussion foot head hidden legal notice notices related reply respond search share sharing side social".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LINK_SHARE, SHORT_LINE = 0.5, 40
-_TAG = re.compile(r"<[^>]*>")
-_LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS)) + r"|br)\b[^>]*>", re.I)
+#: Elements that make up a container of lines.
+CONTAINERS = frozenset("article aside body dialog div fieldset footer form header html main menu nav section table td ul ol dl".split())
+LINK_SHARE, LINK_LINE, SHORT_LINE = 0.5, 0.8, 40
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -55,18 +69,64 @@ def _names(token: str) -> set[str]:
     return words & MARKS if words <= MARKS | LAYOUT else set()
 
 
-def _sparse(page: str, at: int, name: str) -> bool:
-    """Whether links or short lines make up the element `name` whose content begins at `at`."""
-    depth, end = 1, len(page)
-    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m.group(1) else 1
-        if not depth:
-            end = m.start()
+def _tokens(page: str):
+    """(text before, element name or "", whether it closes, attributes) of each tag, comment or raw element in turn; at the end the text left."""
+    n, at, begin = len(page), 0, 0
+    gone: set[str] = set()  # what does not occur any more from here on
+
+    def find(what: str, start: int) -> int:
+        if what in gone:
+            return -1
+        i = page.find(what, start)
+        if i < 0:
+            gone.add(what)
+        return i
+
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = find("-->", i + 4)
+            yield page[begin:i], "", False, ""
+            at = begin = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", i):
+            end = find("]]>", i)
+            yield page[begin:i], "", False, ""
+            at = begin = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(page, i + 1)
+        if not m and page[i + 1 : i + 2] not in ("!", "?"):
+            at = i + 1
+            continue
+        pos = m.end() if m else i + 2
+        end = -1
+        while m:  # a quoted value may hold the sign that ends a tag
+            stop = _STOP.search(page, pos) if ">" not in gone else None
+            if not stop:
+                gone.add(">")
+                break
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            close = find(stop[0], stop.end())
+            if close < 0:
+                end = find(">", stop.end())
+                break
+            pos = close + 1
+        if not m:
+            end = find(">", pos)
+        if end < 0:  # no tag ends any more: the rest is text
             break
-    part = page[at:end]
-    rows = [n for n in (len(" ".join(_TAG.sub("", x).split())) for x in _BLOCK.split(part)) if n]
-    links = sum(len(" ".join(_TAG.sub("", x).split())) for x in _LINK.findall(part))
-    return links >= LINK_SHARE * sum(rows) or sum(rows) < SHORT_LINE * len(rows)
+        name = m[1].lower() if m else ""
+        closes = page[i + 1] == "/"
+        yield page[begin:i], name if name not in RAW else "", closes, page[m.end() : end] if m and not closes else ""
+        at = begin = end + 1
+        if name in RAW and not closes and page[end - 1] != "/":
+            m = _RAW_END[name].search(page, at)
+            at = begin = m.end() if m else n
+    yield page[begin:], "", False, ""
 
 
 def _marked(attributes: str) -> tuple[bool, bool, bool]:
@@ -87,35 +147,64 @@ def _marked(attributes: str) -> tuple[bool, bool, bool]:
     return around or bool(found), main, not around and found <= EVERYDAY
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length that counts, inside an article) of each block, in page order."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, around the article, in an article
-    piece: list[str] = []
-    links = at = 0
+class Line(NamedTuple):
+    """A block's text, its length outside links (0 if it counts for nothing), container, whether it is a heading, and whether it is in an article."""
+
+    text: str
+    length: int
+    container: int
+    heading: bool
+    inside: bool
+
+
+class _Open:
+    """An open element, and what its lines come to so far."""
+
+    def __init__(self, name: str, around: bool, inside: bool, number: int, doubtful: bool, first: int):
+        self.name, self.around, self.inside, self.number, self.doubtful, self.first = name, around, inside, number, doubtful, first
+        self.text = self.links = self.rows = 0
 
-    def state():
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page, in order."""
+    out: list[Line | None] = []
+    root = _Open("", False, False, 0, False, 0)
+    stack = [root]
+    piece: list[str] = []
+    links = numbers = anchors = 0
 
     def flush():
         nonlocal links
         text = " ".join(html.unescape("".join(piece)).split())
-        around, inside = state()
-        if text and not around:
-            out.append((text, len(text) if inside else max(0, len(text) - links) if links < 0.8 * len(text) else 0, inside))
-        elif text and not inside:
-            out.append(("", 0, False))
         piece.clear()
-        links = 0
+        top, linked, links = stack[-1], links, 0
+        if not text:
+            return
+        for e in doubtful:
+            e.text, e.links, e.rows = e.text + len(text), e.links + linked, e.rows + 1
+        if top.around:
+            if not top.inside:
+                out.append(Line("", 0, top.number, False, False))
+            return
+        counts = len(text) if top.inside else len(text) - linked if linked < LINK_LINE * len(text) else 0
+        out.append(Line(text, max(0, counts), top.number, any(e.name in HEADINGS for e in stack[-3:]), top.inside))
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    def close(i: int):
+        nonlocal anchors
+        for e in stack[i:]:
+            anchors -= e.name == "a"
+            if e.doubtful:
+                doubtful.remove(e)
+                if e.rows and (e.links >= LINK_SHARE * e.text or e.text < SHORT_LINE * e.rows):
+                    out[e.first :] = [None] * (len(out) - e.first)
+        del stack[i:]
+
+    doubtful: list[_Open] = []
+    for text, name, closes, attributes in _tokens(page):
+        if text:
             piece.append(text)
-            if any(x[0] == "a" for x in stack[-6:]):
+            if anchors:
                 links += len(text.strip())
-        at = m.end()
-        name = (m.group(3) or "").lower()
         if not name:
             continue
         if name == "br":
@@ -123,44 +212,53 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in BLOCKS:
             flush()
-        if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+        if closes:
+            for i in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
+                if stack[i].name == name:
+                    close(i)
                     break
-                if stack[i][0] in ("article", "main", "body", "aside", "nav", "footer", "header", "form") and name not in ("article", "main", "body", "html"):
+                if stack[i].name in ("article", "main", "body", "aside", "nav", "footer", "header", "form") and name not in ("article", "main", "body", "html"):
                     break
-        elif name not in VOID and not (m.group(4) or "").endswith("/"):
+        elif name not in VOID and not _ALONE.search(attributes):
             if name in BLOCKS:  # a block ends open paragraphs and what they hold; an item ends the item before
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or name == "li" and stack[i][0] == "li" or name in ("dt", "dd") and stack[i][0] in ("dt", "dd"):
-                        del stack[i:]
+                for i in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
+                    if stack[i].name == "p" or name == "li" and stack[i].name == "li" or name in ("dt", "dd") and stack[i].name in ("dt", "dd"):
+                        close(i)
                         break
-                    if stack[i][0] in BLOCKS:
+                    if stack[i].name in BLOCKS:
                         break
-            around, inside = state()
-            mark, main, everyday = _marked(m.group(4)) if m.group(4) else (False, False, False)
-            mark = mark and name not in HEADINGS and not (inside and everyday and not around and not _sparse(page, m.end(), name))
+            around, inside = stack[-1].around, stack[-1].inside
+            mark, main, everyday = _marked(attributes) if attributes else (False, False, False)
+            mark = mark and name not in HEADINGS
+            doubt = mark and inside and everyday and not around
             outside = name in OUTSIDE and not (name == "header" and inside)
-            hit = around or outside or mark and name not in ("html", "body", "article", "main")
+            hit = around or outside or mark and not doubt and name not in ("html", "body", "article", "main")
             hit = hit or name == "article" and mark and inside
-            stack.append((name, hit, inside or name in ("article", "main") and not hit or main))
-    if at < len(page):
-        piece.append(page[at:])
+            numbers += name in CONTAINERS
+            e = _Open(name, hit, inside or name in ("article", "main") and not hit or main, numbers if name in CONTAINERS else stack[-1].number, doubt and not hit, len(out))
+            stack.append(e)
+            anchors += name == "a"
+            if e.doubtful:
+                doubtful.append(e)
     flush()
-    return out
+    close(1)
+    return [x for x in out if x]
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if any(inside and n for _, n, inside in found):
-        found = [x if x[2] else ("", 0, False) for x in found]
-    if not found:
-        return ""
-    length = [n for _, n, _ in found]
+    if any(x.inside and x.length for x in found):
+        found = [x if x.inside else x._replace(text="", length=0) for x in found]
+    else:
+        held: dict[int, int] = {}
+        for x in found:
+            held[x.container] = held.get(x.container, 0) + x.length
+        most = max(held.values(), default=0)
+        found = [x if held[x.container] >= SHARE * most else x._replace(length=0) for x in found]
+    length = [x.length for x in found]
     size = len(length)
     window = [sum(length[i : i + WINDOW]) for i in range(size)]
-    peak = max(window)
+    peak = max(window, default=0)
     if not peak:
         return ""
     kept, i = [], 0
@@ -173,7 +271,10 @@ def main_text(page: str | None) -> str:
             end += 1
         if max(window[i:end]) >= SHARE * peak:
             full = [j for j in range(i, min(size, end + WINDOW - 1)) if length[j]]
-            kept += [t for t, _, _ in found[full[0] : full[-1] + 1] if t]
+            a, b = full[0], full[-1] + 1
+            while a and found[a - 1].heading and found[a - 1].text:
+                a -= 1
+            kept += [x.text for x in found[a:b] if x.text]
         i = end + WINDOW - 1
     return "\n\n".join(kept)
 

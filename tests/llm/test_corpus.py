@@ -342,9 +342,47 @@ def test_html_marks_are_whole_names():
         assert html_text.main_text("<article><p>" + text + "</p>" + part + "</article>") == text
 
 
+def test_html_finds_the_article_without_names():
+    """With every mark taken away, lengths alone tell the article from menu, advert and footer."""
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Part number {i}</a></li>" for i in range(8)) + "</ul></div>"
+    body = [f"Paragraph {i} of the article has some words to say, and then it says a few more of them before it ends." for i in range(6)]
+    page = f"<body>{menu}<div>Buy it now.</div><div><h1>Head line</h1>" + "".join(f"<p>{x}</p>" for x in body[:3]) + "<p>Short.</p>" + "".join(f"<p>{x}" for x in body[3:]) + "</div><div>(c) example</div></body>"
+    assert html_text.main_text(page) == "\n\n".join(["Head line", *body[:3], "Short.", *body[3:]])
+    for part in ("<div class='share-price'><p>{}</p></div>", "<section id='legal-history'><p>{}</p></section>"):
+        assert html_text.main_text("<article><p>" + body[0] + "</p>" + part.format(body[1]) + "</article>") == body[0] + "\n\n" + body[1]
+
+
+def test_html_surge_and_dive_against_plain_windows():
+    """Pages of one paragraph a line in one container: regions of windows by their definition."""
+    r = random.Random(6)
+    for _ in range(200):
+        sizes = [r.choice([0, 0, 0, 5, 30, 200]) for _ in range(r.randint(1, 30))]
+        page = "<body>" + "".join(f"<p>{'x' * n}</p>" if n else f"<p><a>{'link' * 9}</a></p>" for n in sizes) + "</body>"
+        window = [sum(sizes[i : i + 3]) for i in range(len(sizes))]
+        want, i = [], 0
+        while i < len(sizes):
+            j = i
+            while j < len(sizes) and window[j]:
+                j += 1
+            if j > i and max(window[i:j]) >= 0.2 * max(window):
+                inside = [k for k in range(i, min(len(sizes), j + 2)) if sizes[k]]
+                want += ["x" * sizes[k] if sizes[k] else "link" * 9 for k in range(inside[0], inside[-1] + 1)]
+            i = j + 2 if j > i else i + 1
+        assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def test_html_broken_markup_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for bad in ("<a href=\"x", "<!--", "<", "<div class='a", "</div>", "<b x=\"<"):
+        html_text.main_text(bad * (3_000_000 // len(bad)))
+    assert time.perf_counter() - began < 60
+
+
 def test_html_table(spark):
-    df = spark.createDataFrame([(1, "u", "<p>A short page.</p>", 3), (2, None, None, 4)], "page_id long, url string, html string, n_chars int")
-    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "A short page.", 13), (2, "", 0)]
+    df = spark.createDataFrame([(1, "u", "<p>A short page.</p>", 3), (2, None, None, 4), (1, "u", "<p>A short page.</p>", 3), (3, "", "<p>" + "word " * 200_000, None)], "page_id long, url string, html string, n_chars int")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "A short page.", 13), (1, "A short page.", 13), (2, "", 0), (3, ("word " * 200_000).strip(), 999_999)]
 
 
 def test_decontaminate(spark):
