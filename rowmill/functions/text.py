@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import DESCRIPTION_MAX, DESCRIPTION_MIN, DESCRIPTION_SENTENCES, FORBIDDEN_WORDS, ISSUE_COST, MISSING_WORDS, URL_PATTERN
+from ..constants import DESCRIPTION_MAX, DESCRIPTION_MIN, DESCRIPTION_SENTENCES, EXTEND_NONE, EXTEND_PROFILE, EXTEND_REGION, FORBIDDEN_WORDS, ISSUE_COST, MISSING_WORDS, URL_PATTERN
 
 
 def c(x) -> Column:
@@ -139,8 +139,8 @@ def expand_short(x, region, profile, min_len: int = DESCRIPTION_MIN) -> Column:
     t = sanitize_text(x)
     s = sentences(t)
     r, p = blank(region), blank(profile)
-    parts = F.array_compact(F.array(F.concat(F.lit("региональная привязка сформирована по направлению «"), r, F.lit("»")), F.concat(F.lit("профиль деятельности относится к направлению «"), p, F.lit("»"))))
-    none = F.array(F.lit("операционная роль компании описана на основе переданных регистрационных и отраслевых данных"))
+    parts = F.array_compact(F.array(F.concat(F.lit(EXTEND_REGION), r, F.lit("»")), F.concat(F.lit(EXTEND_PROFILE), p, F.lit("»"))))
+    none = F.array(F.lit(EXTEND_NONE))
     extra = F.concat(F.lit("; "), F.array_join(F.when(F.size(parts) > 0, parts).otherwise(none), ", а "))
     third = F.concat(F.regexp_replace(F.get(s, F.lit(2)), r"\.+$", ""), extra, F.lit("."))
     longer = F.concat_ws(" ", F.get(s, F.lit(0)), F.get(s, F.lit(1)), third, F.get(s, F.lit(3)))

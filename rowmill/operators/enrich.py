@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
+from .rows import keep_first
 
 
 def enrich_cached(df: DataFrame, key: str, cache: DataFrame, provider: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    """(df with the cache's columns, new cache rows). The provider gets the distinct keys the cache lacks and returns rows like the cache's; failures it leaves out are asked again next time."""
+    """(df with the cache's columns, new cache rows). The provider gets the distinct keys the cache lacks and returns rows like the cache's; failures it leaves out are asked again next time. Of several rows of a key the first in order of all columns counts."""
     misses = df.select(key).where(F.col(key).isNotNull()).distinct().join(cache, key, "left_anti")
     new = provider(misses) if provider else cache.limit(0)
-    return df.join(cache.unionByName(new), key, "left"), new
+    known = cache.unionByName(new)
+    return df.join(keep_first(known.where(F.col(key).isNotNull()), [key], [F.col(x) for x in known.columns if x != key]), key, "left"), new
 
 
 def map_provider(call, schema: str) -> Callable[[DataFrame], DataFrame]:
@@ -36,9 +38,11 @@ def map_provider(call, schema: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def fill_coords(df: DataFrame, lookup: DataFrame, address: str = "address") -> tuple[DataFrame, DataFrame]:
-    """(df with lat, lon and where they come from, rows left without and why). Stated coordinates stay."""
+    """(df with lat, lon and where they come from, rows left without and why). Stated coordinates stay. Of several
+    lookup rows of an address one with coordinates counts, the first in order of its columns."""
     known = ~is_missing("lat") & ~is_missing("lon")
     found = lookup.select(F.col(address).alias("_address"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("status").alias("_status"))
+    found = keep_first(found.where("_address is not null"), ["_address"], [F.col("_lat").isNull(), "_lat", "_lon", "_status"])
     out = df.join(found, (F.col(address) == F.col("_address")) & ~known, "left")
     got = ~known & F.col("_lat").isNotNull()
     out = out.withColumns({"lat": F.when(known, F.col("lat")).when(got, F.col("_lat")), "lon": F.when(known, F.col("lon")).when(got, F.col("_lon")), "geo_source": F.when(known, "stated").when(got, "lookup")})
@@ -49,6 +53,4 @@ def fill_coords(df: DataFrame, lookup: DataFrame, address: str = "address") -> t
 
 def assemble(clean: DataFrame, enriched: DataFrame, geo: DataFrame, key: str, order) -> DataFrame:
     """Clean rows with enriched and geo columns; each right side keeps its first row of a key, so that no row multiplies."""
-    from .rows import keep_first
-
     return clean.join(keep_first(enriched, [key], order), key, "left").join(keep_first(geo, [key], order), key, "left")

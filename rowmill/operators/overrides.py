@@ -21,10 +21,11 @@ def read_overrides(spark: SparkSession, path: str, cols=("record_id", "INN", "Co
 
 def match_overrides(df: DataFrame, ov: DataFrame, row_id: str = "record_id", inn: str = "INN", name: str = "CompanyNameOfficial") -> DataFrame:
     """(record id, override_no): for each override the rows of its best way to match."""
-    alone = F.count(F.lit(1)).over(Window.partitionBy("_inn")) == 1
-    rows = df.select(F.col(row_id).alias("_id"), digits(inn).alias("_inn"), blank(name).alias("_name")).withColumn("_alone", F.col("_inn").isNotNull() & alone)
+    rows = df.select(F.col(row_id).alias("_id"), digits(inn).alias("_inn"), blank(name).alias("_name"))
+    alone = rows.where("_inn is not null").groupBy("_inn").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_inn", F.lit(True).alias("_alone"))
+    rows = rows.join(alone, "_inn", "left")  # rows without an id match no key, and are never brought together
     o = ov.select("override_no", blank(row_id).alias("o_id"), digits(inn).alias("o_inn"), blank(name).alias("o_name"))
-    ways = [F.col("_id") == F.col("o_id"), (F.col("_inn") == F.col("o_inn")) & (F.col("_name") == F.col("o_name")), (F.col("_inn") == F.col("o_inn")) & F.col("_alone")]
+    ways = [F.col("_id") == F.col("o_id"), (F.col("_inn") == F.col("o_inn")) & (F.col("_name") == F.col("o_name")), (F.col("_inn") == F.col("o_inn")) & F.coalesce("_alone", F.lit(False))]
     hits = None
     for i, on in enumerate(ways):
         part = rows.join(o, on).select("override_no", F.col("_id").alias(row_id), F.lit(i).alias("_way"))

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from ..constants import REGION_ALIASES, REGIONS
 from ..functions.ids import digits
 from ..functions.text import blank, c
+from .rows import keep_first
 
 
-def alias_key(x):
-    return F.btrim(F.regexp_replace(F.translate(F.lower(F.coalesce(c(x), F.lit(""))), "ё", "е"), r"(?U)\s+", " "), F.lit(" .,;"))
+#: Abbreviated kinds of region, which both names and texts may have.
+KINDS = {"респ": "республика", "обл": "область", "кр": "край"}
 
 
-def _seed() -> list[tuple[str, str, str]]:
-    rows = [r.strip() for r in REGIONS.replace("\n", " ").split(";")]
-    return [(r[:2], r[3:].rsplit(" ", 1)[0], r.rsplit(" ", 1)[1]) for r in rows if r]
+def alias_key(x):
+    """Lower case, single spaces, no dashes between words, kinds spelled out."""
+    t = F.translate(F.lower(F.coalesce(c(x), F.lit(""))), "ё", "е")
+    for short, whole in KINDS.items():
+        t = F.regexp_replace(t, rf"(?<![а-яa-z]){short}(?:\.|(?![а-яa-z]))", whole)
+    return F.btrim(F.regexp_replace(t, r"(?U)\s+(?:[—–-]\s+)?", " "), F.lit(" .,;"))
 
 
 def load_regions(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(code, region, district) and (alias, region); a CSV file of region_code, region_name, federal_district and aliases, set apart by |, overrides the built-in rows."""
-    seed = spark.createDataFrame([(*r, 0) for r in _seed()], "code string, region string, district string, layer int")
-    named = [(r, x) for _, r, _ in _seed() for x in (r, r.replace(" — ", " "), r.replace("Республика ", "респ "), r.replace("область", "обл"))] + [(r, x) for r, xs in REGION_ALIASES.items() for x in xs]
+    seed = spark.createDataFrame([(*r, 0) for r in REGIONS], "code string, region string, district string, layer int")
+    named = [(r, r) for _, r, _ in REGIONS] + [(r, x) for r, xs in REGION_ALIASES.items() for x in xs]
     alias = spark.createDataFrame([(x, r, 0) for r, x in named], "alias string, region string, layer int")
     if path:
         own = spark.read.option("header", True).csv(path)
@@ -69,6 +73,7 @@ def region_from_address(df: DataFrame, col: str, alias: DataFrame, out: str = "r
 
 
 def with_district(df: DataFrame, dim: DataFrame, on: str, district: str = "district", missing: str = "__DISTRICT_NOT_MAPPED__") -> tuple[DataFrame, DataFrame]:
-    """(df with district, counts of unmapped values). Unmapped rows keep a placeholder."""
-    out = df.join(F.broadcast(dim), on, "left").withColumn(district, F.coalesce(district, F.lit(missing)))
+    """(df with district, counts of unmapped values). Of several dimension rows of a name the first in order of all columns
+    counts, so that no row multiplies; unmapped rows keep a placeholder. The plan broadcasts the dimension if it is small."""
+    out = df.join(keep_first(dim.where(F.col(on).isNotNull()), [on], [F.col(x) for x in dim.columns if x != on]), on, "left").withColumn(district, F.coalesce(district, F.lit(missing)))
     return out, out.where(F.col(district) == missing).groupBy(on).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -72,6 +72,22 @@ def quality_gate(layers: dict[str, DataFrame], exported: int | DataFrame, min_em
     facts = reduce(DataFrame.crossJoin, one.values())  # one row each
     if not isinstance(exported, DataFrame):
         facts = facts.withColumn("exported_rows", F.lit(exported))
+    return _checks(facts)
+
+
+def quality_gate_routed(active: DataFrame, routed: DataFrame, min_employees: float, min_revenue: float, status: str = "status", exported: str = "include") -> DataFrame:
+    """quality_gate of layers that are one frame's routes, in a single pass over it; the rows of `exported` are the export."""
+    routes = {"included": "include", "excluded": "exclude", "review": "review"}
+    aggs = [F.count(F.lit(1)).alias("routed_rows"), F.count_if(digits("inn").isNull()).alias("routed_no_inn"), F.count_if(F.col(status) == exported).alias("exported_rows")]
+    for name, value in routes.items():
+        aggs += [F.count_if(F.col(status) == value).alias(f"{name}_rows"), F.count_if((F.col(status) == value) & digits("inn").isNull()).alias(f"{name}_no_inn")]
+    low = (to_double("employees") < min_employees) & (to_double("revenue_rub") < min_revenue)
+    aggs.append(F.count_if((F.col(status) == routes["included"]) & low).alias("bad_included"))
+    first = active.agg(F.count(F.lit(1)).alias("active_rows"), F.count_if(digits("inn").isNull()).alias("active_no_inn"))
+    return _checks(first.crossJoin(routed.agg(*aggs)))  # one row each
+
+
+def _checks(facts: DataFrame) -> DataFrame:
     say = lambda name, ok, details, bad="FAIL": F.struct(F.lit(name).alias("check_name"), F.when(ok, "PASS").otherwise(bad).alias("status"), details.alias("details"))
     n = lambda x: F.col(x).cast("string")
     checks = [
@@ -81,7 +97,7 @@ def quality_gate(layers: dict[str, DataFrame], exported: int | DataFrame, min_em
         say("export_row_count", F.col("exported_rows") == F.col("included_rows"), F.concat_ws(" ", n("exported_rows"), n("included_rows"))),
     ]
     checks += [say(x.replace("_no_", "_has_"), F.col(x) == 0, F.concat(F.lit("missing="), n(x))) for x in facts.columns if "_no_" in x]
-    if "issues" in layers:
+    if "issues_rows" in facts.columns:
         checks.append(say("routing_issues", F.col("issues_rows") == 0, F.concat(F.lit("rows="), n("issues_rows")), "WARN"))
     facts = facts.select(F.array(*checks).alias("x"))
     overall = F.struct(F.lit("overall").alias("check_name"), F.when(F.exists("x", lambda y: y["status"] == "FAIL"), "FAIL").otherwise("PASS").alias("status"), F.lit("").alias("details"))

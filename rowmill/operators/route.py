@@ -82,3 +82,10 @@ def route_summary(df: DataFrame) -> DataFrame:
 def match_summary(df: DataFrame) -> DataFrame:
     one = lambda name, cond: F.count_if(F.expr(cond)).alias(name)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), one("matched_rows", "matched"), one("included_rows", "status = 'include'"), one("excluded_rows", "status = 'exclude'"), one("review_rows", "status = 'review'"))
+
+
+def routing_report(df: DataFrame, identity) -> DataFrame:
+    """What a reader of the routing gets: who a row is, its facts, where it went and, if it was excluded, why in words."""
+    out = F.col("status") == "exclude"
+    told = F.when(out, F.concat(F.lit("excluded by thresholds: "), F.col("reason")))
+    return df.select(*identity, "employees", "revenue_rub", "status", "reason", out.alias("excluded"), told.alias("exclusion_text"))

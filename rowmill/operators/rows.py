@@ -54,10 +54,12 @@ def best_record(df: DataFrame, key: str, confidence: str, rich, order) -> DataFr
     return keep_first(df.where(blank(key).isNotNull()), [key], [rank.desc(), filled.desc(), *order]).unionByName(df.where(blank(key).isNull()))
 
 
-def ensure_record_id(df: DataFrame, source_name: str = "") -> DataFrame:
-    """df with blank record ids, file names and row numbers filled in."""
+def ensure_record_id(df: DataFrame, source_name: str = "", order=None) -> DataFrame:
+    """df with blank record ids and file names filled in; with `order`, blank row numbers too, by the row's place in it."""
     df = ensure_columns(df, ["record_id", "source_file", "source_row_no"])
     df = df.withColumn("source_file", F.coalesce(blank("source_file"), F.lit(source_name)))
+    if order:
+        df = with_seq(df, order, "_place").withColumn("source_row_no", F.coalesce(blank("source_row_no"), F.col("_place").cast("string"))).drop("_place")
     made = record_id("source_file", "source_row_no", "INN", "Sector", "Industry", "Subindustry")
     return df.withColumn("record_id", F.coalesce(blank("record_id"), made))
 

@@ -8,37 +8,42 @@ from pyspark.sql import functions as F
 from ..constants import PLACEHOLDER_PARTS, PLACEHOLDERS, SECRET_KEY_PATTERN
 from ..functions.ids import ids_in_text
 
-ASSIGNMENT = r"^\s*([A-Za-z0-9_.-]+)\s*[:=]\s*(.*?)\s*$"
-BEARER = r"(?i)\bbearer\s+([A-Za-z0-9._~+\-/=]{12,})"
-URL_VALUE = r"(?i)(?:api[_-]?key|apikey|token|secret|password)=([^&\s'\"]{6,})"
-CODE = r"^(?:[A-Za-z_][A-Za-z0-9_.]*|[A-Za-z_][A-Za-z0-9_.]*\(.*\))$"
+#: A name, a sign, and a value in quotes or up to a comment.
+NAMED = r"""^\s*["']?([\w.-]+)["']?\s*[=:]\s*(?:"([^"]*)"|'([^']*)'|([^#;]*))"""
+#: Values that follow a word of their own anywhere in a line, by kind.
+LOOSE = {
+    "bearer_token": r"(?i)(?<![\w])bearer[ \t]+([\w.~+/=-]{12,})",
+    "url_credential": r"(?i)(?<![a-z])(?:token|secret|password|api[-_]?key)=([^\s&'\"]{6,})",
+}
+#: A name of code, or a call of one, stands where a value is computed.
+COMPUTED = r"^[^\W\d]\w*(?:\.\w+)*(?:\(.*\))?$"
+#: Signs of a mask.
+MASK = r"^[-_.*xX]+$"
 
 
 def is_placeholder(v: Column) -> Column:
-    """Values that stand for a credential and are none: placeholders, code, masks."""
+    """Values that stand for a credential and are none: stated placeholders, code, masks, paths of a secrets folder."""
     low = F.lower(v)
-    hit = low.isin(PLACEHOLDERS) | v.rlike(CODE) | v.rlike(r"^[*xX._-]*$") | v.startswith("secrets/") | v.startswith("secrets\\")
-    for part in PLACEHOLDER_PARTS:
-        hit = hit | low.contains(part)
-    return hit
+    parts = F.exists(F.array(*[F.lit(p) for p in PLACEHOLDER_PARTS]), lambda p: F.contains(low, p))
+    return low.isin(PLACEHOLDERS) | parts | v.rlike(COMPUTED) | v.rlike(MASK) | v.rlike(r"^secrets[/\\]")
 
 
-def _hits(pattern: str, kind: str) -> Column:
-    return F.transform(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(kind).alias("key"), F.rtrim(h, F.lit(",);]}")).alias("v")))
+def _loose(kind: str, pattern: str, finding) -> Column:
+    hits = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
+    return F.transform(hits, lambda h: finding(kind, F.lit(kind), F.rtrim(h, F.lit(",);]}"))))
 
 
 def scan_secrets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, kind, key, value_length, value_sha256) of each distinct finding."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, r"\r?\n")).alias("line_no", "line"))
+    lines = df.select(id_col, F.posexplode(F.split(text_col, r"\r?\n")).alias("at", "line"))
     # a line without any of the words cannot hold a finding; this is checked once before the patterns
-    lines = lines.where(F.col("line").rlike(r"(?i)key|token|passw|secret|bearer|folder")).withColumn("line_no", F.col("line_no") + 1)
-    key, raw = F.regexp_extract("line", ASSIGNMENT, 1), F.regexp_extract("line", ASSIGNMENT, 2)
-    value = F.btrim(F.trim(F.regexp_replace(raw, "[#;].*$", "")), F.lit("'\""))
-    named = F.when(key.rlike(SECRET_KEY_PATTERN) & (value != ""), F.array(F.struct(F.lit("credential_assignment").alias("kind"), key.alias("key"), value.alias("v")))).otherwise(F.array())
-    found = [named]
-    for pattern, kind in ((BEARER, "bearer_token"), (URL_VALUE, "url_credential")):
-        found.append(_hits(pattern, kind))
-    out = lines.select(id_col, "line_no", F.explode(F.concat(*found)).alias("f")).where(~is_placeholder(F.col("f.v")))
+    lines = lines.where(F.col("line").rlike(r"(?i)key|token|passw|secret|bearer|folder"))
+    finding = lambda kind, key, v: F.struct(F.lit(kind).alias("kind"), key.alias("key"), v.alias("v"))
+    key = F.regexp_extract("line", NAMED, 1)
+    value = F.btrim(F.concat(*[F.regexp_extract("line", NAMED, i) for i in (2, 3, 4)]), F.lit(" \t'\""))
+    found = [F.when(key.rlike(SECRET_KEY_PATTERN) & (value != ""), F.array(finding("credential_assignment", key, value))).otherwise(F.array())]
+    found += [_loose(kind, pattern, finding) for kind, pattern in LOOSE.items()]
+    out = lines.select(id_col, (F.col("at") + 1).alias("line_no"), F.explode(F.concat(*found)).alias("f")).where(~is_placeholder(F.col("f.v")))
     return out.select(id_col, "line_no", "f.kind", "f.key", F.length("f.v").alias("value_length"), F.substring(F.sha2(F.col("f.v"), 256), 1, 12).alias("value_sha256")).distinct()
 
 
@@ -46,6 +51,11 @@ def findings_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("kind").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
+def findings_report(df: DataFrame, id_col: str) -> DataFrame:
+    """Findings in order of source, line and kind, for reading; the sort is by ranges."""
+    return df.select(id_col, "line_no", "kind", "key", "value_length", "value_sha256").orderBy(id_col, "line_no", "kind", "key")
+
+
 def recover_lost_ids(lines: DataFrame, final: DataFrame, text: str = "line", inn: str = "inn", only_missing: bool = True) -> DataFrame:
     """Ids in raw lines with a flag whether the final layer has them, or only those it lacks."""
     found = lines.withColumn(inn, F.explode(ids_in_text(text)))

@@ -1,6 +1,6 @@
 """Registered queries and the DuckDB SQL each must equal."""
 
-from . import suite_rows, suite_text
+from . import suite_files, suite_rows, suite_text
 
-QUERIES: dict = suite_rows.QUERIES | suite_text.QUERIES
-ORACLE: dict = suite_rows.ORACLE | suite_text.ORACLE
+QUERIES: dict = suite_rows.QUERIES | suite_text.QUERIES | suite_files.QUERIES
+ORACLE: dict = suite_rows.ORACLE | suite_text.ORACLE | suite_files.ORACLE

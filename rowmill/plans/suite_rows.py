@@ -342,8 +342,7 @@ def flat_validate(spark, sf_dir):
       unnest(['rows=' || a, a || ' ' || i || ' ' || x || ' ' || r, 'bad=0', i || ' ' || i, 'missing=0', 'missing=0', 'missing=0', 'missing=0', 'missing=0', '']) as details from n""")
 def quality_gate(spark, sf_dir):
     s = routed(spark, sf_dir)
-    r = route.split_routes(s)
-    return reports.quality_gate({"active": entities(spark, sf_dir), "routed": s, "included": r["include"], "excluded": r["exclude"], "review": r["review"]}, r["include"], MIN_EMPLOYEES, MIN_REVENUE)
+    return reports.quality_gate_routed(entities(spark, sf_dir), s, MIN_EMPLOYEES, MIN_REVENUE)
 
 
 @query(f"with {ENTITIES} select subindustry, case subindustry when 'MACHINERY' then 1 when 'BUILDING' then 2 else 9999 end as position, count(*) as n_rows from e group by 1, 2")

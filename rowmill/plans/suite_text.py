@@ -220,9 +220,9 @@ def _raw_lines(spark, sf_dir):
     name = F.when(k == 1, F.concat(F.lit('"Line\nBreak, '), F.col("official_name"), F.lit('"'))).when(k == 2, F.concat(F.lit("Firm, "), F.col("official_name"))).otherwise(F.col("official_name"))
     tail = F.when(k == 2, F.lit("r1,r2,01,some, text,www.x.ru,src, more")).when(k == 3, F.lit("r1,r2")).otherwise(F.lit("r1,r2,01,text,www.x.ru,src"))
     line = F.concat(head, F.lit(","), name, F.lit(","), "inn", F.lit(","), tail)
-    files = e.select(F.concat(F.lower("subindustry"), F.lit(".csv")).alias("file"), "row_no", line.alias("line"))
-    whole = files.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return ingest.split_lines(whole, "file", "text")
+    files = e.select(F.concat(F.lower("subindustry"), F.lit(".csv")).alias("source_file"), "row_no", F.posexplode(F.split(line, "\n")).alias("i", "line"))
+    lines = files.select("source_file", F.floor(F.col("row_no") / 4096).alias("block"), F.struct("row_no", "i").alias("_id"), "line")
+    return ingest.number_lines(lines, "source_file").select("source_file", "line_no", "line")
 
 
 @query(f"with {ENTITIES} select lower(subindustry) || '.csv' as source_file, count(*) + count(*) filter (row_no % 4 = 1) as n_lines, (count(*) + count(*) filter (row_no % 4 = 1))::bigint as last_line from e group by 1")

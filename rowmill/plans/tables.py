@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder all executors share."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="rowmill-")
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:  # a machine's own folder will do where driver and executors are one process
+        root = tempfile.mkdtemp(prefix="rowmill-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_rowmill"
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 

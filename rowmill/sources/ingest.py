@@ -34,9 +34,23 @@ def scan_dir(spark: SparkSession, globs, exclude=(), fmt: str = "csv", **options
 
 
 def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """(source_file, line_no, line) of text files, numbered from 1 in each file."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), "value")
-    return split_lines(whole, "source_file", "value")
+    """(source_file, line_no, line) of text files, numbered from 1 in each file.
+
+    Files are read in blocks. A block's lines are numbered by the order in which its task reads them, and start after the
+    lines of the blocks before.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.option("lineSep", "\n").text(paths).select(place.alias("at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    return number_lines(lines.select("at.path", "at.block", "_id", "line")).withColumn("source_file", F.element_at(F.split("path", "/"), -1)).select("source_file", "line_no", "line")
+
+
+def number_lines(lines: DataFrame, file: str = "path", block: str = "block", order: str = "_id") -> DataFrame:
+    """lines with line_no from 1 in each file; a block's lines are ordered by `order`, blocks by number. No task gets more than a block."""
+    counts = lines.groupBy(file, block).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(file, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = lines.withColumn("_in", F.row_number().over(Window.partitionBy(file, block).orderBy(order)))
+    return inside.join(offsets, [file, block]).withColumn("line_no", (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before")
 
 
 def split_lines(df: DataFrame, file: str, text: str) -> DataFrame:
@@ -86,20 +100,28 @@ def assemble_records(lines: DataFrame, delimiter: str = ",", expected: int = WID
     return full.withColumn("record_no", F.row_number().over(Window.partitionBy("source_file").orderBy("physical_line")).cast("long")).select("source_file", "record_no", "physical_line", "raw_line")
 
 
-def _parse(delimiter: str, escape: str | None):
-    def fields(text: str):
-        try:
-            return [x or "" for x in next(csv.reader([text], delimiter=delimiter, quotechar='"', doublequote=True, escapechar=escape, strict=False))]
-        except (csv.Error, StopIteration):
+def _parse(delimiter: str):
+    """Fields of each quoted record by a strict reader, without escapes or else with them; null for other records."""
+
+    def fields(text):
+        if text is None:
             return None
+        for escape in (None, "\\"):
+            try:
+                return [x or "" for x in next(csv.reader([text], delimiter=delimiter, quotechar='"', doublequote=True, escapechar=escape, strict=False))]
+            except (csv.Error, StopIteration):
+                continue
+        return None
 
-    return F.pandas_udf(lambda s: s.map(lambda t: fields(t or "")), "array<string>")
+    return F.pandas_udf(lambda s: s.map(fields), "array<string>")
 
 
 def parse_fields(raw, delimiter: str = ",") -> Column:
-    """Fields of a record: by a CSV reader, else by one with backslash escapes, else by splitting outside quotes."""
+    """Fields of a record: split where it has no quotes, else by a CSV reader, else by splitting outside quotes."""
     t = sanitize_line(raw)
-    parsed = F.coalesce(_parse(delimiter, None)(t), _parse(delimiter, "\\")(t), split_quoted(t, delimiter))
+    quoted = t.contains('"') | t.contains("\n")
+    plain = F.when(~quoted & (t != ""), F.split(t, F.lit("\\Q" + delimiter + "\\E"), -1))
+    parsed = F.coalesce(plain, _parse(delimiter)(F.when(quoted | (t == ""), t)), split_quoted(t, delimiter))
     return F.transform(parsed, lambda x: clean_field(x))
 
 
