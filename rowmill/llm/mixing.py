@@ -86,8 +86,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFra
         if place < 2:
             name = ("t", "t2")[place]
             front = front.withColumn(name, F.col("prefix")).withColumn("prefix", none)
-    out = done[0]
-    for d in done[1:]:
+    out = front.where("false").select("sid", none.alias("t"), none.alias("t2"), none.alias("t3"), none.alias("rest"))
+    for d in done:
         out = out.union(d)
     return scratch.settle(out)
 
