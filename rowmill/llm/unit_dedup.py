@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,64 +30,71 @@ from .spans import cut, row_key
 
 MIN_WORDS, LEAST_WORDS = 8, 20
 _BLANK = re.compile(rb"\n[ \t\r\f\v]*\n\s*")
-_END = re.compile(rb"(?<=[.!?])\s+|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)\s*")
+_END = re.compile(rb"[.!?\xe3\xef](?:(?<=[.!?])\s+|(?<=\xe3)\x80\x82\s*|(?<=\xef)\xbc[\x81\x9f]\s*)")
 #: Kana, Han, Thai, Lao, Burmese and Khmer are written without spaces.
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff]")
 
 
-def _unit(start: int, piece: bytes) -> tuple[int, int, int, bytes]:
-    """(start, end, words, digest)"""
-    words = piece.decode("utf-8", "replace").lower().split()
-    text = " ".join(words)
-    n = len(words) if piece.isascii() else max(len(words), len(_UNSPACED.findall(text)))
-    return start, start + len(piece), n, hashlib.blake2b(text.encode(), digest_size=16).digest()
+def _normal(piece: bytes) -> bytes:
+    """The piece in lower case with single spaces."""
+    if piece.isascii():
+        return b" ".join(piece.lower().split())
+    return " ".join(piece.decode("utf-8", "replace").lower().split()).encode()
 
 
-def _count(piece: bytes) -> int:
-    """Words, or characters of scripts without spaces."""
-    n = len(piece.split())
-    return n if piece.isascii() else max(n, len(_UNSPACED.findall(piece.decode("utf-8", "replace"))))
+def _count(text: bytes) -> int:
+    """Words of a normalised text, or characters of scripts without spaces."""
+    n = text.count(b" ") + 1 if text else 0
+    return n if text.isascii() else max(n, len(_UNSPACED.findall(text.decode())))
 
 
 def _split(raw: bytes):
-    """Paragraphs of several lines and lines, and the sentences of all lines (a line that is not cut is one), each as (start, end, words, digest)."""
-    at, whole, sentences = 0, [], []
+    """Lines and paragraphs of several lines, and the sentences of all lines (a line that is not cut is one), each as (start, end, words, normalised text)."""
+    at, lines, sentences = 0, [], []
     for line in raw.split(b"\n"):
-        one = _unit(at, line)
-        whole.append(one)
+        text = _normal(line)
+        one = (at, at + len(line), _count(text), text)
+        lines.append(one)
         begin = 0
         for m in _END.finditer(line):
-            sentences.append(_unit(at + begin, line[begin : m.start()]))
+            stop = m.start() + (1 if line[m.start()] < 128 else 3)
+            text = _normal(line[begin:stop])
+            sentences.append((at + begin, at + stop, _count(text), text))
             begin = m.end()
-        sentences.append(_unit(at + begin, line[begin:]) if begin else one)
+        if begin:
+            text = _normal(line[begin:])
+            one = (at + begin, at + len(line), _count(text), text)
+        sentences.append(one)
         at += len(line) + 1
-    at = 0
+    starts = [u[0] for u in lines]
+    at, paragraphs = 0, []
     for m in (*_BLANK.finditer(raw), None):
         end = m.start() if m else len(raw)
-        if b"\n" in raw[at:end]:
-            whole.append(_unit(at, raw[at:end]))
+        if raw.find(b"\n", at, end) >= 0:
+            text = b" ".join(u[3] for u in lines[bisect_right(starts, at) - 1 : bisect_right(starts, end)] if u[3])
+            paragraphs.append((at, end, _count(text), text))
         at = m.end() if m else end
-    return whole, [u for u in sentences if u[2]]
+    return lines + paragraphs, [u for u in sentences if u[2]]
 
 
-def _run(found) -> tuple[int, int, bytes]:
-    return found[0][0], found[-1][1], hashlib.blake2b(b"".join(u[3] for u in found), digest_size=16, person=b"run").digest()
-
-
-def units(raw: bytes, min_words: int):
+def units(raw: bytes, min_words: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of each paragraph, line and sentence with enough words, and of each run around a sentence with fewer."""
     whole, sentences = _split(raw)
-    out = {(a, b, h) for a, b, n, h in (*whole, *sentences) if n >= max(1, min_words)}
+    found = {u for u in (*whole, *sentences) if u[2] >= max(1, min_words)}
+    before = [0, *accumulate(u[2] for u in sentences)]
+    runs = set()
     for i, u in enumerate(sentences):
         if u[2] < min_words:
-            for step in (1, -1):
-                j, n = i, u[2]
-                while n < min_words and 0 <= j + step < len(sentences):
-                    j += step
-                    n += sentences[j][2]
-                if n >= min_words:
-                    out.add(_run(sentences[min(i, j) : max(i, j) + 1]))
-    return sorted(out)
+            after, first = bisect_left(before, before[i] + min_words), bisect_right(before, before[i + 1] - min_words) - 1
+            if after <= len(sentences):
+                runs.add((i, after))
+            if first >= 0:
+                runs.add((first, i + 1))
+    out = [(a, b, hashlib.blake2b(text, digest_size=16).digest()) for a, b, _, text in found]
+    for i, j in runs:
+        text = b"\n".join([u[3] for u in sentences[i:j]])
+        out.append((sentences[i][0], sentences[j - 1][1], hashlib.blake2b(text, digest_size=16, person=b"run").digest()))
+    return out
 
 
 _PLACES = pa.schema([("doc_id", pa.int64()), ("k", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
@@ -98,21 +107,16 @@ def _units(min_words: int, digests_only: bool):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                ids, keys, starts, ends, digests = [], [], [], [], []
-                for d, k, t in zip(*(part.column(c).to_pylist() for c in ("doc_id", "k", "text"))):
-                    for a, b, h in units((t or "").encode(), min_words):
-                        ids.append(d)
-                        keys.append(k)
-                        starts.append(a)
-                        ends.append(b)
-                        digests.append(h)
-                h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                found = [units((t or "").encode(), min_words) for t in part.column("text").to_pylist()]
+                h = np.frombuffer(b"".join([u[2] for x in found for u in x]), np.int64).reshape(-1, 2)
                 if digests_only:
                     values, n = np.unique(h[:, 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], names=["d1", "n"])
                 else:
-                    columns = [ids, keys, starts, ends, h[:, 0].copy(), h[:, 1].copy()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES)], schema=_PLACES)
+                    row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                    places = [pa.array([u[at] for x in found for u in x], pa.int32()) for at in (0, 1)]
+                    columns = [part.column("doc_id").take(row), part.column("k").take(row), *places, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_PLACES)
 
     return run
 
@@ -127,7 +131,7 @@ def _regions(least_words: int):
                 out[-1] = (out[-1][0], b)
             else:
                 out.append((a, b))
-        return [(a, b) for a, b in out if _count(raw[a:b]) >= least_words]
+        return [(a, b) for a, b in out if _count(_normal(raw[a:b])) >= least_words]
 
     return choose
 
