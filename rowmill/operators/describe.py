@@ -9,6 +9,7 @@ from ..constants import FORBIDDEN_WORDS
 from ..functions.facts import fmt_employees, fmt_revenue, is_budget_org, key_fact, tail, text_city, text_employees, text_revenue, text_year
 from ..functions.names import official_name
 from ..functions.text import blank, clean_text, drop_forbidden, first_nonblank, let, sentences, text_issues
+from .reports import condition_counts
 
 
 def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
@@ -56,6 +57,11 @@ def needs_review(df: DataFrame) -> DataFrame:
     return df.where("description_status <> 'ok'")
 
 
+def description_summary(df: DataFrame) -> DataFrame:
+    """Descriptions in all, fit ones, ones for review, and ones that rest on the rules alone."""
+    return condition_counts(df, ok="description_status = 'ok'", for_review="description_status <> 'ok'", from_rules="text_origin = 'rules'")
+
+
 def tail_of(df: DataFrame, col: str):
     return F.element_at(sentences(col), -1)
 

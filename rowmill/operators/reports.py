@@ -16,6 +16,11 @@ def group_counts(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def condition_counts(df: DataFrame, **conditions: str) -> DataFrame:
+    """One row: all rows, and those that meet each named condition."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.coalesce(F.expr(x), F.lit(False))).alias(name) for name, x in conditions.items()])
+
+
 def group_rollup(df: DataFrame, keys) -> DataFrame:
     """Counts at each level of a hierarchy; `level` is the number of keys that apply."""
     return df.rollup(*keys).agg(F.count(F.lit(1)).alias("n_rows"), (len(keys) - F.bit_count(F.grouping_id())).cast("int").alias("level"))
@@ -52,6 +57,12 @@ def request_rows(df: DataFrame, cols, inn: str = "INN") -> DataFrame:
     return df.where(valid_id(inn)).select(*[x for x in cols if x in df.columns])
 
 
+def request_summary(df: DataFrame, inn: str = "INN") -> DataFrame:
+    """Rows offered for a request, those that can be asked for, and the distinct ids among these."""
+    ok = valid_id(inn)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("with_id"), F.count_distinct(F.when(ok, digits(inn))).alias("n_ids"))
+
+
 def quality_gate(layers: dict[str, DataFrame], exported: int | DataFrame, min_employees: float, min_revenue: float) -> DataFrame:
     """(check_name, status, details), and an `overall` row. Layers: active, routed, included, excluded, review, and any routing issues.
 

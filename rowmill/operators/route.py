@@ -68,13 +68,21 @@ def split_routes(df: DataFrame) -> dict[str, DataFrame]:
     return {"include": df.where("status = 'include'"), "exclude": df.where("status = 'exclude'"), "review": review, "unmatched": review.where("reason = 'unmatched'"), "missing_facts": review.where("reason like '%missing%'")}
 
 
-def annotate_exclusion(df: DataFrame, source: str, condition: str, as_of=None) -> DataFrame:
-    """df with what an excluded row is told: flag, reason, source, and when it may come back."""
-    out = F.col("status") == "exclude"
-    df = df.withColumns({"excluded": out, "exclusion_code": F.when(out, F.col("reason")), "exclusion_source": F.when(out, source), "can_be_restored": F.when(out, True), "restore_condition": F.when(out, condition)})
+def annotate_exclusion(df: DataFrame, source: str, condition: str, as_of=None, told=None) -> DataFrame:
+    """df with what an excluded row is told: flag, reason as code and text (`told` maps codes to texts, else the code), source, and when it may come back."""
+    out, text = F.col("status") == "exclude", F.col("reason")
+    for code, words in (told or {}).items():
+        text = F.when(F.col("reason") == code, words).otherwise(text)
+    df = df.withColumns({"excluded": out, "exclusion_code": F.when(out, F.col("reason")), "exclusion_text": F.when(out, text), "exclusion_source": F.when(out, source), "can_be_restored": F.when(out, True), "restore_condition": F.when(out, condition)})
     return df.withColumn("excluded_at", F.when(out, F.lit(as_of).cast("timestamp"))) if as_of is not None else df
 
 
+def annotate_inactive(df: DataFrame, source: str, as_of=None) -> DataFrame:
+    """Rows that a status check set aside, told as excluded for being inactive."""
+    set_aside = df.withColumns({"status": F.lit("exclude"), "reason": F.lit("inactive")})
+    return annotate_exclusion(set_aside, source, "the status becomes active again", as_of, {"inactive": "the status is not active"})
+
+
 def route_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import payloads, text
-from ..operators import describe, enrich, overrides, regions, route, rows, scan
+from ..operators import describe, enrich, overrides, regions, reports, route, rows, scan
 from ..sources import ingest, registry, sinks
 from ..streaming import flows
 from .suite_rows import routed
+from .suite_text import _raw_lines
 from .tables import ENTITIES, ROUTED, entities, table, work_dir
 
 QUERIES: dict = {}
@@ -227,3 +228,92 @@ def row_numbers_filled(spark, sf_dir):
     done = rows.ensure_record_id(e, "events.csv", order=["event_id"])
     place = F.when(F.col("event_id") % 4 == 0, F.col("source_row_no").cast("long") >= 1)
     return done.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(place).alias("n_numbered"), F.count("record_id").alias("n_ids"))
+
+
+def _report_text(spark, sf_dir):
+    """A report a customer, every seventh cut off, and the name of its file, which for every eighth holds the id."""
+    k = F.col("c_custkey")
+    say = lambda t: F.format_string(t, *[k] * t.count("%"))
+    some = lambda cond, t: F.when(cond, say(t)).otherwise("")
+    parts = [
+        say('<Report ActualDate="2024-01-01"><SparkID>%d</SparkID>'), some(k % 4 != 0, "<INN>%010d</INN>"), say("<ShortNameRus>N%d</ShortNameRus><FullNameRus>Full %d</FullNameRus><NormName>n%d</NormName>"),
+        F.concat(F.lit("<DateFirstReg>"), (1990 + k % 30).cast("string"), F.lit("-05-06</DateFirstReg>")),
+        F.when(k % 2 == 0, '<Status Type="acting" Code="1" IsActing="1"/>').otherwise('<Status GroupName="closing" Code="2"/><IsActing>0</IsActing>'),
+        F.when(k % 3 != 0, say('<LegalAddresses><Address Region="R" City="C" Address="Street %d" Latitude="55,50" Longitude="none" FiasRegion="F"/></LegalAddresses>')).otherwise(""),
+        say('<OKATO RegionName="O" RegionCode="7"/><Www>w%d.ru</Www>'),
+        some(k % 6 != 0, '<StaffNumberFTS><Number ActualDate="2021-01-01">%d</Number><Number ActualDate="2020-01-01">5</Number></StaffNumberFTS>'),
+        F.when(k % 10 != 0, F.concat(F.lit('<CompanySize Revenue="'), (k % 50 + 1).cast("string"), F.lit('" ActualDate="2022-02-02"/>'))).otherwise(""),
+        F.when(k % 7 != 0, "</Report>").otherwise("<Report>"),
+    ]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(*parts).alias("xml"), F.when(k % 8 == 0, say("r_%010d.xml")).otherwise("x.xml").alias("source_file"))
+
+
+RECORDS = """r as (select c_custkey as k, c_custkey % 7 = 0 as broken, case when c_custkey % 8 = 0 or (c_custkey % 4 <> 0 and c_custkey % 7 <> 0) then lpad(c_custkey::varchar, 10, '0') end as inn,
+      case when c_custkey % 7 <> 0 and c_custkey % 6 <> 0 then c_custkey end as staff, case when c_custkey % 7 <> 0 and c_custkey % 10 <> 0 then c_custkey % 50 + 1 end as size from customer),
+    f as (select k, broken, inn, staff::bigint as employees, size * 1e6::double as revenue_rub, rtrim(rtrim(printf('%.3f', size / 1000.0), '0'), '.') as revenue_bln,
+      concat_ws(';', case when broken then 'malformed_report' end, case when staff is null then 'missing_employees' end, case when size is null then 'missing_revenue' end, case when inn is null then 'missing_inn' end) as issues,
+      concat_ws(' | ', 'employees ' || staff || ' on 2021-01-01', 'revenue ' || size || '000000 in 2022') as evidence,
+      case when broken then 'failed' when inn is null then 'review' else 'ok' end as status from r)"""
+
+
+def _records(spark, sf_dir):
+    parsed = _report_text(spark, sf_dir).select(F.from_xml("xml", registry.REPORT).alias("r"), "source_file", F.col("c_custkey"))
+    return parsed.select("c_custkey", F.struct("r.*", "source_file").alias("x"))
+
+
+@query(f"""with {RECORDS} select inn, case when not broken then k::varchar end as registry_id, status, issues, case when broken or inn is null then 'low' when issues <> '' then 'medium' else 'high' end as confidence,
+      case when not broken then '2024-01-01' end as report_date, case when not broken then 'N' || k end as name, case when not broken then 'Full ' || k end as full_name, case when not broken then 'n' || k end as norm_name,
+      case when not broken then case when k % 2 = 0 then 'acting' else 'closing' end end as state, case when not broken then case when k % 2 = 0 then '1' else '2' end end as state_code,
+      case when not broken then case when k % 2 = 0 then '1' else '0' end end as is_acting, case when not broken then (1990 + k % 30) || '-05-06' end as registered_on, case when not broken then (1990 + k % 30)::int end as founded_year,
+      case when not broken then case when k % 3 <> 0 then 'R' else 'O' end end as region, case when not broken then case when k % 3 <> 0 then 'F' else '7' end end as region_code, case when not broken and k % 3 <> 0 then 'C' end as city,
+      case when not broken and k % 3 <> 0 then 'Street ' || k end as address, case when not broken and k % 3 <> 0 then '55.5' end as latitude, null::varchar as longitude, case when not broken then 'w' || k || '.ru' end as website,
+      employees, case when employees is not null then 2021 end as employees_year, case when employees is not null then '2021-01-01' end as employees_date, case when employees is not null then 'staff_list' end as employees_source,
+      revenue_rub, revenue_bln, case when revenue_rub is not null then 'million_rub' end as revenue_unit, case when revenue_rub is not null then 2022 end as revenue_year, case when revenue_rub is not null then 'company_size' end as revenue_source,
+      evidence, timestamp '2024-02-03 00:00:00' as extracted_at from f""")
+def registry_records(spark, sf_dir):
+    """Every field of an extract, of whole and of broken reports."""
+    absent = ["source_file", "method", "okved_code", "okved_name", "revenue_evidence", "budget_rub", "budget_bln", "budget_year", "budget_source"]
+    return registry.registry_reports(_records(spark, sf_dir).select("x.*"), as_of="2024-02-03 00:00:00").drop(*absent)
+
+
+@query(f"with {RECORDS} select count(*) as n_rows, count(inn) as with_inn, count(employees) as with_employees, count(revenue_rub) as with_revenue, count(*) filter (broken) as failed from f")
+def extraction_summary(spark, sf_dir):
+    return registry.extraction_summary(registry.registry_reports(_records(spark, sf_dir).select("x.*")))
+
+
+@query("select 'failed' as status, count(distinct o_orderpriority) as n_rows from orders union all select 'ok', count(*) from supplier")
+def registry_broken_files(spark, sf_dir):
+    """Files that break off or hold no report, one a priority, beside a folder of good ones."""
+    base = work_dir(spark, "broken")
+    good = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("INN"))
+    good.write.format("xml").option("rowTag", "Report").option("rootTag", "Reports").save(f"{base}/good")
+    text = F.when(F.col("o_orderpriority").like("1%"), "<Other></Other>").otherwise("<Report><INN>1</INN>")
+    table(spark, sf_dir, "orders").select(text.alias("value"), "o_orderpriority").distinct().repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(f"{base}/bad")
+    found = registry.registry_xml(spark, [f"{base}/good/*.xml", f"{base}/bad/*/*.txt"])
+    return found.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("select o_orderkey, true as excluded, 'inactive' as exclusion_code, 'the status is not active' as exclusion_text, 'status check' as exclusion_source, true as can_be_restored, timestamp '2024-02-03 00:00:00' as excluded_at from orders where o_orderstatus <> 'F'")
+def inactive_notes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "active").otherwise("closed").alias("status"))
+    _, closed = route.status_split(o)
+    told = route.annotate_inactive(closed, "status check", as_of="2024-02-03 00:00:00")
+    return told.select("o_orderkey", "excluded", "exclusion_code", "exclusion_text", "exclusion_source", "can_be_restored", "excluded_at")
+
+
+@query(f"""with {ENTITIES} select lower(subindustry) || '.csv' as source_file, case when row_no % 4 in (2, 3) then 'repaired_needs_review' else 'exact' end as status, count(*) as n_rows, count(*) as n_ids, count(*) as n_places from e group by 1, 2""")
+def record_audit(spark, sf_dir):
+    told = ingest.record_audit(ingest.repair_records(ingest.assemble_records(_raw_lines(spark, sf_dir))))
+    return told.where("reason <> ''").groupBy("source_file", "status").agg(F.count(F.lit(1)).alias("n_rows"), F.count("record_id").alias("n_ids"), F.count_distinct("source_row_no").alias("n_places"))
+
+
+@query("select count(*) as n_rows, count(*) filter (doc_id % 3 <> 0) as ok, count(*) filter (doc_id % 3 = 0) as for_review, count(*) filter (doc_id % 5 <> 0) as from_rules from documents")
+def description_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "needs_review").otherwise("ok").alias("description_status"), F.when(F.col("doc_id") % 5 == 0, "service").otherwise("rules").alias("text_origin"))
+    return describe.description_summary(d)
+
+
+@query("select count(*) as n_rows, count(*) filter (o_custkey % 2 = 0) as with_id, count(distinct case when o_custkey % 2 = 0 then o_custkey end) as n_ids from orders")
+def request_summary(spark, sf_dir):
+    k = F.col("o_custkey")
+    return reports.request_summary(table(spark, sf_dir, "orders").select(F.when(k % 2 == 0, F.lpad(k.cast("string"), 10, "0")).otherwise("12-34").alias("inn")), "inn")

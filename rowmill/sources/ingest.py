@@ -183,3 +183,8 @@ def repair_records(records: DataFrame, delimiter: str = ",") -> DataFrame:
 def ingest_audit(df: DataFrame) -> DataFrame:
     """Records of each file by parse status."""
     return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("parse_status") == s).alias(s) for s in ("exact", "repaired", "repaired_needs_review")])
+
+
+def record_audit(df: DataFrame) -> DataFrame:
+    """One row for each logical record: where it stood, how its repair went and why, and the id it got."""
+    return df.select("source_file", "source_row_no", "physical_line", F.col("parse_status").alias("status"), F.col("parse_reason").alias("reason"), "record_id", F.substring("raw_line", 1, 500).alias("line_start"))
