@@ -74,7 +74,7 @@ class Encoder:
 
     def _add(self, hashes, pieces: list[bytes]) -> np.ndarray:
         """Numbers of new pieces that are kept for later texts."""
-        got = self.lib.encode_batch([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        got = self.lib.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         new = self._store([np.array(g.ids, self.ids.dtype) for g in got])
         raw, lens = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
         while self.raw_used + len(raw) + 8 > len(self.raw):
@@ -157,7 +157,7 @@ class Encoder:
             state = self.n, self.used
             other = np.flatnonzero(apart | ~self._same(data, starts, ends, piece))  # the last are pieces of equal hash
             if len(other):
-                got = self.lib.encode_batch([raw[starts[i] : ends[i]].decode("utf-8") for i in other], add_special_tokens=False)
+                got = self.lib.encode_batch_fast([raw[starts[i] : ends[i]].decode("utf-8") for i in other], add_special_tokens=False)
                 piece[other] = self._store([np.array(g.ids, self.ids.dtype) for g in got])
         else:
             starts, piece, state = np.zeros(0, np.int64), np.zeros(0, np.int64), (self.n, self.used)
