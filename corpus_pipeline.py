@@ -3,7 +3,7 @@
 1. toxicity: documents predicted toxic go.
 2. ngram_join: of each group of near-duplicates the document with the smallest id stays.
 3. decontaminate: documents that hold a benchmark item or a paraphrase of it go.
-4. mix: documents are taken as often as their source's target weight asks for (0 to 4 copies of a row).
+4. mix: documents are taken as often as their source's target weight asks for, the one at its threshold in part (3 copies at most).
 5. token_files: what is left is written as token shards and read back as digests.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet to the shared folder and
