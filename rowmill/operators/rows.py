@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import SOURCE_COLUMNS
 from ..functions.ids import dedup_key, record_id
 from ..functions.text import blank
+from ..scratch import settle
 
 
 def ensure_columns(df: DataFrame, cols) -> DataFrame:
@@ -64,13 +66,24 @@ def ensure_record_id(df: DataFrame, source_name: str = "", order=None) -> DataFr
     return df.withColumn("record_id", F.coalesce(blank("record_id"), made))
 
 
-def with_seq(df: DataFrame, order, name: str, buckets: int = 64) -> DataFrame:
-    """df numbered from 1 in order, without bringing all rows to one task: ranges are sorted apart and offset by their counts."""
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+def with_seq(df: DataFrame, order, name: str, buckets: int | None = None, settle: Callable[[DataFrame], DataFrame] = settle) -> DataFrame:
+    """df numbered from 1 in order, without bringing all rows to one task.
+
+    Ranges of the order, and of a row's place in the input where that is equal, are sorted apart and written with each row's
+    place in its range; numbers are these places after the counts of the ranges before. Many rows of one order key are
+    spread over ranges like any others. df is numbered once, as `settle` writes it, so its numbers do not change when a
+    task is run again.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__rm_tie", F.monotonically_increasing_id()).repartitionByRange(buckets, *order, "__rm_tie")
+    # within a task these ids ascend by one; their upper bits are the task's number, in order of the ranges
+    placed = settle(ranged.sortWithinPartitions(*order, "__rm_tie").withColumn("__rm_at", F.monotonically_increasing_id()).drop("__rm_tie"))
+    part, inside = F.shiftright("__rm_at", 33), F.col("__rm_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__rm_part")).agg((F.max(inside) + 1).alias("__rm_n"))
+    earlier = Window.orderBy("__rm_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__rm_part", F.coalesce(F.sum("__rm_n").over(earlier), F.lit(0)).alias("__rm_before"))
+    numbered = placed.withColumn("__rm_part", part).join(F.broadcast(before), "__rm_part")  # a row for each range
+    return numbered.withColumn(name, F.col("__rm_before") + inside + 1).drop("__rm_part", "__rm_at", "__rm_before")
 
 
 def union_sources(dfs) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import work_dir
+
 #: Order counts and sums stand in for employees and revenue; these are the thresholds the queries route by.
 MIN_EMPLOYEES, MIN_REVENUE = 12, 1_500_000
 
@@ -16,15 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder all executors share."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:  # a machine's own folder will do where driver and executors are one process
-        root = tempfile.mkdtemp(prefix="rowmill-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_rowmill"
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as entity rows, classified by region, nation and segment. The two dimensions have 25 and 5 rows."""
     nation = F.broadcast(table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")))
