@@ -89,13 +89,58 @@ def quote_count(x) -> Column:
     return F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))
 
 
-def split_quoted(x, delimiter: str = ",") -> Column:
-    """Fields split at delimiters outside quotes, trimmed; doubled quotes inside a field count as one."""
+#: A run in double quotes, in which doubled quotes stand for one; it may be open at the end. Nothing is tried twice.
+QUOTED = r'"(?:[^"]++|"")*+"?'
+
+
+def outside_quotes(x) -> Column:
+    """A text without its quoted runs."""
+    return F.regexp_replace(c(x), QUOTED, "")
+
+
+def field_counts(x, delimiters) -> Column:
+    """How many fields each delimiter would give, of one pass over the line's quotes."""
+    return let(outside_quotes(x), lambda t: F.array(*[F.length(t) - F.length(F.replace(t, F.lit(d), F.lit(""))) + 1 for d in delimiters]))
+
+
+def _class(delimiter: str) -> str:
     import re
 
-    d = re.escape(delimiter) if delimiter != "\t" else r"\t"
-    parts = F.split(c(x), rf'{d}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda f: F.regexp_replace(f, r"(?U)^\s+|\s+$", ""))
+    return r"\t" if delimiter == "\t" else re.escape(delimiter)
+
+
+def split_quoted(x, delimiter: str = ",") -> Column:
+    """Fields split at delimiters outside quotes, trimmed; doubled quotes inside quotes count as one. Forgiving: a quote may
+    open anywhere and need not close. Every character is passed once."""
+    d = _class(delimiter)
+    fields = F.regexp_extract_all(F.concat(F.lit(delimiter), c(x)), F.lit(rf'{d}((?:[^"{d}]++|{QUOTED})*+)'), F.lit(1))
+    # inside quotes: from the first opening quote, or from the last pair, past runs that close and open again
+    pair = r'(\G(?:^[^"]*+"|(?!^))(?:[^"]*+"(?!")[^"]*+")*+[^"]*+)""'
+    single = lambda f: F.when(f.contains('""'), F.replace(F.regexp_replace(f, pair, "$1\u0001"), F.lit("\u0001"), F.lit('"'))).otherwise(f)
+    return F.transform(fields, lambda f: F.regexp_replace(single(f), r"(?U)^\s+|\s+$", ""))
+
+
+def csv_fields(x, delimiter: str = ",", escape: bool = False) -> Column:
+    r"""Fields of one CSV record as a strict reader takes them, or null where it would refuse: a quoted field begins with its
+    quote, what follows its end belongs to it as it stands, and a line break outside quotes is an error. With `escape`, a
+    backslash makes the next character plain."""
+    d = _class(delimiter)
+    bare = rf"(?:[^{d}\r\n\\]++|\\(?s:.))*+" if escape else rf"[^{d}\r\n]*+"
+    inner = r'(?:[^"\\]++|""|\\(?s:.))*+' if escape else r'(?:[^"]++|"")*+'
+    t = F.concat(F.lit(delimiter), c(x))
+    found = F.regexp_extract_all(t, F.lit(rf'{d}(?:"{inner}(?:"(?:[^{d}\r\n]{bare})?)?|{bare})'), F.lit(0))
+
+    def value(f: Column) -> Column:
+        f = F.substring(f, F.lit(2), F.length(f))
+        inside, rest = F.regexp_extract(f, f'^"({inner})', 1), F.regexp_extract(f, f'(?s)^"{inner}"?(.*)$', 1)
+        if escape:
+            plain = lambda t: F.regexp_replace(t, r"(?s)\\(.)", "$1")
+            after = F.concat(F.substring(rest, 1, 1), plain(F.substring(rest, F.lit(2), F.length(rest))))  # what follows the closing quote at once is taken as it is
+            return F.when(f.startswith('"'), F.concat(F.regexp_replace(inside, r'(?s)"(")|\\(.)', "$1$2"), after)).otherwise(plain(f))
+        return F.when(f.startswith('"'), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), rest)).otherwise(f)
+
+    whole = F.length(F.array_join(found, "")) == F.length(t)
+    return F.when(c(x) == "", F.array().cast("array<string>")).when(whole, F.transform(found, value))
 
 
 _PROTECTED = [(r"(?iU)\b(руб|тыс|млн|млрд|вн|тер)\.", "$1\u0001"), (r"(?<![А-Яа-яA-Za-z])([Гг])\.", "$1\u0001")]

@@ -57,6 +57,11 @@ def needs_review(df: DataFrame) -> DataFrame:
     return df.where("description_status <> 'ok'")
 
 
+def quality_rows(df: DataFrame, ids=("record_id", "INN", "CompanyNameOfficial"), origin: str = "text_origin") -> DataFrame:
+    """Of each description: whose it is, status, score, issues joined by `;`, and where the text came from."""
+    return df.select(*ids, "description_status", "description_quality_score", F.array_join("description_issues", ";").alias("description_issues"), origin)
+
+
 def description_summary(df: DataFrame) -> DataFrame:
     """Descriptions in all, fit ones, ones for review, and ones that rest on the rules alone."""
     return condition_counts(df, ok="description_status = 'ok'", for_review="description_status <> 'ok'", from_rules="text_origin = 'rules'")

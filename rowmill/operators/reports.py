@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import digits, valid_id
@@ -28,7 +28,7 @@ def group_rollup(df: DataFrame, keys) -> DataFrame:
 
 def order_by_category(df: DataFrame, col: str, order: DataFrame, last: int = 9999) -> DataFrame:
     """df with `position` from (name, position); categories that are not listed come last, by name."""
-    return df.join(F.broadcast(order), df[col] == order["name"], "left").withColumn("position", F.coalesce("position", F.lit(last))).drop("name").orderBy("position", col)
+    return df.join(order, df[col] == order["name"], "left").withColumn("position", F.coalesce("position", F.lit(last))).drop("name").orderBy("position", col)
 
 
 def layer_status(layers: dict[str, DataFrame]) -> DataFrame:
@@ -46,10 +46,13 @@ def pick_layer(layers: dict[str, DataFrame]) -> tuple[str, DataFrame]:
 def ordered_distinct(df: DataFrame, key: str, value: str, order: str, sep: str = " | ", cap: int = 2000) -> DataFrame:
     """Distinct values of each key in order, joined and cut to `cap` characters.
 
-    A value's first place is found before values are listed, so a key holds each of its values once.
+    A value's first place is found before values are ranked. No value is empty, so `cap` characters hold the first
+    cap / (1 + separator) values at most; no more of a key are kept in any task, however many it has.
     """
+    most = cap // (len(sep) + 1) + 1
     first = df.where(blank(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_at"))
-    return first.groupBy(key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v")))), lambda x: x["v"]), sep), 1, cap).alias(f"{value}_list"))
+    first = first.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("_at", value))).where(F.col("_rank") <= most)
+    return first.groupBy(key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("v")))), lambda x: x["v"]), sep), 1, cap).alias(f"{value}_list"))
 
 
 def request_rows(df: DataFrame, cols, inn: str = "INN") -> DataFrame:
@@ -98,6 +101,47 @@ def quality_gate_routed(active: DataFrame, routed: DataFrame, min_employees: flo
     return _checks(first.crossJoin(routed.agg(*aggs)))  # one row each
 
 
+def layer_metrics(df: DataFrame, name: str, record: str = "record_id", inn: str = "inn") -> list[Column]:
+    """What the gate and the layer status want to know of a layer, as aggregates."""
+    out = [F.count(F.lit(1)).alias(f"{name}_rows")]
+    out.append((F.count_if(blank(record).isNull()) if record in df.columns else F.count(F.lit(1))).alias(f"{name}_no_record"))
+    out.append((F.count_if(digits(inn).isNull()) if inn in df.columns else F.count(F.lit(1))).alias(f"{name}_no_inn"))
+    return out
+
+
+def route_metrics(min_employees: float, min_revenue: float, status: str = "status", issues: Column | None = None) -> list[Column]:
+    """Rows by route, included rows below both thresholds, and rows with a routing issue, as aggregates over all routes."""
+    is_ = lambda value: F.col(status) == value
+    low = (to_double("employees") < min_employees) & (to_double("revenue_rub") < min_revenue)
+    out = [F.count_if(is_(v)).alias(f"{n}_rows") for n, v in (("included", "include"), ("excluded", "exclude"), ("review", "review"))]
+    return [*out, F.count_if(is_("include") & low).alias("bad_included"), *([] if issues is None else [F.count_if(issues).alias("issues_rows")])]
+
+
+def write_observed(df: DataFrame, path: str, metrics: list[Column], partition_by=()) -> dict:
+    """Write a layer and return its metrics, gathered while it is written; nothing is scanned a second time."""
+    seen = Observation()
+    df.observe(seen, *metrics).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return seen.get
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def quality_gate_observed(spark: SparkSession, metrics: dict, paths: dict[str, str]) -> DataFrame:
+    """The gate of layers that were written with write_observed: their metrics together, and whether each path is there."""
+    facts = spark.createDataFrame([tuple(metrics.values())], ", ".join(f"{k} long" for k in metrics))
+    for name, path in paths.items():
+        facts = facts.withColumn(f"{name}_exists", F.lit(path_exists(spark, path)))
+    return _checks(facts)
+
+
+def layer_status_observed(spark: SparkSession, metrics: dict) -> DataFrame:
+    """Rows of each layer from the metrics of its write."""
+    return spark.createDataFrame([(k.removesuffix("_rows"), v) for k, v in metrics.items() if k.endswith("_rows")], "layer string, n_rows long")
+
+
 def _checks(facts: DataFrame) -> DataFrame:
     say = lambda name, ok, details, bad="FAIL": F.struct(F.lit(name).alias("check_name"), F.when(ok, "PASS").otherwise(bad).alias("status"), details.alias("details"))
     n = lambda x: F.col(x).cast("string")
@@ -108,6 +152,7 @@ def _checks(facts: DataFrame) -> DataFrame:
         say("export_row_count", F.col("exported_rows") == F.col("included_rows"), F.concat_ws(" ", n("exported_rows"), n("included_rows"))),
     ]
     checks += [say(x.replace("_no_", "_has_"), F.col(x) == 0, F.concat(F.lit("missing="), n(x))) for x in facts.columns if "_no_" in x]
+    checks += [say(x, F.col(x), F.lit("")) for x in facts.columns if x.endswith("_exists")]
     if "issues_rows" in facts.columns:
         checks.append(say("routing_issues", F.col("issues_rows") == 0, F.concat(F.lit("rows="), n("issues_rows")), "WARN"))
     facts = facts.select(F.array(*checks).alias("x"))

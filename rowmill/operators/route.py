@@ -29,6 +29,12 @@ def active_only(df: DataFrame, flag: str = "is_active") -> DataFrame:
     return df.where(truthy(flag))
 
 
+def active_dropped(df: DataFrame, flag: str = "is_active") -> DataFrame:
+    """One row: how many rows the active filter sees, keeps and drops."""
+    on = truthy(flag)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(on).alias("n_active"), F.count_if(~on).alias("n_dropped"))
+
+
 def match_registry(entities: DataFrame, registry: DataFrame, entity_id: str = "inn", registry_id: str = "inn", order=(), as_of=None, prefix: str = "reg_") -> DataFrame:
     """Each entity with its registry record, if there is one.
 

@@ -86,6 +86,11 @@ def with_seq(df: DataFrame, order, name: str, buckets: int | None = None, settle
     return numbered.withColumn(name, F.col("__rm_before") + inside + 1).drop("__rm_part", "__rm_at", "__rm_before")
 
 
+def with_public_id(df: DataFrame, order, name: str = "id", record: str = "record_id") -> DataFrame:
+    """df with a row's record id in `name`, or its place in order where it has none."""
+    return with_seq(df, order, "__rm_place").withColumn(name, F.coalesce(blank(record), F.col("__rm_place").cast("string"))).drop("__rm_place")
+
+
 def union_sources(dfs) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 

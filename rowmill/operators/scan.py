@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PLACEHOLDER_PARTS, PLACEHOLDERS, SECRET_KEY_PATTERN
+from ..constants import BEARER_PATTERN, CODE_VALUE_PATTERN, PLACEHOLDER_PARTS, PLACEHOLDERS, SECRET_KEY_PATTERN, URL_SECRET_PATTERN
 from ..functions.ids import ids_in_text
 
 #: A name, a sign, and a value in quotes or up to a comment.
 NAMED = r"""^\s*["']?([\w.-]+)["']?\s*[=:]\s*(?:"([^"]*)"|'([^']*)'|([^#;]*))"""
 #: Values that follow a word of their own anywhere in a line, by kind.
-LOOSE = {
-    "bearer_token": r"(?i)(?<![\w])bearer[ \t]+([\w.~+/=-]{12,})",
-    "url_credential": r"(?i)(?<![a-z])(?:token|secret|password|api[-_]?key)=([^\s&'\"]{6,})",
-}
-#: A name of code, or a call of one, stands where a value is computed.
-COMPUTED = r"^[^\W\d]\w*(?:\.\w+)*(?:\(.*\))?$"
+LOOSE = {"bearer_token": BEARER_PATTERN, "url_credential": URL_SECRET_PATTERN}
 #: Signs of a mask.
 MASK = r"^[-_.*xX]+$"
 
@@ -25,7 +20,7 @@ def is_placeholder(v: Column) -> Column:
     """Values that stand for a credential and are none: stated placeholders, code, masks, paths of a secrets folder."""
     low = F.lower(v)
     parts = F.exists(F.array(*[F.lit(p) for p in PLACEHOLDER_PARTS]), lambda p: F.contains(low, p))
-    return low.isin(PLACEHOLDERS) | parts | v.rlike(COMPUTED) | v.rlike(MASK) | v.rlike(r"^secrets[/\\]")
+    return low.isin(PLACEHOLDERS) | parts | v.rlike(CODE_VALUE_PATTERN) | v.rlike(MASK) | v.rlike(r"^secrets[/\\]")
 
 
 def _loose(kind: str, pattern: str, finding) -> Column:
@@ -56,6 +51,11 @@ def findings_report(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(id_col, "line_no", "kind", "key", "value_length", "value_sha256").orderBy(id_col, "line_no", "kind", "key")
 
 
+def files_report(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """Files for a report: the largest first, of equal ones by path without regard to case."""
+    return files.orderBy(F.col(size).desc(), F.lower(path), path)
+
+
 def recover_lost_ids(lines: DataFrame, final: DataFrame, text: str = "line", inn: str = "inn", only_missing: bool = True) -> DataFrame:
     """Ids in raw lines with a flag whether the final layer has them, or only those it lacks."""
     found = lines.withColumn(inn, F.explode(ids_in_text(text)))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import SOURCE_COLUMNS
 from ..functions.ids import ID_PATTERN, record_id
-from ..functions.text import blank, clean_field, quote_count, sanitize_line, split_quoted
+from ..functions.text import blank, clean_field, csv_fields, field_counts, let, sanitize_line, split_quoted
+from .assembly import CHUNK, line_records
 
 WIDTH, MAX_LINES = 12, 10
 DELIMITERS = [",", ";", "\t", "|"]
@@ -62,66 +60,27 @@ def split_lines(df: DataFrame, file: str, text: str) -> DataFrame:
 def score_delimiters(lines: DataFrame, max_lines: int = 50) -> DataFrame:
     """(source_file, delimiter, score): how steadily each delimiter cuts a file's first lines into about the expected fields."""
     head = lines.where(F.trim("line") != "").withColumn("_i", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))).where(F.col("_i") <= max_lines)
-    counted = None
-    for i, d in enumerate(DELIMITERS):
-        part = head.select("source_file", F.lit(d).alias("delimiter"), F.lit(i).alias("_order"), F.size(split_quoted("line", d)).alias("n"))
-        counted = part if counted is None else counted.unionByName(part)
+    counted = head.select("source_file", F.posexplode(field_counts("line", DELIMITERS)).alias("_order", "n"))
     near = F.count_if((F.col("n") >= 2) & (F.col("n") <= WIDTH + 10))
-    return counted.groupBy("source_file", "delimiter", "_order").agg((near * 10 - (F.max("n") - F.min("n")) + F.avg("n")).alias("score"))
+    score = (near * 10 - (F.max("n") - F.min("n")) + F.avg("n")).alias("score")
+    return counted.groupBy("source_file", "_order").agg(score).withColumn("delimiter", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("_order")))
 
 
 def best_delimiter(scores: DataFrame) -> DataFrame:
     return scores.groupBy("source_file").agg(F.max_by("delimiter", F.struct("score", -F.col("_order"))).alias("delimiter"))
 
 
-def assemble_records(lines: DataFrame, delimiter: str = ",", expected: int = WIDTH, max_lines: int = MAX_LINES) -> DataFrame:
-    """(source_file, record_no, physical_line, raw_line): physical lines joined until the quotes close, enough delimiters are met, or `max_lines` is reached.
-
-    Where a record ends depends on where it began, so a file's lines are walked in order. They are walked in the tasks, one
-    file's counts at a time: for each line only its number, quotes and delimiters travel, and its record number comes back.
-    """
-    counts = lines.select("source_file", "line_no", quote_count("line").alias("quotes"), (F.length("line") - F.length(F.replace("line", F.lit(delimiter), F.lit("")))).alias("delims"), (F.trim("line") == "").alias("is_blank"))
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no")
-        starts, start, quotes, delims, n = [], None, 0, 0, 0
-        for line_no, q, d in zip(frame.line_no, frame.quotes, frame.delims):
-            if start is None:
-                start, quotes, delims, n = line_no, 0, 0, 0
-            quotes, delims, n = quotes + q, delims + d, n + 1
-            starts.append(start)
-            if quotes % 2 == 0 or delims >= expected - 1 or n >= max_lines:
-                start = None
-        return frame[["source_file", "line_no"]].assign(physical_line=starts)
-
-    begun = counts.groupBy("source_file").applyInPandas(walk, "source_file string, line_no long, physical_line long")
-    joined = lines.join(begun, ["source_file", "line_no"]).groupBy("source_file", "physical_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("raw_line"))
-    full = joined.where(F.regexp_replace("raw_line", r"(?U)\s", "") != "")
-    return full.withColumn("record_no", F.row_number().over(Window.partitionBy("source_file").orderBy("physical_line")).cast("long")).select("source_file", "record_no", "physical_line", "raw_line")
-
-
-def _parse(delimiter: str):
-    """Fields of each quoted record by a strict reader, without escapes or else with them; null for other records."""
-
-    def fields(text):
-        if text is None:
-            return None
-        for escape in (None, "\\"):
-            try:
-                return [x or "" for x in next(csv.reader([text], delimiter=delimiter, quotechar='"', doublequote=True, escapechar=escape, strict=False))]
-            except (csv.Error, StopIteration):
-                continue
-        return None
-
-    return F.pandas_udf(lambda s: s.map(fields), "array<string>")
+def assemble_records(lines: DataFrame, delimiter: str = ",", expected: int = WIDTH, max_lines: int = MAX_LINES, chunk: int = CHUNK) -> DataFrame:
+    """(source_file, record_no, physical_line, raw_line): physical lines joined until the quotes close, enough delimiters are met, or `max_lines` is reached. Chunks of a file are walked apart; blank records have no number and are left out."""
+    begun = line_records(lines, delimiter, expected, max_lines, chunk)
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))  # max_lines at most
+    joined = lines.join(begun, ["source_file", "line_no"]).groupBy("source_file", "physical_line").agg(F.min("record_no").alias("record_no"), F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("raw_line"))
+    return joined.where(F.regexp_replace("raw_line", r"(?U)\s", "") != "").select("source_file", "record_no", "physical_line", "raw_line")
 
 
 def parse_fields(raw, delimiter: str = ",") -> Column:
-    """Fields of a record: split where it has no quotes, else by a CSV reader, else by splitting outside quotes."""
-    t = sanitize_line(raw)
-    quoted = t.contains('"') | t.contains("\n")
-    plain = F.when(~quoted & (t != ""), F.split(t, F.lit("\\Q" + delimiter + "\\E"), -1))
-    parsed = F.coalesce(plain, _parse(delimiter)(F.when(quoted | (t == ""), t)), split_quoted(t, delimiter))
+    """Fields of a record: as a strict CSV reader takes it, without escapes or else with them, else split outside quotes."""
+    parsed = let(sanitize_line(raw), lambda t: F.when((t != "") & ~t.contains('"') & ~t.contains("\n"), F.split(t, F.lit("\\Q" + delimiter + "\\E"), -1)).otherwise(F.coalesce(csv_fields(t, delimiter), csv_fields(t, delimiter, escape=True), split_quoted(t, delimiter))))
     return F.transform(parsed, lambda x: clean_field(x))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def file_stream(spark: SparkSession, dirs, schema, fmt: str = "parquet", archive: str | None = None, per_trigger: int = 1000) -> DataFrame:
@@ -39,6 +41,83 @@ def stream_ingest(stream: DataFrame, sink: str, checkpoint: str, step: Callable[
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def file_arrivals(spark: SparkSession, dirs, archive: str | None = None, per_trigger: int = 1000) -> DataFrame:
+    """The paths of new files of several folders as a stream; nothing is read of what they hold."""
+
+    def one(path: str) -> DataFrame:
+        reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger)
+        if archive:
+            reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+        return reader.load(path).select("path", "length")
+
+    return reduce(DataFrame.unionByName, [one(d) for d in dirs])
+
+
+#: What Spark says where a file, and not the work, is at fault.
+FILE_FAULTS = ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD", "is not a Parquet file", "Malformed ORC file")
+
+
+def _file_fault(error: Exception) -> str | None:
+    text = str(error)
+    return next((f for f in FILE_FAULTS if f in text), None)
+
+
+def split_readable(read: Callable[[list[str]], DataFrame], paths: list[str]) -> tuple[list[str], dict[str, str]]:
+    """(paths that can be read, what is wrong with the others). Halves of what fails are tried again, so a few broken files
+    among many cost a few short jobs; a failure that is no file's fault is raised."""
+    good, broken, open_ = [], {}, [paths]
+    while open_:
+        some = open_.pop()
+        try:
+            if some:
+                read(some).write.format("noop").mode("overwrite").save()
+            good += some
+        except PySparkException as error:
+            fault = _file_fault(error)
+            if fault is None:
+                raise
+            if len(some) == 1:
+                broken[some[0]] = fault
+            else:
+                open_ += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return good, broken
+
+
+def ingest_files(arrivals: DataFrame, read: Callable[[list[str]], DataFrame], sink: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None, bad: str = "false") -> StreamingQuery:
+    """Run `step` on the rows of each batch of new files, once. Rows for which `bad` holds go aside, and so does a file that
+    cannot be read: its bytes, name and fault. The run goes on with the others.
+
+    A batch is read and written at once; only where that fails are its files tried apart. It is written under its number, so a
+    batch that is repeated replaces itself. Paths of a batch are as many as the stream's files a trigger.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        paths, broken = sorted(r.path for r in batch.select("path").collect()), {}
+        place = lambda kind: f"{sink}/{kind}/batch={number}"
+
+        def deliver(some: list[str]) -> None:
+            rows = read(some)
+            rows = step(rows) if step else rows
+            rows.where(f"not coalesce({bad}, false)").write.mode("overwrite").parquet(place("rows"))
+            rows.where(bad).write.mode("overwrite").parquet(place("quarantine"))
+
+        try:
+            deliver(paths)
+        except PySparkException as error:
+            if _file_fault(error) is None:
+                raise
+            paths, broken = split_readable(read, paths)
+            if paths:
+                deliver(paths)
+        faults = spark.createDataFrame(list(broken.items()), "path string, fault string")
+        bytes_ = spark.read.format("binaryFile").load(list(broken)) if broken else None
+        aside = bytes_.join(F.broadcast(faults), "path") if broken else faults.withColumns({"length": F.lit(0).cast("long"), "content": F.lit(None).cast("binary")})
+        aside.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), "fault", "length", "content").write.mode("overwrite").parquet(place("broken"))
+
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_dedup(stream: DataFrame, keys, event_time: str, lateness: str) -> DataFrame:
     """The first arrival of each key within the watermark; state older than that is dropped."""
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
@@ -46,3 +125,38 @@ def stream_dedup(stream: DataFrame, keys, event_time: str, lateness: str) -> Dat
 
 def windowed_counts(stream: DataFrame, event_time: str, width: str, keys, lateness: str) -> DataFrame:
     return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, width), *keys).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def held_first(stream: DataFrame, keys, order: str, event_time: str, hold: str, lateness: str) -> DataFrame:
+    """The first row of each key by `order`, whenever it arrives: a key's best row so far is held from its first event on
+    for `hold`, then goes out and the key is forgotten.
+
+    Rows older than the watermark are dropped. State is one row a key; `order` is a whole number. Rows travel as JSON, so every
+    type that JSON can hold comes back as it was.
+    """
+    wait = int(stream.sparkSession.sql(f"select unix_micros(timestamp '2000-01-01 00:00:00' + interval {hold}) - unix_micros(timestamp '2000-01-01 00:00:00') as x").first().x) // 1000
+    form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    rows = stream.withWatermark(event_time, lateness).select(*keys, event_time, F.col(order).cast("long").alias("__place"), F.to_json(F.struct(*stream.columns), form).alias("__row"))
+
+    def hold_first(key, frames, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            _, row, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"__row": [row]})
+            return
+        place, row, due = state.get if state.exists else (None, None, None)
+        for frame in frames:
+            at = frame["__place"].idxmin()
+            if place is None or (int(frame["__place"][at]), frame["__row"][at]) < (place, row):
+                place, row = int(frame["__place"][at]), frame["__row"][at]
+            first = frame[event_time].min()
+            begun = int((pd.Timestamp(first) - pd.Timestamp(0, tz=first.tz)).value) // 1_000_000
+            due = begun + wait if due is None else min(due, begun + wait)
+        due = max(due, state.getCurrentWatermarkMs() + 1)
+        state.update((place, row, due))
+        state.setTimeoutTimestamp(due)
+
+    held = rows.groupBy(*keys).applyInPandasWithState(hold_first, "__row string", "place long, row string, due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.select(F.from_json("__row", stream.schema, form).alias("x")).select("x.*")
