@@ -30,7 +30,7 @@ def load_regions(spark: SparkSession, path: str | None = None) -> tuple[DataFram
     alias = spark.createDataFrame([(x, r, 0) for r, x in named], "alias string, region string, layer int")
     if path:
         own = spark.read.option("header", True).csv(path)
-        own = own.select(F.lpad(F.trim("region_code"), 2, "0").alias("code"), blank("region_name").alias("region"), blank("federal_district").alias("district"), "aliases").where("code is not null and region is not null")
+        own = own.select(F.when(F.length(F.trim("region_code")) < 2, F.lpad(F.trim("region_code"), 2, "0")).otherwise(F.trim("region_code")).alias("code"), blank("region_name").alias("region"), blank("federal_district").alias("district"), "aliases").where("code is not null and region is not null")
         seed = seed.unionByName(own.select("code", "region", "district", F.lit(1).alias("layer")))
         more = own.select(F.explode(F.concat(F.array("region"), F.coalesce(F.split("aliases", r"\|"), F.array().cast("array<string>")))).alias("alias"), "region", F.lit(1).alias("layer"))
         alias = alias.unionByName(more)

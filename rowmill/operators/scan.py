@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BEARER_PATTERN, CODE_VALUE_PATTERN, PLACEHOLDER_PARTS, PLACEHOLDERS, SECRET_KEY_PATTERN, URL_SECRET_PATTERN
 from ..functions.ids import ids_in_text
+from .rows import with_seq
 
 #: A name, a sign, and a value in quotes or up to a comment.
 NAMED = r"""^\s*["']?([\w.-]+)["']?\s*[=:]\s*(?:"([^"]*)"|'([^']*)'|([^#;]*))"""
@@ -52,8 +53,8 @@ def findings_report(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def files_report(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
-    """Files for a report: the largest first, of equal ones by path without regard to case."""
-    return files.orderBy(F.col(size).desc(), F.lower(path), path)
+    """Files with their place in a report: the largest first, of equal ones by path without regard to case."""
+    return with_seq(files, [F.col(size).desc(), F.lower(path), F.col(path)], "place")
 
 
 def recover_lost_ids(lines: DataFrame, final: DataFrame, text: str = "line", inn: str = "inn", only_missing: bool = True) -> DataFrame:

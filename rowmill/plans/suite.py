@@ -1,6 +1,7 @@
 """Registered queries and the DuckDB SQL each must equal."""
 
-from . import suite_files, suite_rows, suite_text
+from . import suite_files, suite_layers, suite_rows, suite_text
 
-QUERIES: dict = suite_rows.QUERIES | suite_text.QUERIES | suite_files.QUERIES
-ORACLE: dict = suite_rows.ORACLE | suite_text.ORACLE | suite_files.ORACLE
+_SUITES = (suite_rows, suite_text, suite_files, suite_layers)
+QUERIES: dict = {k: v for s in _SUITES for k, v in s.QUERIES.items()}
+ORACLE: dict = {k: v for s in _SUITES for k, v in s.ORACLE.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def split_readable(read: Callable[[list[str]], DataFrame], paths: list[str]) ->
             if some:
                 read(some).write.format("noop").mode("overwrite").save()
             good += some
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             fault = _file_fault(error)
             if fault is None:
                 raise
@@ -104,7 +105,7 @@ def ingest_files(arrivals: DataFrame, read: Callable[[list[str]], DataFrame], si
 
         try:
             deliver(paths)
-        except PySparkException as error:
+        except (PySparkException, Py4JJavaError) as error:
             if _file_fault(error) is None:
                 raise
             paths, broken = split_readable(read, paths)
