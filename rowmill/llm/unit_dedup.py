@@ -1,13 +1,13 @@
 """Remove repeated lines, sentences and paragraphs: normalise units, group their digests globally, keep the earliest.
 
-A unit is a paragraph (lines up to an empty one), a line, or a sentence within a line (text up to `.`, `!` or `?` before white
-space), so that a passage set into a paragraph is found by the sentences it holds. A unit of at least `min_words` words counts
-alone; in scripts without spaces each character is a word. Shorter ones recur in clean prose, so they count with their
-neighbours: the run of units that starts, or ends, with the short one and has `min_words` words. Units are equal when they are
-equal after lower-casing and with white space squeezed, runs when their units are. The earliest occurrence in order of doc_id
-and offset stays; every other is a repeat. Repeats with only white space between them are one region, and a region of at
-least `least_words` words is removed; its byte offsets in the original text are kept. Smaller regions are single sentences
-and footers that clean documents share; `least_words=1` removes them as well.
+A unit is a line or a paragraph (lines up to an empty one) of any length, or a sentence within a line (text up to `.`, `!` or
+`?` before white space), so that a passage set into a paragraph is found by the sentences it holds. A sentence of at least
+`min_words` words counts alone; in scripts without spaces each character is a word. Shorter ones recur inside clean prose, so
+within a line they count with their neighbours: the run of sentences that starts, or ends, with the short one and has
+`min_words` words. Units are equal when they are equal after lower-casing and with white space squeezed, runs when their
+sentences are. The earliest occurrence in order of doc_id and offset stays; every other is removed, whatever its length. The
+byte offsets of what is removed refer to the original text; repeats with only white space between them are one region.
+`least_words` above 1 spares smaller regions.
 
 Defined cases: null text is empty and loses nothing; a unit repeated within one document loses its later occurrences; rows
 equal in id and text are one document and both keep what it keeps; null ids rank first; an empty table gives no rows.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .spans import cut, row_key
 
-MIN_WORDS, LEAST_WORDS = 8, 20
+MIN_WORDS, LEAST_WORDS = 8, 1
 _BLANK = re.compile(rb"\n[ \t\r\f\v]*\n\s*")
 _END = re.compile(rb"[.!?\xe3\xef](?:(?<=[.!?])\s+|(?<=\xe3)\x80\x82\s*|(?<=\xef)\xbc[\x81\x9f]\s*)")
 #: Kana, Han, Thai, Lao, Burmese and Khmer are written without spaces.
@@ -78,9 +78,9 @@ def _split(raw: bytes):
 
 
 def units(raw: bytes, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each paragraph, line and sentence with enough words, and of each run around a sentence with fewer."""
+    """(start, end, digest) of each paragraph and line, of each sentence with enough words, and of each run around one with fewer."""
     whole, sentences = _split(raw)
-    found = {u for u in (*whole, *sentences) if u[2] >= max(1, min_words)}
+    found = {u for u in whole if u[2]} | {u for u in sentences if u[2] >= min_words}
     before = [0, *accumulate(u[2] for u in sentences)]
     runs = set()
     for i, u in enumerate(sentences):
