@@ -18,7 +18,7 @@ similarity of their sets is at least `percent` / 100. The join is exact and neve
    class, shingles are ordered by the number of groups that hold them, so common passages come last; only groups that hold
    enough of its first shingles are looked at, and its overlap with the group's union bounds its overlap with any member.
    Groups below the bound stay closed. Members of an opened group that share a first shingle with the query are verified:
-   the likeliest one first, and all others only of groups that it did not link.
+   of each component within the group the likeliest one first, and all others only of components that it did not link.
 5. Links of all steps give connected components.
 
 Defined cases: texts without words have an empty set and link with nothing; null text is empty; rows equal in id and text
@@ -329,17 +329,21 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sized = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
     pairs = first.select("c", "n", "s").join(opened, "c").join(inside, ["s", "h"]).where(sized).groupBy(F.col("c").alias("a"), F.col("d").alias("b"), "h", F.least("n", "m").alias("n")).agg(F.count(F.lit(1)).alias("o"))
     pairs = scratch.settle(pairs.where(F.col("o") >= least_shared).select("a", "b", "h", "o"))
-    likely = pairs.groupBy("a", "h").agg(F.max(F.struct("o", "b"))["b"].alias("b"))
+    # a group may hold several components: a query that links to a member is linked to its component, and to no other
+    inner = scratch.settle(components(spark, edges, scratch))
+    whole = pairs.join(inner.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", "o", F.coalesce("root", "b").alias("part"))
+    whole = scratch.settle(whole)
+    likely = whole.groupBy("a", "part").agg(F.max(F.struct("o", "b"))["b"].alias("b"))
     across = scratch.settle(_linked(likely.select("a", "b"), tables, percent))
-    done = across.join(pairs, ["a", "b"]).select("a", "h")
-    again = scratch.settle(_linked(pairs.join(done, ["a", "h"], "left_anti").where("a < b").select("a", "b"), tables, percent))
+    done = across.join(whole, ["a", "b"]).select("a", "part")
+    again = scratch.settle(_linked(whole.join(done, ["a", "part"], "left_anti").where("a < b").select("a", "b"), tables, percent))
 
     # 5. components of classes, then of documents
-    root = components(spark, edges.union(across).union(again), scratch)
+    root = components(spark, inner.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across).union(again), scratch)
     named = kinds.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
     least = scratch.settle(named.groupBy("component").agg(F.min("least").alias("component_id")))
     named = scratch.settle(named.select("c", "c2", "n_shingles", "component").join(least, "component"))
-    scratch.drop(live, tables, shared, matrix, order, first, held, asked, rows_of, opened, pairs)
+    scratch.drop(live, tables, shared, matrix, order, first, held, asked, rows_of, opened, pairs, whole)
     out = rows.join(named, ["c", "c2", "n_shingles"], "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "k", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
