@@ -4,15 +4,18 @@ Markup is stripped in one pass to a list of lines, one for each block of the pag
 of its links and the element that contains it. Lengths are summed over sliding windows of `WINDOW` lines: the text surges
 where the sum rises from 0 above the threshold and dives where it falls back to 0; the lines between a surge and its dive are
 kept whole, short ones included, with the headings right before them. The threshold is a share of the page's largest window,
-so a short article is still the peak of its own page.
-
-What a line counts is its text outside links, and 0 where links make up most of it. Lines of containers that hold less than
-`SHARE` of what the page's largest container holds count 0 too: they neither start nor end a surge, and stay where they stand
-within one. Names are evidence besides: text that belongs to menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, by element or by class, id or role (a whole name, or a compound of such words and layout
-words alone), is an empty line. Where a page has <article> or <main>, text outside them counts 0, and within them all of it
-counts and marked parts leave no line, so that an article stays in one piece; everyday names (share, legal) count there only
-for parts that links or short lines make up.
+so a short article is still the peak of its own page; it holds for text that stands in the page itself, while the article's
+own element keeps its low regions as well.
+
+What a line counts is its text outside links, and 0 where links make up most of it, unless one link holds a whole paragraph
+of prose. Lines of containers that hold less than `SHARE` of what the page's largest container holds count 0 too: they neither
+start nor end a surge, and stay where they stand within one. Small containers inside the largest one are part of it, as are
+sections, lists and tables beside the large ones under the same parent: these count, so an article may end in a short list.
+Names are evidence besides: text that belongs to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments, by element or by class, id or role (a whole name, or a compound of such words and layout words alone), is
+an empty line. Where a page has <article> or <main>, text outside them counts 0, and within them all of it counts and marked
+parts leave no line, so that an article stays in one piece; everyday names (share, legal, menu) count there only for parts that
+links or short lines make up.
 
 Time is linear in the page, broken markup included: an unclosed quote or comment is looked for once.
 
@@ -32,10 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, SHARE = 3, 0.2
-#: An end tag closes an element at most so many levels up; deeper ones are taken as stray.
-DEPTH = 200
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg iframe object canvas textarea select math".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select".split())
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile("[>\"']")
@@ -52,10 +53,14 @@ MARKS = frozenset(
 #: Words that with a mark make up a compound name of the same meaning; any other word (has-, related-work) makes it another thing.
 LAYOUT = frozenset("area bar block body bottom box btn button buttons center column container content fixed form global group icons inner item items left link links list main outer page panel post primary region right row secondary section site slot small sticky top unit wrap wrapper".split())
 #: Marks that name parts of articles too: inside an article they count only where links or short lines make up the element.
-EVERYDAY = frozenset("alert alerts copyright disclaimer discussion foot head hidden legal notice notices related reply respond search share sharing side social".split())
+EVERYDAY = frozenset("alert alerts banner copyright disclaimer discussion foot head header hidden legal menu notice notices rail related reply respond search share sharing side social widget widgets".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that make up a container of lines.
 CONTAINERS = frozenset("article aside body dialog div fieldset footer form header html main menu nav section table td ul ol dl".split())
+#: Containers that are parts of the text they stand in.
+FLOW = frozenset("section table td ul ol dl".split())
+#: An end tag closes nothing beyond one of these, unless it is that of an article or the page.
+BARRIERS = frozenset("article main body aside nav footer header form".split())
 LINK_SHARE, LINK_LINE, SHORT_LINE = 0.5, 0.8, 40
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -165,19 +170,22 @@ class _Open:
         self.text = self.links = self.rows = 0
 
 
-def lines(page: str) -> list[Line]:
-    """The lines of a page, in order."""
+def lines(page: str, tree: list[tuple[int, str]] | None = None) -> list[Line]:
+    """The lines of a page, in order. tree gets the parent and element of every container by number; 0 is the page."""
+    tree = [] if tree is None else tree
+    tree.append((-1, ""))
     out: list[Line | None] = []
     root = _Open("", False, False, 0, False, 0)
     stack = [root]
     piece: list[str] = []
-    links = numbers = anchors = 0
+    links = anchors = several = 0
+    places: dict[str, list[int]] = {}  # where elements of a name are open; "block!" and "barrier!" for all of these
 
     def flush():
-        nonlocal links
+        nonlocal links, several
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
-        top, linked, links = stack[-1], links, 0
+        top, linked, links, one, several = stack[-1], links, 0, several == 1, 0
         if not text:
             return
         for e in doubtful:
@@ -186,13 +194,19 @@ def lines(page: str) -> list[Line]:
             if not top.inside:
                 out.append(Line("", 0, top.number, False, False))
             return
-        counts = len(text) if top.inside else len(text) - linked if linked < LINK_LINE * len(text) else 0
+        prose = one and len(text) >= SHORT_LINE and any(stack[i].name == "p" for i in places.get("block!", ())[-1:])
+        counts = len(text) if top.inside or prose and linked >= LINK_LINE * len(text) else len(text) - linked if linked < LINK_LINE * len(text) else 0
         out.append(Line(text, max(0, counts), top.number, any(e.name in HEADINGS for e in stack[-3:]), top.inside))
 
+    def kinds(name: str) -> tuple[str, ...]:
+        return (name, *(("block!",) if name in BLOCKS else ()), *(("barrier!",) if name in BARRIERS else ()))
+
     def close(i: int):
         nonlocal anchors
-        for e in stack[i:]:
+        for e in reversed(stack[i:]):
             anchors -= e.name == "a"
+            for k in kinds(e.name):
+                places[k].pop()
             if e.doubtful:
                 doubtful.remove(e)
                 if e.rows and (e.links >= LINK_SHARE * e.text or e.text < SHORT_LINE * e.rows):
@@ -213,20 +227,14 @@ def lines(page: str) -> list[Line]:
         if name in BLOCKS:
             flush()
         if closes:
-            for i in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
-                if stack[i].name == name:
-                    close(i)
-                    break
-                if stack[i].name in ("article", "main", "body", "aside", "nav", "footer", "header", "form") and name not in ("article", "main", "body", "html"):
-                    break
+            i = (places.get(name) or [0])[-1]
+            if i and (name in ("article", "main", "body", "html") or i >= (places.get("barrier!") or [0])[-1]):
+                close(i)
         elif name not in VOID and not _ALONE.search(attributes):
             if name in BLOCKS:  # a block ends open paragraphs and what they hold; an item ends the item before
-                for i in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
-                    if stack[i].name == "p" or name == "li" and stack[i].name == "li" or name in ("dt", "dd") and stack[i].name in ("dt", "dd"):
-                        close(i)
-                        break
-                    if stack[i].name in BLOCKS:
-                        break
+                i = (places.get("block!") or [0])[-1]
+                if i and (stack[i].name == "p" or name == "li" and stack[i].name == "li" or name in ("dt", "dd") and stack[i].name in ("dt", "dd")):
+                    close(i)
             around, inside = stack[-1].around, stack[-1].inside
             mark, main, everyday = _marked(attributes) if attributes else (False, False, False)
             mark = mark and name not in HEADINGS
@@ -234,10 +242,16 @@ def lines(page: str) -> list[Line]:
             outside = name in OUTSIDE and not (name == "header" and inside)
             hit = around or outside or mark and not doubt and name not in ("html", "body", "article", "main")
             hit = hit or name == "article" and mark and inside
-            numbers += name in CONTAINERS
-            e = _Open(name, hit, inside or name in ("article", "main") and not hit or main, numbers if name in CONTAINERS else stack[-1].number, doubt and not hit, len(out))
+            number = stack[-1].number
+            if name in CONTAINERS:
+                tree.append((number, name))
+                number = len(tree) - 1
+            e = _Open(name, hit, inside or name in ("article", "main") and not hit or main, number, doubt and not hit, len(out))
+            for k in kinds(name):
+                places.setdefault(k, []).append(len(stack))
             stack.append(e)
             anchors += name == "a"
+            several += name == "a"
             if e.doubtful:
                 doubtful.append(e)
     flush()
@@ -245,16 +259,50 @@ def lines(page: str) -> list[Line]:
     return [x for x in out if x]
 
 
+def _home(held: dict[int, int], tree: list[tuple[int, str]]) -> set[int]:
+    """Containers whose lines are the page's text: those that hold at least SHARE of what the largest holds, what stands inside
+    the only one of these, and sections, lists and tables that stand with them under their common parent."""
+    most = max(held.values(), default=0)
+    large = {c for c, n in held.items() if n >= SHARE * most}
+
+    def above(c: int) -> list[int]:
+        out = []
+        while c >= 0:
+            out.append(c)
+            c = tree[c][0]
+        return out
+
+    if not large:
+        return large
+    paths = [above(c)[::-1] for c in large]
+    common = 0
+    for level in zip(*paths):
+        if len(set(level)) > 1:
+            break
+        common = level[0]
+    whole = len(large) == 1 and tree[common][1] not in ("", "html", "body")
+    home: set[int] = set()
+    for c in range(len(tree)):  # parents come before what they hold
+        parent, name = tree[c]
+        if c in large or c == common:
+            home.add(c)
+        elif parent in home and (whole or name in FLOW):
+            home.add(c)
+    return home - ({common} - large)
+
+
 def main_text(page: str | None) -> str:
-    found = lines(page or "")
+    tree: list[tuple[int, str]] = []
+    found = lines(page or "", tree)
     if any(x.inside and x.length for x in found):
         found = [x if x.inside else x._replace(text="", length=0) for x in found]
+        home = {x.container for x in found}
     else:
         held: dict[int, int] = {}
         for x in found:
             held[x.container] = held.get(x.container, 0) + x.length
-        most = max(held.values(), default=0)
-        found = [x if held[x.container] >= SHARE * most else x._replace(length=0) for x in found]
+        home = _home(held, tree)
+        found = [x if x.container in home else x._replace(length=0) for x in found]
     length = [x.length for x in found]
     size = len(length)
     window = [sum(length[i : i + WINDOW]) for i in range(size)]
@@ -269,8 +317,8 @@ def main_text(page: str | None) -> str:
         end = i
         while end < size and window[end]:
             end += 1
-        if max(window[i:end]) >= SHARE * peak:
-            full = [j for j in range(i, min(size, end + WINDOW - 1)) if length[j]]
+        full = [j for j in range(i, min(size, end + WINDOW - 1)) if length[j]]
+        if max(window[i:end]) >= SHARE * peak or any(found[j].inside or found[j].container in home and tree[found[j].container][1] not in ("", "html", "body") for j in full):
             a, b = full[0], full[-1] + 1
             while a and found[a - 1].heading and found[a - 1].text:
                 a -= 1

@@ -101,19 +101,21 @@ def test_unit_dedup(spark, rows):
     passage = "One. Two three four. Five six seven eight nine ten eleven twelve thirteen. Yes. No. Fourteen fifteen sixteen seventeen eighteen nineteen twenty."
     extra = [(9000 + i, f"Own words of text {i} come first. {passage} Then others {i} follow.") for i in range(3)]
     extra += [(9100 + i, f"start{i} x\n\nA paragraph of two lines\nthat is repeated in other texts as well and has more than\ntwenty words, so that it is a region of its own\n\nend {i}") for i in range(3)]
-    extra += [(9200, "Stays because it is short, as a sentence of ten words."), (9201, "Stays because it is short, as a sentence of ten words.")]
+    extra += [(9200, "Goes although it is short, as a sentence of ten words."), (9201, "Goes although it is short, as a sentence of ten words.")]
+    extra += [(9300 + i, f"own {i}\n" + "\n".join(" ".join(f"w{n}x{j}" for j in range(n)) for n in range(2, 20)) + f"\nof\nlast {i}\nof") for i in range(4)]
     docs += extra
 
     def parts(t):
         out, at, sentences = [], 0, []
         for line in t.split("\n"):
-            out.append((at, at + len(line)))
+            if line.strip():
+                out.append((at, at + len(line)))
             sentences += [(at + m.start(), at + m.end()) for m in re.finditer(r"\S.*?(?:(?<=[.!?])(?=\s)|$)", line) if m[0]]
             at += len(line) + 1
         out += [m.span(1) for m in re.finditer(r"(?s)(?:\A|(?<=\n)[ \t]*\n\s*)((?:(?!\n[ \t]*\n).)+)", t) if "\n" in m[1]]
         word = lambda a, b: tuple(t[a:b].lower().split())
         sentences = [x for x in sentences if word(*x)]
-        found = {(a, b, word(a, b)) for a, b in out + sentences if len(word(a, b)) >= 8}
+        found = {(a, b, word(a, b)) for a, b in out} | {(a, b, word(a, b)) for a, b in sentences if len(word(a, b)) >= 8}
         for i in range(len(sentences)):
             for j in range(i + 1, len(sentences)):
                 run = sentences[i : j + 1]
@@ -137,24 +139,23 @@ def test_unit_dedup(spark, rows):
             j = i
             while gone[i] and j < len(t) and (gone[j] or not t[j].strip() and any(gone[j:]) and not t[j : gone.index(True, j)].strip()):
                 j += 1
-            if j > i and len(t[i:j].split()) >= 20:
+            if j > i:
                 i = j
             else:
-                j = max(j, i + 1)
-                kept += t[i:j]
-                i = j
+                kept += t[i]
+                i += 1
         want[d] = kept
     got = {r.doc_id: r.kept for r in unit_dedup.drop_repeated_units(table(spark, docs)).collect()}
     assert got == want
     assert got[9001].split() == "Own words of text 1 come first. Then others 1 follow.".split() and "paragraph" not in got[9102]
-    assert got[9201] == dict(docs)[9201]
-    assert unit_dedup.drop_repeated_units(table(spark, docs), least_words=1).where("doc_id = 9201").first().kept == ""
+    assert got[9201] == "" and [got[9300 + i].split() for i in range(1, 4)] == [["own", f"{i}", "last", f"{i}"] for i in range(1, 4)]
+    assert unit_dedup.drop_repeated_units(table(spark, docs), least_words=20).where("doc_id = 9201").first().kept == dict(docs)[9201]
 
 
 def test_unit_dedup_without_spaces(spark):
     cjk = "这是一个重复的句子。没有空格的文字也是单元，所以每个字都算一个词。"
     got = {r.doc_id: r.kept for r in unit_dedup.drop_repeated_units(table(spark, [(3, cjk), (4, cjk), (None, "a b"), (None, "a b"), (5, None)])).collect()}
-    assert got[3] == cjk and got[4] == "" and got[None] == "a b" and got[5] == ""
+    assert got[3] == cjk and got[4] == "" and got[None] == "a b" and got[5] == ""  # equal rows are one document
 
 
 def test_mixing(spark, rows):
@@ -352,6 +353,31 @@ def test_html_finds_the_article_without_names():
         assert html_text.main_text("<article><p>" + body[0] + "</p>" + part.format(body[1]) + "</article>") == body[0] + "\n\n" + body[1]
 
 
+def test_html_keeps_the_ends_of_unlike_pages():
+    """Closing sections, lists, tables and linked paragraphs, parts with everyday names, formulas; what stands outside goes."""
+    text = ("Words of a paragraph go on for a while so that it counts. " * 3).strip()
+    prose = "The evening offers soup and bread and many other good things to everybody who comes."
+    for wrap in ("<div class='content'>{}</div>", "<div><div>{}</div></div>", "{}", "<section>{}</section>"):
+        page = "<body><div><a href='/'>Home</a> <a href='/b'>More</a></div>" + wrap + "<div><p>Imprint 2020</p></div></body>"
+        for end, want in (
+            ("<section><p>Short end.</p></section>", "Short end."),
+            ("<ul><li>one item<li>two</ul>", "one item\n\ntwo"),
+            ("<table><tr><td>a cell</td><td>b</td></tr></table>", "a cell\n\nb"),
+            ("<ol><li>first</li></ol><dl><dt>t</dt><dd>d</dd></dl>", "first\n\nt\n\nd"),
+            ("<p><a href='x'>A whole paragraph that stands in one link at the end of it all.</a></p>", "A whole paragraph that stands in one link at the end of it all."),
+        ):
+            assert html_text.main_text(page.format(f"<p>{text}</p><p>{text}</p>{end}")) == f"{text}\n\n{text}\n\n{want}", (wrap, end)
+    for part in ("<section class='menu'><p>{}</p></section>", "<div class='banner'><p>{}</p></div>", "<section id='widgets'><p>{}</p></section>", "<header><p>{}</p></header>"):
+        assert html_text.main_text(f"<article><p>{text}</p>{part.format(prose)}</article>") == f"{text}\n\n{prose}"
+    for part in ("<ul class='menu'><li><a>Home</a><li><a>About</a></ul>", "<div class='ad'><p>{}</p></div>", "<form><p>{}</p></form>", "<div class='comments'><p>{}</p></div>", "<aside>{}</aside>"):
+        assert html_text.main_text(f"<article><p>{text}</p>{part.format(prose)}</article>") == text
+    assert html_text.main_text(f"<article><p>{text}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == f"{text}\n\nso x=1 holds"
+    low = "<div><p>{0}</p>" + "<div class='ad'>buy</div>" * 4 + "<p>Low end.</p></div>"
+    assert html_text.main_text("<body>" + low.format(text * 9) + "</body>").endswith("Low end.")
+    deep = "<article>" + "<b>" * 3000 + text + "<p>next" + "</b>" * 3000 + "</article><p>after</p>"
+    assert html_text.main_text(deep) == f"{text}\n\nnext"
+
+
 def test_html_surge_and_dive_against_plain_windows():
     """Pages of one paragraph a line in one container: regions of windows by their definition."""
     r = random.Random(6)
