@@ -8,9 +8,10 @@ a Parquet file: the remaining symbols, the rules (left, right), every rule's exp
 and number of ids. Cumulated expansion lengths tell which symbols hold a range of ids, so one document is decoded without
 the rest of its shard.
 
-Encoding: white space that follows a non-space begins a new pre-token in this kind of byte-level BPE, so pieces cut there
-encode alike alone and in place. Pieces met before are looked up by hash and compared byte by byte; the table of pieces is
-bounded in pieces and bytes and starts anew when it is full. A text with white space outside ASCII, or with a special token's
+Encoding: white space that follows a non-space, and a sign that follows an ASCII letter or digit, begin a new pre-token in this
+kind of byte-level BPE, so pieces cut there encode alike alone and in place. Pieces met before are looked up by hash and
+compared byte by byte; new ones go to the library many at a time, set apart by a special token. The table of pieces is bounded
+in pieces and bytes; when it is full, those met again since stay and the others go. A text with white space outside ASCII, or with a special token's
 string, and a piece of over `LONG` bytes go to the tokenizers library each time and are not kept.
 
 Defined cases: null and empty texts give the end id alone; null ids come first; rows that repeat an id are each written, in
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import FIRST_BYTES, LONG, Scratch, slices, small, span_hashes
 
 SHARD, GAIN, RULES_A_ROUND, LEAST = 1 << 20, 0.01, 2048, 12
-_TABLE, PIECES, PIECE_BYTES = 1 << 20, 500_000, 16 << 20
+_TABLE, PIECES, PIECE_BYTES, AT_ONCE = 1 << 21, 500_000, 16 << 20, 4000
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
+_ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[np.r_[48:58, 65:91, 97:123]] = True
+_SIGN[np.r_[33:39, 40:48, 58:65, 91:97, 123:127]] = True  # an apostrophe may join what it stands between
 
 
 class Encoder:
@@ -45,7 +49,11 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.base = self.lib.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        added = self.lib.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        # a token that sets texts apart: always matched as it stands, and no end of it is its beginning
+        whole = [(i, t.content) for i, t in sorted(added.items()) if not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not any(t.content.endswith(t.content[:n]) for n in range(1, len(t.content)))]
+        self.apart = whole[0] if whole else None
         self.clear()
 
     def clear(self) -> None:
@@ -54,29 +62,55 @@ class Encoder:
         self.hash, self.at, self.len, self.raw_at, self.raw_len = (np.zeros(1 << 16, t) for t in (np.uint64, *[np.int64] * 4))
         self.ids = np.zeros(1 << 18, np.uint16 if self.base <= 1 << 16 else np.uint32)
         self.raw = np.zeros(1 << 20, np.uint8)
+        self.met = np.zeros(1 << 16, np.int32)
         self.n, self.used, self.raw_used = 0, 0, 0
-        self._store([np.zeros(1, self.ids.dtype)])  # piece 0: the id that ends a document
+        self._store(np.zeros(1, self.ids.dtype), np.ones(1, np.int64))  # piece 0: the id that ends a document
 
-    def _store(self, lists) -> np.ndarray:
-        """Numbers of new pieces with these ids."""
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        more = int(lens.sum())
-        while self.used + more > len(self.ids):
+    def _store(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces that have so many of the ids each."""
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) > len(self.at):
-            self.hash, self.at, self.len, self.raw_at, self.raw_len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.at, self.len, self.raw_at, self.raw_len))
-        new = np.arange(self.n, self.n + len(lists))
+        while self.n + len(lens) > len(self.at):
+            self.hash, self.at, self.len, self.raw_at, self.raw_len, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.at, self.len, self.raw_at, self.raw_len, self.met))
+        new = np.arange(self.n, self.n + len(lens))
         self.len[new], self.at[new] = lens, self.used + np.cumsum(lens) - lens
-        if more:
-            self.ids[self.used : self.used + more] = np.concatenate(lists)
-        self.n, self.used = self.n + len(lists), self.used + more
+        self.met[new] = 0
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(lens), self.used + len(ids)
         return new
 
+    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has. No piece holds a special token's string."""
+        if self.apart is None:
+            got = [np.array(g.ids, self.ids.dtype) for g in self.lib.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+            return np.concatenate(got), np.array([len(g) for g in got])
+        number, name = self.apart
+        texts = [name.encode().join(pieces[a : a + AT_ONCE]).decode("utf-8") + name for a in range(0, len(pieces), AT_ONCE)]
+        ids = np.concatenate([np.array(g.ids, self.ids.dtype) for g in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == number)
+        return np.delete(ids, ends), np.diff(np.r_[-1, ends]) - 1
+
+    def _keep_met(self) -> None:
+        """Start the table anew with the pieces that were met again, the most frequent half of it at most."""
+        met = self.met[1 : self.n]
+        least = 1 if np.count_nonzero(met) <= PIECES // 2 else int(np.partition(met, -PIECES // 2)[-PIECES // 2]) + 1
+        old = np.flatnonzero(met >= least) + 1
+        old = old[np.cumsum(self.raw_len[old]) <= PIECE_BYTES // 2]
+        spans = lambda at, lens: np.repeat(at - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum()))
+        lens, raw_lens, hashes = self.len[old], self.raw_len[old], self.hash[old]
+        ids, raw = self.ids[spans(self.at[old], lens)], self.raw[spans(self.raw_at[old], raw_lens)]
+        self.clear()
+        if len(old):
+            self._enter(hashes, self._store(ids, lens), raw, raw_lens)
+
     def _add(self, hashes, pieces: list[bytes]) -> np.ndarray:
         """Numbers of new pieces that are kept for later texts."""
-        got = self.lib.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        new = self._store([np.array(g.ids, self.ids.dtype) for g in got])
-        raw, lens = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        new = self._store(*self._library(pieces))
+        self._enter(hashes, new, np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return new
+
+    def _enter(self, hashes: np.ndarray, new: np.ndarray, raw: np.ndarray, lens: np.ndarray) -> None:
+        """Make pieces findable by hash and comparable by bytes."""
         while self.raw_used + len(raw) + 8 > len(self.raw):
             self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         self.raw[self.raw_used : self.raw_used + len(raw)] = raw
@@ -84,7 +118,6 @@ class Encoder:
         self.raw_used += len(raw)
         self.slot[(self.hash[new] & np.uint64(_TABLE - 1)).astype(np.int64)] = new
         self.index.update(zip(self.hash[new].tolist(), new.tolist()))
-        return new
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each span of data is its piece, byte by byte."""
@@ -133,7 +166,7 @@ class Encoder:
             space = _BREAK[data]
             cut = np.empty(n, bool)
             cut[0] = True
-            cut[1:] = space[1:] & ~space[:-1]
+            cut[1:] = space[1:] & ~space[:-1] | _SIGN[data[1:]] & _ALNUM[data[:-1]]
             odd = self._odd(data, offs)
             for i in np.flatnonzero(odd):
                 cut[offs[i] : offs[i + 1]] = False
@@ -145,7 +178,7 @@ class Encoder:
             piece = self.slot[(h & np.uint64(_TABLE - 1)).astype(np.int64)].astype(np.int64)
             piece[self.hash[piece] != h] = 0
             miss = np.flatnonzero((piece == 0) & ~apart)
-            raw = data.tobytes()
+            raw, new_from = data.tobytes(), self.n
             if len(miss):
                 values, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
                 known = np.fromiter((self.index.get(v, 0) for v in values.tolist()), np.int64, len(values))
@@ -157,8 +190,10 @@ class Encoder:
             state = self.n, self.used
             other = np.flatnonzero(apart | ~self._same(data, starts, ends, piece))  # the last are pieces of equal hash
             if len(other):
-                got = self.lib.encode_batch_fast([raw[starts[i] : ends[i]].decode("utf-8") for i in other], add_special_tokens=False)
-                piece[other] = self._store([np.array(g.ids, self.ids.dtype) for g in got])
+                got = [np.array(g.ids, self.ids.dtype) for g in self.lib.encode_batch_fast([raw[starts[i] : ends[i]].decode("utf-8") for i in other], add_special_tokens=False)]
+                piece[other] = self._store(np.concatenate(got), np.array([len(g) for g in got]))
+            self.met[: self.n] += np.bincount(piece, minlength=self.n).astype(np.int32)
+            self.met[new_from : self.n] -= 1  # a piece is met again from its second place on
         else:
             starts, piece, state = np.zeros(0, np.int64), np.zeros(0, np.int64), (self.n, self.used)
         ends_at = np.searchsorted(starts, offs[1:])
@@ -169,7 +204,7 @@ class Encoder:
         upto = total[ends_at + np.arange(len(ends_at))]
         self.n, self.used = state  # what is not kept is overwritten
         if self.n > PIECES or self.raw_used > PIECE_BYTES:
-            self.clear()
+            self._keep_met()
         return ids, np.diff(np.r_[0, upto])
 
 
