@@ -50,7 +50,7 @@ STAGES = [
     ("token_files", token_stage),
 ]
 
-#: Trees, latent spaces and tokenizers have no SQL; tests/llm holds the run against a plain version of every stage.
+#: Trees, latent spaces and tokenizers have no SQL; tests/llm holds the operators against plain versions and each stage to its operator.
 ORACLE_SQL = None
 
 
