@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,22 +14,12 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_root
+
 #: A side is broadcast only when it is counted or summed first and lies below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 24_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the session names, else one beside the warehouse's tables, and a temporary
-    one only where driver and executors are one process (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        local = sc.master.startswith("local")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rowmill-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_rowmill")
-        named = sc.getCheckpointDir()
-    return named
-
-
 def _delete(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -61,7 +50,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.root, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         _LEFT.append(self.root)
 
     def settle(self, df: DataFrame) -> DataFrame:
