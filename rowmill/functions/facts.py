@@ -77,7 +77,7 @@ def is_budget_org(*names) -> Column:
 
 
 def tail(employees, revenue, employees_year, revenue_year, budget) -> Column:
-    """The closing sentence with both figures."""
+    """The closing sentence with both figures. Its parts."""
     of = lambda y: F.when(blank(y).isNotNull(), F.concat(F.lit(" по данным за "), blank(y), F.lit(" год"))).otherwise("")
     kind = F.when(c(budget), "годовой бюджет").otherwise("годовая выручка")
     return F.concat(F.lit("Численность работников — около "), c(employees), F.lit(" человек"), of(employees_year), F.lit(", "), kind, F.lit(" — около "), c(revenue), of(revenue_year), F.lit("."))

@@ -33,7 +33,7 @@ def latin(x) -> Column:
 
 
 def safe_segment(x, default: str = "__MISSING__", max_len: int = 120, ext: str = "") -> Column:
-    """A name for a folder or file that every common system takes."""
+    """A name for a folder or file that every common system takes. The signs replaced and the order of steps, as paths must agree."""
     raw = F.coalesce(blank(x), F.lit(default))
     technical = raw.startswith("__") & raw.endswith("__")
     t = F.regexp_replace(F.regexp_replace(latin(raw), r'[\\/:*?"<>|]+', "_"), r"\s+", "_")

@@ -199,6 +199,7 @@ def text_issues(x, forbidden=FORBIDDEN_WORDS) -> Column:
         low, n = F.lower(t), F.size(sentences(t))
         words = F.transform(F.filter(F.array(*[F.lit(w) for w in forbidden]), lambda w: low.contains(w)), lambda w: F.concat(F.lit("forbidden_word_"), w))
         size = [let(n, lambda m: F.when(m != DESCRIPTION_SENTENCES, F.concat(F.lit("sentence_count_"), m.cast("string")))), F.when(F.length(t) < DESCRIPTION_MIN, F.lit("too_short")), F.when(F.length(t) > DESCRIPTION_MAX, F.lit("too_long"))]
+        # fixed values: the patterns of a link, a year and the tail
         rest = [
             F.when(t.rlike(r"(?i)https?://|www\."), F.lit("contains_link")),
             F.when(~t.rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import FORBIDDEN_WORDS
 from ..functions.facts import fmt_employees, fmt_revenue, is_budget_org, key_fact, tail, text_city, text_employees, text_revenue, text_year
 from ..functions.names import official_name
-from ..functions.text import blank, clean_text, drop_forbidden, first_nonblank, let, sentences, text_issues
+from ..functions.text import blank, clean_text, drop_forbidden, first_nonblank, let, text_issues
 from .reports import condition_counts
 
 
@@ -25,6 +25,7 @@ def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
     lead = F.btrim(F.get(F.split(told, r"(?<=[.!?])\s+"), F.lit(0)), F.lit(" ."))
     lead = F.when((F.length(told) > 40) & (lead != ""), F.lower(F.substring(drop_forbidden(lead, FORBIDDEN_WORDS), 1, 220)))
     lower = lambda x: F.lower(blank(have(x)))
+    # fixed values: the parts of sentences from here on
     activity = F.coalesce(
         lead,
         F.concat(F.lit("деятельностью в подотрасли "), lower("Subindustry")),
@@ -67,10 +68,6 @@ def description_summary(df: DataFrame) -> DataFrame:
     return condition_counts(df, ok="description_status = 'ok'", for_review="description_status <> 'ok'", from_rules="text_origin = 'rules'")
 
 
-def tail_of(df: DataFrame, col: str):
-    return F.element_at(sentences(col), -1)
-
-
 def stale_text(primary: str, fallback: str, words=("неизвестн",)):
     """A text without disallowed words, else the fallback."""
     return F.coalesce(blank(drop_forbidden(primary, words)), first_nonblank(fallback))

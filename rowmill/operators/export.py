@@ -31,8 +31,10 @@ def routing_issues(df: DataFrame) -> DataFrame:
 
 def export_manifest(df: DataFrame) -> DataFrame:
     """Rows and routes of each output path. Paths that differ before they are made safe meet in one row, and no row is lost."""
+    # routes are counted first, so that sets are made of distinct routes alone
     names = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ";").alias(x)
-    return df.groupBy("export_path").agg(F.count(F.lit(1)).alias("n_rows"), *[names(x) for x in ROUTES])
+    routes = df.groupBy("export_path", *ROUTES).agg(F.count(F.lit(1)).alias("n"))
+    return routes.groupBy("export_path").agg(F.sum("n").alias("n_rows"), *[names(x) for x in ROUTES])
 
 
 def export_collisions(df: DataFrame) -> DataFrame:

@@ -33,14 +33,15 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 def dedup_composite(df: DataFrame, scope=("source_file",), order=("source_row_no",), **columns) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): the first row of each composite key within a scope. Rows without an id are all kept.
 
-    Rows without an id have no key and bypass the window, so that they do not meet in one partition.
+    One pass over df: rows without an id have no key, so they are dealt over the tasks by a hash of their order and all rank first.
     """
     keys = dedup_key(**columns)
     names = ["key_inn", "key_region", "key_sector", "key_industry", "key_subindustry"]
-    keyed = df.withColumns(dict(zip(names, keys)))
-    known = keyed.where("key_inn <> ''").withColumn("_rank", F.row_number().over(Window.partitionBy(*scope, *names).orderBy(*order)))
-    kept = known.where("_rank = 1").drop("_rank", *names).unionByName(keyed.where("key_inn = ''").drop(*names))
-    return kept, known.where("_rank > 1").drop("_rank", *names)
+    blank_id = F.col("key_inn") == ""
+    deal = F.when(blank_id, F.pmod(F.xxhash64(*order), F.lit(4096))).otherwise(-1)
+    rank = F.row_number().over(Window.partitionBy(*scope, *names, "__rm_deal").orderBy(*order))
+    ranked = df.withColumns(dict(zip(names, keys))).withColumn("__rm_deal", deal).withColumn("_rank", F.when(blank_id, 1).otherwise(rank)).drop("__rm_deal", *names)
+    return ranked.where("_rank = 1").drop("_rank"), ranked.where("_rank > 1").drop("_rank")
 
 
 def dedup_by_id(df: DataFrame, key: str, order) -> tuple[DataFrame, DataFrame]:

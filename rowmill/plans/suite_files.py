@@ -143,14 +143,14 @@ def stream_restarted(spark, sf_dir):
     return good.crossJoin(told)
 
 
-@query("select user_id, count(*) as n_rows from events group by 1")
+@query("select user_id, date_trunc('day', ts)::timestamp as day, count(*) as n_rows from events group by 1, 2")
 def windowed_event_counts(spark, sf_dir):
-    """Counts by user and a day's window under a watermark, summed over the windows."""
+    """Counts by user and a day's window, all windows given out anew with each batch."""
     base = work_dir(spark, "windows")
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(3).write.parquet(f"{base}/incoming")
     stream = spark.readStream.schema(e.schema).parquet(f"{base}/incoming")
-    counts = flows.windowed_counts(stream, "ts", "1 day", ["user_id"], "4000 days")
+    counts = flows.windowed_counts(stream, "ts", "1 day", ["user_id"], "2 days")
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -158,7 +158,7 @@ def windowed_event_counts(spark, sf_dir):
     counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     last = out.agg(F.max("batch").alias("batch"))
-    return out.join(last, "batch").groupBy("user_id").agg(F.sum("n_rows").alias("n_rows"))
+    return out.join(last, "batch").select("user_id", F.col("window.start").alias("day"), "n_rows")
 
 
 def _findings(spark, sf_dir):

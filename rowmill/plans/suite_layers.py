@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import SUPPLEMENT_COLUMNS
-from ..functions import facts, names, text
+from ..functions import facts, money, names, text
 from ..operators import describe, enrich, regions, reports, restore, route, rows, scan
 from ..sources import ingest, registry, sinks
 from ..streaming import flows
@@ -325,3 +325,42 @@ def files_by_size(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     path = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand")), F.lit("/"), F.col("p_partkey").cast("string"))
     return scan.files_report(p.select(path.alias("path"), F.col("p_size").alias("size")))
+
+
+@query("""with w as (select p_partkey, string_split(p_name || ' no' || p_partkey, ' ') as ws, ['ООО', 'ПАО', 'ГУП', 'АО'][p_partkey % 4 + 1] as form from part),
+    t as (select p_partkey, form, list_aggregate(list_transform(ws, lambda x: case when regexp_full_match(x, '[a-z]+-?[0-9]+') then upper(x) else upper(x[1]) || x[2:] end), 'string_agg', ' ') as name from w)
+    select p_partkey, form, form || ' «' || name || '»' as official, name as short from t""")
+def official_names_of_parts(spark, sf_dir):
+    """Names of many words under long and short forms, quoted or bare, in any case."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.lit(" no"), k.cast("string"))
+    form = F.get(F.array(*[F.lit(x) for x in ("Общество с ограниченной ответственностью", "ПАО", "гуп", "АКЦИОНЕРНОЕ ОБЩЕСТВО")]), (k % 4).cast("int"))
+    whole = F.when(k % 3 == 0, F.concat(form, F.lit(' "'), F.upper(name), F.lit('"'))).when(k % 3 == 1, F.concat(form, F.lit("  «"), name, F.lit("»"))).otherwise(F.concat(form, F.lit(" "), name))
+    return table(spark, sf_dir, "part").select("p_partkey", names.legal_form(whole)["form"].alias("form"), names.official_name(whole).alias("official"), names.short_from_official(whole).alias("short"))
+
+
+@query("""with x as (select o_orderkey, o_totalprice::decimal(18, 2) as p from orders), y as (select *, (case o_orderkey % 4 when 0 then 1000 when 1 then 1000000 when 2 then 1000000000 else 1 end)::double * p::double as v from x)
+    select o_orderkey, v as rub, ['thousand_rub', 'million_rub', 'billion_rub', 'rub'][o_orderkey % 4 + 1] as unit, case when v < 0 then 'negative_revenue' when v > 0 and v < 1000000 then 'revenue_below_1m' when v > 10000000000000 then 'revenue_extremely_high_check_unit' else '' end as issue from y""")
+def revenues_of_orders(spark, sf_dir):
+    """Prices as revenue with a decimal comma and spaces between thousands, in four units."""
+    k, p = F.col("o_orderkey") % 4, F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    written = F.translate(F.translate(p, ",", " "), ".", ",")
+    told = F.concat(written, F.get(F.array(*[F.lit(x) for x in (" тыс руб", " млн руб", " млрд руб", " руб")]), k.cast("int")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", money.money_to_unit(told).alias("m"))
+    return o.select("o_orderkey", "m.rub", "m.unit", money.revenue_issue(F.format_string("%.2f", "m.rub")).alias("issue"))
+
+
+@query("select event_type, count(*) as n_rows, 3::bigint as n_batches, true as archived from events group by 1")
+def stream_archived(spark, sf_dir):
+    """Three runs of a stream whose finished files move to an archive; what moved is whole and no row comes twice."""
+    base = work_dir(spark, "archived")
+    e = table(spark, sf_dir, "events")
+    for i in range(3):
+        e.where(F.col("event_id") % 3 == i).write.mode("append").parquet(f"{base}/incoming")
+        stream = flows.file_stream(spark, [f"{base}/incoming"], e.schema, archive=f"{base}/archive")
+        flows.stream_ingest(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    rows_ = spark.read.parquet(f"{base}/out/rows")
+    moved = spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(f"{base}/archive").agg(F.count(F.lit(1)).alias("n"))
+    good = rows_.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_ids"))
+    told = rows_.agg(F.count_distinct("batch").alias("n_batches"))
+    return good.crossJoin(told).crossJoin(moved).select("event_type", "n_rows", "n_batches", ((F.col("n") > 0) & (F.col("n_rows") == F.col("n_ids"))).alias("archived"))

@@ -13,6 +13,7 @@ from .assembly import CHUNK, line_records
 
 WIDTH, MAX_LINES = 12, 10
 DELIMITERS = [",", ";", "\t", "|"]
+#: Fixed value: what the repair takes for a link.
 LINK = r"(?i)(?:https?://|www\.|[a-zA-Z0-9-]+\.(?:ru|рф|com|org|net|su|by|kz|io))"
 
 
@@ -51,12 +52,6 @@ def number_lines(lines: DataFrame, file: str = "path", block: str = "block", ord
     return inside.join(offsets, [file, block]).withColumn("line_no", (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before")
 
 
-def split_lines(df: DataFrame, file: str, text: str) -> DataFrame:
-    """(source_file, line_no, line) of whole texts; a line end at the end of the text begins no further line."""
-    lines = df.select(F.col(file).alias("source_file"), F.posexplode(F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
-    return lines.select("source_file", (F.col("i") + 1).cast("long").alias("line_no"), "line")
-
-
 def score_delimiters(lines: DataFrame, max_lines: int = 50) -> DataFrame:
     """(source_file, delimiter, score): how steadily each delimiter cuts a file's first lines into about the expected fields."""
     head = lines.where(F.trim("line") != "").withColumn("_i", F.row_number().over(Window.partitionBy("source_file").orderBy("line_no"))).where(F.col("_i") <= max_lines)
