@@ -5,6 +5,8 @@ histograms: each task counts scores by bin, the counts are summed over all tasks
 the next range. Then one pass keeps the scores at or above it, with ties going to the smaller id. Queries run in blocks of
 bounded size, so a block's vectors fit any worker; a task reports at most k bins and its k best ties for each query.
 
+Scores are exact below 2**53; beyond that the products of so large components are rounded, and they tie or order as rounded.
+
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, neither do null ids; only
 vectors of equal length are compared; a query never meets a row with its own id; repeated query rows are each answered;
 fewer than k candidates give them all.
@@ -18,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BLOCK, BINS, SCALE = 4096, 512, 256.0
 
 
@@ -93,11 +97,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best integer inner products of each query over all rows of vectors."""
     spark = vectors.sparkSession
     vectors, queries = vectors.select("vec_id", "embedding"), queries.select("vec_id", "embedding")
+    # queries are dealt by their place, so that rows that repeat an id do not meet in one block
+    queries = Scratch(spark, "top-k").settle(queries.withColumn("_b", F.monotonically_increasing_id()))
     n_blocks = -(-queries.count() // BLOCK) or 1
     reach = vectors.select(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (F.lit(SCALE) * F.coalesce(F.when(F.abs(x) < 1e30, x.cast("double")), F.lit(0.0)) + F.lit(1.0)) ** 2 + F.lit(4.0)))).first()[0] or 0.0
     schema = "query_id long, rank int, vec_id long, score long"
     out = None
-    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("_b"), F.lit(n_blocks)))
     for i in range(n_blocks):
         rows = blocks.where(F.col("_b") == i).drop("_b").toArrow()
         block, names, n = {}, [], 0
