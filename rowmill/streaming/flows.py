@@ -132,12 +132,13 @@ def held_first(stream: DataFrame, keys, order: str, event_time: str, hold: str,
     """The first row of each key by `order`, whenever it arrives: a key's best row so far is held from its first event on
     for `hold`, then goes out and the key is forgotten.
 
-    Rows older than the watermark are dropped. State is one row a key; `order` is a whole number. Rows travel as JSON, so every
-    type that JSON can hold comes back as it was.
+    Rows older than the watermark, and rows without a time, are dropped; rows without a number come last. State is one row a
+    key; `order` is a whole number. Rows travel as JSON, so every type that JSON can hold comes back as it was.
     """
     wait = int(stream.sparkSession.sql(f"select unix_micros(timestamp '2000-01-01 00:00:00' + interval {hold}) - unix_micros(timestamp '2000-01-01 00:00:00') as x").first().x) // 1000
     form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    rows = stream.withWatermark(event_time, lateness).select(*keys, event_time, F.col(order).cast("long").alias("__place"), F.to_json(F.struct(*stream.columns), form).alias("__row"))
+    place = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1))
+    rows = stream.withWatermark(event_time, lateness).where(F.col(event_time).isNotNull()).select(*keys, event_time, place.alias("__place"), F.to_json(F.struct(*stream.columns), form).alias("__row"))
 
     def hold_first(key, frames, state: GroupState):
         import pandas as pd

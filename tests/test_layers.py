@@ -120,7 +120,7 @@ def test_first_held(spark, tmp_path):
         return sorted((r.k, r.n, r.note) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
 
     assert run(("a", 5, day(2), None), ("b", 9, day(2), "x")) == []
-    assert run(("a", 3, day(3), "later"), ("a", 8, day(2), "z"), ("c", 1, day(4), "c")) == []
+    assert run(("a", 3, day(3), "later"), ("a", None, day(2), "no number"), ("a", 8, day(2), "z"), ("c", 1, day(4), "c"), ("c", 0, None, "no time")) == []
     assert run(("d", 1, day(20), "d"), ("b", 2, day(1), "too late")) == [("a", 3, "later"), ("b", 9, "x"), ("c", 1, "c")]
     assert run(("a", 1, day(25), "anew"), ("e", 1, day(30), "e")) == [("a", 1, "anew"), ("a", 3, "later"), ("b", 9, "x"), ("c", 1, "c"), ("d", 1, "d")]
 
