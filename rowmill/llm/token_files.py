@@ -344,6 +344,7 @@ def _shard(row: dict):
 
 def _digests(batches):
     names = ("doc_id", "start", "n_tokens", "ids_crc32")
+    _ENCODERS.clear()  # files are read once they are whole; a worker that wrote some needs its table no more
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
