@@ -193,7 +193,7 @@ def expand_short(x, region, profile, min_len: int = DESCRIPTION_MIN) -> Column:
 
 
 def text_issues(x, forbidden=FORBIDDEN_WORDS) -> Column:
-    """Names of what is wrong with a description."""
+    """Names of what is wrong with a description. A number inside a quoted name, as in «Фирма 1950», is no year."""
 
     def issues(t: Column) -> Column:
         low, n = F.lower(t), F.size(sentences(t))
@@ -202,7 +202,7 @@ def text_issues(x, forbidden=FORBIDDEN_WORDS) -> Column:
         # fixed values: the patterns of a link, a year and the tail
         rest = [
             F.when(t.rlike(r"(?i)https?://|www\."), F.lit("contains_link")),
-            F.when(~t.rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),
+            F.when(~F.regexp_replace(t, "«[^»]*»", "«»").rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),
             F.when(~t.rlike(r"(?U)Численность работников\s+—\s+около"), F.lit("missing_required_tail")),
             F.when(low.contains("требуют уточнения"), F.lit("missing_financial_or_employees_values")),
         ]

@@ -70,6 +70,13 @@ def test_sentences(spark):
     assert one(spark, text.sentences("v"), v=None) == []
 
 
+def test_years_in_names(spark):
+    """A number inside a quoted name is no year; one outside it is, whatever the names hold."""
+    lacks = lambda v: "missing_year" in one(spark, text.text_issues("v"), v=v)
+    assert lacks("ООО «Фирма 1950» работает в Городок0.") and lacks("АО «А 1990» и АО «Б 2001» работают.")
+    assert not lacks("ООО «Фирма 1950» работает с 2001 года.") and not lacks("С 2001 года работает ООО «Фирма 7».") and not lacks("Открыто «в 1950")
+
+
 def test_flat_values(spark):
     assert one(spark, text.flat_clean("v"), v='ООО "X", 0,75;\n|') == "ООО 'X' 0 75"
     assert one(spark, money.coord("v"), v="59.376100") == "59.3761"
