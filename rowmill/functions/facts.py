@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .money import trim_zeros
-from .text import blank, c, let
+from .text import blank, c, has_any, let
 
 # Patterns of stated facts.
 EMPLOYEES = [
@@ -22,7 +22,8 @@ BUDGET_MARKS = ["ГБУ", "ГКУ", "МКУ", "ГУП", "ФГУП", "МУП", "
 
 
 def _first(cols, patterns, make) -> Column:
-    return F.coalesce(*[F.when(F.regexp_extract(F.coalesce(c(x), F.lit("")), p, 1) != "", make(F.regexp_extract(c(x), p, 1), F.regexp_extract(c(x), p, 2))) for x in cols for p in patterns])
+    one = lambda x, p: let(F.regexp_extract(c(x), p, 1), lambda n: F.when(n != "", let(F.regexp_extract(c(x), p, 2), lambda unit: make(n, unit))))
+    return F.coalesce(*[one(x, p) for x in cols for p in patterns])
 
 
 def _value(text: Column) -> Column:
@@ -45,17 +46,20 @@ def text_revenue(*cols) -> Column:
 
 def text_city(address, region=None) -> Column:
     """The part of an address that names a town, else the first that names no region, else the region."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c(address), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
-    town = F.get(F.filter(parts, lambda p: p.rlike(r"(?iuU)\bг\.?\s+")), F.lit(0))
-    other = F.get(F.filter(parts, lambda p: ~F.lower(p).rlike("область|респ|край") & (F.length(p) > 2)), F.lit(0))
-    out = F.coalesce(F.trim(F.regexp_replace(town, r"(?iuU)^г\.?\s*", "")), other)
+
+    def named(parts: Column) -> Column:
+        town = F.get(F.filter(parts, lambda p: p.rlike(r"(?iuU)\bг\.?\s+")), F.lit(0))
+        other = F.get(F.filter(parts, lambda p: ~F.lower(p).rlike("область|респ|край") & (F.length(p) > 2)), F.lit(0))
+        return F.coalesce(F.trim(F.regexp_replace(town, r"(?iuU)^г\.?\s*", "")), other)
+
+    out = let(F.filter(F.transform(F.split(F.coalesce(c(address), F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != ""), named)
     return out if region is None else F.coalesce(out, blank(region))
 
 
 def _clean(x) -> Column:
-    low = F.lower(F.coalesce(blank(x), F.lit("")))
-    t = F.btrim(F.translate(F.regexp_replace(low, "[^0-9,.]", ""), ",", "."), F.lit("."))
-    return F.when(low.contains("неизвест") | low.contains("нет данных"), F.lit(None)).otherwise(t).try_cast("double")
+    digits = lambda low: F.btrim(F.translate(F.regexp_replace(low, "[^0-9,.]", ""), ",", "."), F.lit("."))
+    told = lambda low: F.when(low.contains("неизвест") | low.contains("нет данных"), F.lit(None)).otherwise(digits(low))
+    return let(F.lower(F.coalesce(blank(x), F.lit(""))), told).try_cast("double")
 
 
 def fmt_employees(x) -> Column:
@@ -69,11 +73,7 @@ def fmt_revenue(x) -> Column:
 
 
 def is_budget_org(*names) -> Column:
-    t = F.upper(F.concat_ws(" ", *[F.coalesce(c(x), F.lit("")) for x in names]))
-    hit = F.lit(False)
-    for m in BUDGET_MARKS:
-        hit = hit | t.contains(m)
-    return hit
+    return has_any(F.upper(F.concat_ws(" ", *[F.coalesce(c(x), F.lit("")) for x in names])), BUDGET_MARKS)
 
 
 def tail(employees, revenue, employees_year, revenue_year, budget) -> Column:
@@ -97,8 +97,12 @@ KEY_FACTS = [
 
 
 def key_fact(industry, subindustry) -> Column:
-    low = {"sub": F.lower(F.coalesce(blank(subindustry), F.lit(""))), "ind": F.lower(F.coalesce(blank(industry), F.lit("")))}
-    out = F.when(low["sub"] != "", F.concat(F.lit("Ключевая функция компании связана с направлением «"), low["sub"], F.lit("»."))).otherwise("Ключевая функция компании связана с обслуживанием профильной инфраструктуры.")
-    for (where, mark), text in reversed(KEY_FACTS):
-        out = F.when(low[where].contains(mark), text).otherwise(out)
-    return out
+
+    def told(low: Column) -> Column:
+        out = F.when(low["sub"] != "", F.concat(F.lit("Ключевая функция компании связана с направлением «"), low["sub"], F.lit("»."))).otherwise("Ключевая функция компании связана с обслуживанием профильной инфраструктуры.")
+        for (where, mark), text in reversed(KEY_FACTS):
+            out = F.when(low[where].contains(mark), text).otherwise(out)
+        return out
+
+    low = lambda x: F.lower(F.coalesce(blank(x), F.lit("")))
+    return let(F.struct(low(subindustry).alias("sub"), low(industry).alias("ind")), told)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,13 +63,14 @@ def flat_clean(x, max_len: int | None = None) -> Column:
     return t
 
 
+def has_any(x, words) -> Column:
+    """Whether the text holds one of the words; the text is computed once."""
+    return let(c(x), lambda t: reduce(lambda a, b: a | b, [t.contains(w) for w in words], F.lit(False)))
+
+
 def drop_forbidden(x, words) -> Column:
     """Null where the text has one of the words."""
-    low = F.lower(c(x))
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | low.contains(w)
-    return F.when(~hit, c(x))
+    return F.when(~has_any(F.lower(c(x)), words), c(x))
 
 
 def sanitize_line(x) -> Column:
@@ -143,16 +146,20 @@ def csv_fields(x, delimiter: str = ",", escape: bool = False) -> Column:
     return F.when(c(x) == "", F.array().cast("array<string>")).when(whole, F.transform(found, value))
 
 
-_PROTECTED = [(r"(?iU)\b(руб|тыс|млн|млрд|вн|тер)\.", "$1\u0001"), (r"(?<![А-Яа-яA-Za-z])([Гг])\.", "$1\u0001")]
+#: Space after an end of sentence that is no common abbreviation's. The single character is looked at first.
+_BETWEEN = r"(?<=[.!?])(?<!(?iU:\b(?:руб|тыс|млн|млрд|вн|тер)\.))(?<!(?<![А-Яа-яA-Za-z])[Гг]\.)\s+"
 
 
 def sentences(x) -> Column:
     """Sentences of a text; common abbreviations do not end one."""
-    t = squeeze(F.coalesce(c(x), F.lit("")))
-    for pattern, to in _PROTECTED:
-        t = F.regexp_replace(t, pattern, to)
-    parts = F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit("."))))
-    return F.filter(parts, lambda s: s != "")
+    return _sentences(squeeze(F.coalesce(c(x), F.lit(""))))
+
+
+def _sentences(squeezed: Column) -> Column:
+    return F.filter(F.split(squeezed, _BETWEEN), lambda s: s != "")
+
+
+_YEAR = r"(?U)\b(19|20)\d{2}\b"
 
 
 #: Phrases that descriptions are freed of.
@@ -196,13 +203,16 @@ def text_issues(x, forbidden=FORBIDDEN_WORDS) -> Column:
     """Names of what is wrong with a description. A number inside a quoted name, as in «Фирма 1950», is no year."""
 
     def issues(t: Column) -> Column:
-        low, n = F.lower(t), F.size(sentences(t))
+        return let(F.lower(t), lambda low: found(t, low))
+
+    def found(t: Column, low: Column) -> Column:
+        n = F.size(_sentences(t))
         words = F.transform(F.filter(F.array(*[F.lit(w) for w in forbidden]), lambda w: low.contains(w)), lambda w: F.concat(F.lit("forbidden_word_"), w))
         size = [let(n, lambda m: F.when(m != DESCRIPTION_SENTENCES, F.concat(F.lit("sentence_count_"), m.cast("string")))), F.when(F.length(t) < DESCRIPTION_MIN, F.lit("too_short")), F.when(F.length(t) > DESCRIPTION_MAX, F.lit("too_long"))]
         # fixed values: the patterns of a link, a year and the tail
         rest = [
-            F.when(t.rlike(r"(?i)https?://|www\."), F.lit("contains_link")),
-            F.when(~F.regexp_replace(t, "«[^»]*»", "«»").rlike(r"(?U)\b(19|20)\d{2}\b"), F.lit("missing_year")),
+            F.when(low.contains("http://") | low.contains("https://") | low.contains("www."), F.lit("contains_link")),
+            F.when(~(t.rlike(_YEAR) & F.regexp_replace(t, "«[^»]*»", "«»").rlike(_YEAR)), F.lit("missing_year")),
             F.when(~t.rlike(r"(?U)Численность работников\s+—\s+около"), F.lit("missing_required_tail")),
             F.when(low.contains("требуют уточнения"), F.lit("missing_financial_or_employees_values")),
         ]

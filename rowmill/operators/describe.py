@@ -21,9 +21,9 @@ def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
     city = text_city(have("address"), region)
     employees = fmt_employees(F.coalesce(blank(have("employees")), text_employees(*cols).cast("string")))
     revenue = fmt_revenue(F.coalesce(blank(have("revenue_rub")), text_revenue(*cols).cast("string")))
-    told = clean_text(have("Description"))
-    lead = F.btrim(F.get(F.split(told, r"(?<=[.!?])\s+"), F.lit(0)), F.lit(" ."))
-    lead = F.when((F.length(told) > 40) & (lead != ""), F.lower(F.substring(drop_forbidden(lead, FORBIDDEN_WORDS), 1, 220)))
+    begin = lambda told: F.btrim(F.get(F.split(told, r"(?<=[.!?])\s+"), F.lit(0)), F.lit(" ."))
+    fit = lambda lead: F.when(lead != "", F.lower(F.substring(drop_forbidden(lead, FORBIDDEN_WORDS), 1, 220)))
+    lead = let(clean_text(have("Description")), lambda told: F.when(F.length(told) > 40, let(begin(told), fit)))
     lower = lambda x: F.lower(blank(have(x)))
     # fixed values: the parts of sentences from here on
     activity = F.coalesce(
@@ -33,25 +33,29 @@ def rule_description(df: DataFrame, region: str = "region") -> DataFrame:
         F.concat(F.lit("деятельностью по ОКВЭД "), blank(have("okved"))),
         F.lit("профильной деятельностью, указанной в исходных данных"),
     )
-    missing = [("company_name", name), ("year", year), ("city", city), ("region", blank(region)), ("employees", employees), ("revenue_or_budget", revenue)]
-    df = df.withColumn("missing", F.array_compact(F.array(*[F.when(v.isNull(), F.lit(f"missing_{n}")) for n, v in missing])))
-    parts = F.struct(F.coalesce(name, F.lit("Компания")).alias("name"), F.coalesce(city, F.lit("указанном регионе")).alias("place"), year.alias("year"), employees.alias("employees"), revenue.alias("revenue"), activity.alias("activity"))
+    # columns of their own, so that each fact is looked for once: a struct of them would be taken apart and computed where it is read
+    facts = {"company_name": name, "year": year, "city": city, "region": blank(region), "employees": employees, "revenue_or_budget": revenue, "activity": activity}
+    at = {n: F.col(f"__rm_{n}") for n in facts}
+    have_facts = df.withColumns({f"__rm_{n}": v for n, v in facts.items()})
+    missing = F.array_compact(F.array(*[F.when(at[n].isNull(), F.lit(f"missing_{n}")) for n in facts if n != "activity"]))
+    parts = F.struct(F.coalesce(at["company_name"], F.lit("Компания")).alias("name"), F.coalesce(at["city"], F.lit("указанном регионе")).alias("place"), at["year"].alias("year"), at["employees"].alias("employees"), at["revenue_or_budget"].alias("revenue"), at["activity"].alias("activity"))
 
     def told_as(p):
         since = F.coalesce(F.concat(F.lit(" с "), p["year"], F.lit(" года")), F.lit(""))
         first = F.concat(p["name"], F.lit(" работает"), since, F.lit(" в "), p["place"], F.lit(" и занимается "), p["activity"], F.lit("."))
-        second = F.concat(F.lit("Компания обслуживает "), F.coalesce(blank(region), F.lit("указанный регион")), F.lit("; основная база связана с "), p["place"], F.lit("."))
+        second = F.concat(F.lit("Компания обслуживает "), F.coalesce(at["region"], F.lit("указанный регион")), F.lit("; основная база связана с "), p["place"], F.lit("."))
         last = F.coalesce(tail(p["employees"], p["revenue"], F.substring(have("employees_year"), 1, 4), F.substring(have("revenue_year"), 1, 4), is_budget_org(p["name"], have("CompanyName"))), F.lit("Данные о численности работников и годовых финансовых показателях требуют уточнения."))
         return F.concat_ws(" ", first, second, key_fact(have("Industry"), have("Subindustry")), last)
 
-    return df.withColumn("description", let(parts, told_as))
+    return have_facts.withColumns({"missing": missing, "description": let(parts, told_as)}).drop(*[f"__rm_{n}" for n in facts])
 
 
 def pick_text(df: DataFrame, rules: str, other: str) -> DataFrame:
     """df with the text of higher quality in `text` and its origin; rules win ties and blanks."""
     score = lambda x: 100 - 12 * F.size(text_issues(x))
     use_rules = blank(other).isNull() | (score(rules) >= score(other))
-    return df.withColumn("text", F.when(use_rules, F.col(rules)).otherwise(F.col(other))).withColumn("text_origin", F.when(use_rules, "rules").otherwise("service"))
+    text = F.when(F.col("__rm_rules"), F.col(rules)).otherwise(F.col(other))
+    return df.withColumn("__rm_rules", use_rules).withColumns({"text": text, "text_origin": F.when(F.col("__rm_rules"), "rules").otherwise("service")}).drop("__rm_rules")
 
 
 def needs_review(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmill.functions import facts, ids, money, names, paths, text
-from rowmill.operators import regions, reports, rows, route
+from rowmill.operators import describe, regions, reports, rows, route
 from rowmill.sources import ingest
 
 
@@ -77,6 +77,22 @@ def test_years_in_names(spark):
     assert not lacks("ООО «Фирма 1950» работает с 2001 года.") and not lacks("С 2001 года работает ООО «Фирма 7».") and not lacks("Открыто «в 1950")
 
 
+def test_sentences_after_abbreviations(spark):
+    assert one(spark, text.sentences("v"), v=" Тыс.  и аг. Г. Тверь.\n1г. вн. Да.. Нет") == ["Тыс. и аг.", "Г. Тверь.", "1г. вн. Да..", "Нет"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_are_found_once(spark):
+    """A description and the facts it lacks rest on one search of the text each, and a choice scores each text once."""
+    df = spark.createDataFrame([("ООО А", "Штат 5 человек", "x")], "CompanyNameOfficial string, Description string, region string")
+    d = describe.rule_description(df)
+    assert _plan(d).count("среднесписочная") <= 2 and _plan(d).count("годовая выручка|бюджет") <= 2
+    assert _plan(describe.pick_text(d, "description", "region")).count("sentence_count_") == 2
+
+
 def test_flat_values(spark):
     assert one(spark, text.flat_clean("v"), v='ООО "X", 0,75;\n|') == "ООО 'X' 0 75"
     assert one(spark, money.coord("v"), v="59.376100") == "59.3761"
