@@ -24,6 +24,12 @@ def final_columns(df: DataFrame, cols) -> DataFrame:
     return ensure_columns(df, cols).select(*cols)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all tasks by a row's place in the input, for costly expressions on short rows: a small file, or a group of
+    rows within one, is read by a single task. How many tasks there are goes by the size of df."""
+    return df.withColumn("__rm_deal", F.monotonically_increasing_id()).repartition("__rm_deal").drop("__rm_deal")
+
+
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
     """One row for each key: the first by `order`, which should name a row uniquely."""
     w = Window.partitionBy(*keys).orderBy(*order)

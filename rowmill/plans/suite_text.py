@@ -44,7 +44,7 @@ def _named(spark, sf_dir):
     k = F.col("c_custkey") % 5
     cases = ['общество с ограниченной ответственностью "северный ветер"', "ПАО «НЛМК»", "гуп водоканал-2 карелии", "АКЦИОНЕРНОЕ ОБЩЕСТВО Тгк-2", "просто имя"]
     name = F.element_at(F.array(*[F.lit(x) for x in cases]), (k + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", k.alias("i"), name.alias("name"))
+    return rows.spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", k.alias("i"), name.alias("name"))
 
 
 @query("""select c_custkey, ['ООО', 'ПАО', 'ГУП', 'АО', ''][c_custkey % 5 + 1] as form, ['ООО «Северный Ветер»', 'ПАО «НЛМК»', 'ГУП «Водоканал-2 Карелии»', 'АО «Тгк-2»', 'Просто Имя'][c_custkey % 5 + 1] as official,
@@ -93,7 +93,7 @@ def _told(spark, sf_dir):
     k = F.col("c_custkey")
     told = F.concat(F.lit("Основано в "), (1990 + k % 30).cast("string"), F.lit(" году, численность около "), (k % 9 + 1).cast("string"), F.lit(" тыс. человек, выручка примерно "), (k % 7 + 1).cast("string"), F.lit(",5 млн рублей"))
     address = F.concat(F.lit("185000, Республика Карелия, г Городок"), (k % 4).cast("string"), F.lit(", ул Ленина"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", told.alias("Description"), address.alias("address"))
+    return rows.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select("*", told.alias("Description"), address.alias("address"))
 
 
 @query("select c_custkey, (1990 + c_custkey % 30)::varchar as year, (c_custkey % 9 + 1) * 1000 as employees, ((c_custkey % 7 + 1) + 0.5)::double / 1000.0 as revenue, 'Городок' || (c_custkey % 4) as city from customer")

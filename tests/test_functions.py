@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions import facts, ids, money, names, paths, text
 from rowmill.operators import describe, regions, reports, rows, route
+from rowmill.plans import suite
 from rowmill.sources import ingest
 
 
@@ -93,6 +94,18 @@ def test_facts_are_found_once(spark):
     assert _plan(describe.pick_text(d, "description", "region")).count("sentence_count_") == 2
 
 
+@pytest.mark.parametrize("query", ["rule_description", "description_pick", "official_names"])
+def test_short_rows_are_spread(spark, sf, query):
+    """Costly expressions on short rows do not stay in the one task that reads a small file."""
+    assert "RepartitionByExpression" in _plan(suite.QUERIES[query](spark, sf))
+
+
+def test_spread_keeps_rows(spark):
+    df = spark.range(500).select(F.lit(7).alias("k"), F.create_map(F.lit("a"), "id").alias("m")).coalesce(1)
+    got = rows.spread(df)
+    assert got.columns == ["k", "m"] and sorted(r.m["a"] for r in got.collect()) == list(range(500))
+
+
 def test_flat_values(spark):
     assert one(spark, text.flat_clean("v"), v='ООО "X", 0,75;\n|') == "ООО 'X' 0 75"
     assert one(spark, money.coord("v"), v="59.376100") == "59.3761"
