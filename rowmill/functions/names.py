@@ -14,14 +14,15 @@ _SHORT = rf"(?iU)\b({SHORT_FORMS})\b"
 
 
 def _title_word(w: Column, upper) -> Column:
-    keep = F.upper(w).isin(list(upper)) | w.rlike("(?iu)^[а-яёa-z]+-?[0-9]+$")
-    return F.when(keep, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+    keep = lambda up: up.isin(list(upper)) | w.rlike("(?iu)^[а-яёa-z]+-?[0-9]+$")
+    first = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
+    return let(F.upper(w), lambda up: F.when(keep(up), up).otherwise(first))
 
 
 def title_name(x, upper=UPPER_WORDS) -> Column:
     """Title case by word and by part of a hyphenated word; listed acronyms and words that end in digits are upper case."""
     words = F.split(F.lower(F.coalesce(blank(x), F.lit(""))), r"(?U)(?<=[\s-])|(?=[\s-])")
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"(?U)^[\s-]?$"), w).otherwise(_title_word(w, upper))), "")
+    return F.array_join(F.transform(words, lambda w: F.when((F.length(w) < 2) & w.rlike(r"(?U)^[\s-]?$"), w).otherwise(_title_word(w, upper))), "")
 
 
 def legal_form(x, forms=LEGAL_FORMS) -> Column:
@@ -34,8 +35,7 @@ def legal_form(x, forms=LEGAL_FORMS) -> Column:
         return let(F.regexp_extract(t, _FORM, 1), cut)
 
     def form(t: Column) -> Column:
-        upper = squeeze(F.upper(t))
-        named = F.get(F.filter(table, lambda f: upper.startswith(f["long"])), F.lit(0))
+        named = let(squeeze(F.upper(t)), lambda upper: F.get(F.filter(table, lambda f: upper.startswith(f["long"])), F.lit(0)))
         return let(named, lambda f: F.when(f.isNotNull(), pair(f["short"], F.trim(F.substring(t, F.length(f["long"]) + 1, F.length(t))))).otherwise(short(t)))
 
     return let(F.coalesce(c(x), F.lit("")), form)
@@ -46,9 +46,8 @@ def official_name(x, fallback=None) -> Column:
 
     def whole(t: Column) -> Column:
         def made(form: Column) -> Column:
-            quoted = F.regexp_extract(t, _QUOTED, 1)
             bare = F.btrim(form["rest"], F.lit(" \t\r\n.,;:-«»\""))
-            name = title_name(F.when(quoted != "", quoted).otherwise(bare))
+            name = title_name(let(F.regexp_extract(t, _QUOTED, 1), lambda quoted: F.when(quoted != "", quoted).otherwise(bare)))
             return let(name, lambda n: F.when((form["form"] != "") & (n != ""), F.concat(form["form"], F.lit(" «"), n, F.lit("»"))).when(n != "", n).otherwise(title_name(F.btrim(t, F.lit('«»"')))))
 
         return F.when(t.isNotNull(), let(legal_form(t), made))
@@ -57,10 +56,15 @@ def official_name(x, fallback=None) -> Column:
     return let(F.regexp_replace(F.translate(given, "“”„", '"""'), r"(?U)\s+", " "), whole)
 
 
-def short_from_official(x) -> Column:
-    """The name without its form."""
+def bare_name(official) -> Column:
+    """An official name without its form."""
     bare = lambda n: let(F.regexp_extract(n, _QUOTED, 1), lambda q: F.when(q != "", F.trim(q)).otherwise(F.btrim(F.regexp_replace(n, _FORM, ""), F.lit(' «»".,;:-'))))
-    return let(F.coalesce(official_name(x), F.lit("")), bare)
+    return let(F.coalesce(c(official), F.lit("")), bare)
+
+
+def short_from_official(x) -> Column:
+    """The official name of a full name, without its form."""
+    return bare_name(official_name(x))
 
 
 def short_name(official, original=None) -> Column:
@@ -73,7 +77,7 @@ def short_name(official, original=None) -> Column:
 
 def name_variants(*cols, cap: int = 5) -> Column:
     """Up to `cap` spellings, in order of value, official form, short form; without forms, generic words and repeats in other case."""
-    forms = lambda v: F.when(v.isNotNull(), F.array(v, official_name(v), short_from_official(v))).otherwise(F.array().cast("array<string>"))
+    forms = lambda v: F.when(v.isNotNull(), let(official_name(v), lambda o: F.array(v, o, bare_name(o)))).otherwise(F.array().cast("array<string>"))
     every = F.array_compact(F.flatten(F.transform(F.array(*[blank(x) for x in cols]), forms)))
     bare = F.transform(every, lambda v: F.btrim(F.regexp_replace(F.regexp_replace(v, _SHORT, ""), r"(?U)\s+", " "), F.lit(" ,;«»")))
     good = F.filter(bare, lambda v: (F.length(v) >= 3) & ~F.lower(v).isin(GENERIC_NAMES))

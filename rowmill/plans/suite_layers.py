@@ -336,7 +336,8 @@ def official_names_of_parts(spark, sf_dir):
     name = F.concat("p_name", F.lit(" no"), k.cast("string"))
     form = F.get(F.array(*[F.lit(x) for x in ("Общество с ограниченной ответственностью", "ПАО", "гуп", "АКЦИОНЕРНОЕ ОБЩЕСТВО")]), (k % 4).cast("int"))
     whole = F.when(k % 3 == 0, F.concat(form, F.lit(' "'), F.upper(name), F.lit('"'))).when(k % 3 == 1, F.concat(form, F.lit("  «"), name, F.lit("»"))).otherwise(F.concat(form, F.lit(" "), name))
-    return table(spark, sf_dir, "part").select("p_partkey", names.legal_form(whole)["form"].alias("form"), names.official_name(whole).alias("official"), names.short_from_official(whole).alias("short"))
+    p = rows.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", whole.alias("whole"))
+    return p.withColumn("official", names.official_name("whole")).select("p_partkey", names.legal_form("whole")["form"].alias("form"), "official", names.bare_name("official").alias("short"))
 
 
 @query("""with x as (select o_orderkey, o_totalprice::decimal(18, 2) as p from orders), y as (select *, (case o_orderkey % 4 when 0 then 1000 when 1 then 1000000 when 2 then 1000000000 else 1 end)::double * p::double as v from x)

@@ -94,7 +94,12 @@ def test_facts_are_found_once(spark):
     assert _plan(describe.pick_text(d, "description", "region")).count("sentence_count_") == 2
 
 
-@pytest.mark.parametrize("query", ["rule_description", "description_pick", "official_names"])
+def test_forms_are_compared_with_one_text(spark):
+    """The name is put in upper case once, not for each legal form."""
+    assert "StartsWith(trim(" not in _plan(spark.range(1).select(names.legal_form(F.uuid())))
+
+
+@pytest.mark.parametrize("query", ["rule_description", "description_pick", "official_names", "official_names_of_parts"])
 def test_short_rows_are_spread(spark, sf, query):
     """Costly expressions on short rows do not stay in the one task that reads a small file."""
     assert "RepartitionByExpression" in _plan(suite.QUERIES[query](spark, sf))
