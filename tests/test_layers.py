@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmill.operators import enrich, regions, reports, rows
+from rowmill.plans import suite
 from rowmill.sources import registry
 from rowmill.streaming import flows
 
@@ -165,6 +166,25 @@ def test_tables_of_unlike_headers(spark, tmp_path):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
 
 
+def test_tables_of_a_folder(spark, tmp_path):
+    """A folder's tables by the pattern of their names are those that a path with the pattern finds."""
+    for i in range(4):
+        (tmp_path / f"t{i}.csv").write_text(f"ИНН,Численность\n770000000{i},{i}\n", "utf-8")
+    (tmp_path / "note.txt").write_text("ИНН\n7800000000\n", "utf-8")
+    a, b = registry.registry_tables(spark, str(tmp_path), pattern="*.csv"), registry.registry_tables(spark, f"{tmp_path}/*.csv")
+    told = [sorted((r.source_file, r.inn, r.employees) for r in df.collect()) for df in (a, b)]
+    assert told[0] == told[1] == [(f"t{i}.csv", f"770000000{i}", i) for i in range(4)]
+
+
+def test_headers_are_written_by_all_tasks(spark, sf, monkeypatch):
+    """Several tasks make the files of each kind, and their folder is listed at once."""
+    seen, read = [], registry.registry_tables
+    monkeypatch.setattr(registry, "registry_tables", lambda spark, paths, *more, **named: seen.append(paths) or read(spark, paths, *more, **named))
+    suite.QUERIES["registry_headers"](spark, sf)
+    files = os.listdir(seen[0].removeprefix("file://"))
+    assert len({f.split("-")[1] for f in files if f.endswith(".csv")}) > 1
+
+
 def test_observed_gate_equals_scans(spark, tmp_path):
     df = spark.range(100).select(F.col("id").cast("string").alias("record_id"), F.lpad(F.col("id").cast("string"), 10, "0").alias("inn"), F.lit("5").alias("employees"), F.lit("7").alias("revenue_rub"), F.when(F.col("id") < 60, "include").otherwise("review").alias("status"))
     m = reports.write_observed(df, f"{tmp_path}/r", [*reports.layer_metrics(df, "routed"), *reports.route_metrics(3, 3, issues=F.col("status") == "review")], ["status"])
