@@ -128,37 +128,51 @@ def windowed_counts(stream: DataFrame, event_time: str, width: str, keys, latene
     return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, width), *keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def held_first(stream: DataFrame, keys, order: str, event_time: str, hold: str, lateness: str) -> DataFrame:
+def held_first(stream: DataFrame, keys, order: str, event_time: str, hold: str, lateness: str, buckets: int = 4096) -> DataFrame:
     """The first row of each key by `order`, whenever it arrives: a key's best row so far is held from its first event on
     for `hold`, then goes out and the key is forgotten.
 
-    Rows older than the watermark, and rows without a time, are dropped; rows without a number come last. State is one row a
-    key; `order` is a whole number. Rows travel as JSON, so every type that JSON can hold comes back as it was.
+    Rows older than the watermark, and rows without a time, are dropped; rows without a number come last. Of each key one row
+    is kept; `order` is a whole number. Rows travel as JSON, so every type that JSON can hold comes back as it was.
+
+    A call of the state function costs milliseconds whatever it gets, so keys share one: a state holds the keys of a bucket of
+    their hash, with a timer for the first that is due. A batch rewrites the buckets it has rows of. `buckets` must stay the
+    same for a checkpoint; more of them keep states small where many millions of keys are held at a time.
     """
     wait = int(stream.sparkSession.sql(f"select unix_micros(timestamp '2000-01-01 00:00:00' + interval {hold}) - unix_micros(timestamp '2000-01-01 00:00:00') as x").first().x) // 1000
     form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    types = dict(stream.dtypes)
     place = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1))
-    rows = stream.withWatermark(event_time, lateness).where(F.col(event_time).isNotNull()).select(*keys, event_time, place.alias("__place"), F.to_json(F.struct(*stream.columns), form).alias("__row"))
+    # a key's text; zero has one sign only, as it has for groups
+    key = F.to_json(F.struct(*[(F.col(k) + F.lit(0.0) if types.get(k) in ("float", "double") else F.col(k)).alias(k) for k in keys]), form)
+    rows = stream.withWatermark(event_time, lateness).where(F.col(event_time).isNotNull())
+    rows = rows.select(event_time, key.alias("__key"), place.alias("__place"), F.to_json(F.struct(*stream.columns), form).alias("__row"), F.unix_millis(event_time).alias("__begun"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
 
-    def hold_first(key, frames, state: GroupState):
+    def hold_first(_, frames, state: GroupState):
         import pandas as pd
 
-        if state.hasTimedOut:
-            _, row, _ = state.get
+        now = state.getCurrentWatermarkMs()
+        held = {k: (p, r, d) for k, p, r, d in zip(*state.get)} if state.exists else {}
+        fresh = set()
+        for frame in () if state.hasTimedOut else frames:
+            for k, p, r, b in zip(*(frame[x].tolist() for x in ("__key", "__place", "__row", "__begun"))):
+                place, row, due = held.get(k, (p, r, b + wait))
+                held[k] = (*min((place, row), (p, r)), min(due, b + wait))
+                fresh.add(k)
+        for k in fresh:  # a key with new rows stays at least until the watermark moves on
+            place, row, due = held[k]
+            held[k] = (place, row, max(due, now + 1))
+        out = [k for k, (_, _, due) in held.items() if due < now]
+        done = [held.pop(k)[1] for k in out]
+        if held:
+            state.update(([*held], *([*x] for x in zip(*held.values()))))
+            state.setTimeoutTimestamp(min(due for _, _, due in held.values()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"__row": [row]})
-            return
-        place, row, due = state.get if state.exists else (None, None, None)
-        for frame in frames:
-            at = frame["__place"].idxmin()
-            if place is None or (int(frame["__place"][at]), frame["__row"][at]) < (place, row):
-                place, row = int(frame["__place"][at]), frame["__row"][at]
-            first = frame[event_time].min()
-            begun = int((pd.Timestamp(first) - pd.Timestamp(0, tz=first.tz)).value) // 1_000_000
-            due = begun + wait if due is None else min(due, begun + wait)
-        due = max(due, state.getCurrentWatermarkMs() + 1)
-        state.update((place, row, due))
-        state.setTimeoutTimestamp(due)
-
-    held = rows.groupBy(*keys).applyInPandasWithState(hold_first, "__row string", "place long, row string, due long", "append", GroupStateTimeout.EventTimeTimeout)
-    return held.select(F.from_json("__row", stream.schema, form).alias("x")).select("x.*")
+        if done:
+            yield pd.DataFrame({"__row": done})
+
+    kept = "keys array<string>, places array<long>, rows array<string>, dues array<long>"
+    out = rows.groupBy("__bucket").applyInPandasWithState(hold_first, "__row string", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.from_json("__row", stream.schema, form).alias("x")).select("x.*")

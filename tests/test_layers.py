@@ -126,6 +126,40 @@ def test_first_held(spark, tmp_path):
     assert run(("a", 1, day(25), "anew"), ("e", 1, day(30), "e")) == [("a", 1, "anew"), ("a", 3, "later"), ("b", 9, "x"), ("c", 1, "c"), ("d", 1, "d")]
 
 
+def test_held_keys_share_states(spark, tmp_path):
+    """Keys of one state are held and let go apart, as a walk over single keys does; states are as many as buckets at most."""
+    rng, start = random.Random(11), dt.datetime(2024, 1, 1)
+    schema, box, states = "k double, j string, n int, at timestamp", str(tmp_path / "in"), []
+    keys = [(x, y) for x in (None, 0.0, 1.5, 2.0, 3.0) for y in (None, "", "a")]
+    held, mark, want = {}, dt.datetime(1970, 1, 1), []
+
+    def go(but=()):
+        for k in [k for k, (_, due) in held.items() if due < mark and k not in but]:
+            want.append((*k, held.pop(k)[0]))
+
+    for run in range(5):
+        some = [(*rng.choice(keys), rng.choice([None, *range(50)]), start + dt.timedelta(hours=run * 40 + rng.randint(-40, 40))) for _ in range(25)]
+        spark.createDataFrame([(-x if x == 0 and i % 2 else x, *r) for i, (x, *r) in enumerate(some)], schema).coalesce(1).write.mode("append").parquet(box)
+        stream = spark.readStream.schema(schema).parquet(box)
+        q = flows.held_first(stream, ["k", "j"], "n", "at", "2 days", "1 day", buckets=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+        seen = set()
+        for x, y, n, at in [r for r in some if r[3] > mark]:
+            n = 1 << 62 if n is None else n
+            best, due = held.get((x, y), (n, at + dt.timedelta(days=2)))
+            held[x, y] = (min(best, n), min(due, at + dt.timedelta(days=2)))
+            seen.add((x, y))
+        for k in seen:
+            held[k] = (held[k][0], max(held[k][1], mark + dt.timedelta(milliseconds=1)))
+        go(seen)
+        mark = max(mark, max(r[3] for r in some) - dt.timedelta(days=1))
+        go()
+    got = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(repr, want)) == sorted(repr((abs(r.k) if r.k == 0 else r.k, r.j, 1 << 62 if r.n is None else r.n)) for r in got) and len(want) > 15
+    assert 0 < max(states) <= 3
+
+
 def test_provider_gives_up_and_is_asked_again(spark, tmp_path):
     log, down = tmp_path / "log", tmp_path / "down"
     os.makedirs(log)
