@@ -18,6 +18,8 @@ from ..scratch import shared_root
 
 #: A side is broadcast only when it is counted or summed first and lies below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 24_000_000
+#: A task of a packed table reads about this many bytes.
+TASK_BYTES = 8 << 20
 
 
 def _delete(spark: SparkSession, *paths: str) -> None:
@@ -71,6 +73,12 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def packed(df: DataFrame, size: int) -> DataFrame:
+    """df, the result of a shuffle of about `size` counted bytes, in no more tasks than these need. A shuffle deals the smallest
+    table over all its partitions, and each costs a task and a file in every step; large tables stay as they are."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-int(size) // TASK_BYTES)))
+
+
 # ---- bytes of a batch of texts -------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -158,8 +166,9 @@ def int_lists(values: np.ndarray, offs: np.ndarray, kind=None) -> pa.Array:
 # ---- connected components ------------------------------------------------------------------------------------------
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the smallest node reachable.
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(node, root) for every node of edges (a, b); root is the smallest node reachable;
+    there are about `most` edges.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes; every round is
     written to the shared folder. No neighbour list is ever gathered. Minima of few edges are broadcast; others are tables of
@@ -169,22 +178,24 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
-    e = scratch.settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = scratch.settle(packed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most * 64))
     now = state(e)
     while now[0]:
-        few = now[0] * 64 <= BROADCAST_BYTES
+        size = now[0] * 64
+        few = size <= BROADCAST_BYTES
         minima = F.broadcast if few else scratch.settle
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = minima(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = minima(packed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), size))
+        large = packed(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), size)
         large = large if few else scratch.settle(large)
-        least = minima(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = minima(packed(large.groupBy("a").agg(F.min("b").alias("m")), size))
         step = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        nxt = scratch.settle(step.where("a <> b").distinct())
+        nxt = scratch.settle(packed(step.where("a <> b").distinct(), size))
         # settled when every node has one parent and no parent has a parent, that is when the edge set stays the same
         before, now = now, state(nxt)
         scratch.drop(e, *(() if few else (large, low, least)))
         e = nxt
         if now == before:
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = packed(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), now[0] * 64)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, int_lists, mix, slices, small, span_hashes, word_spans
+from .common import Scratch, components, int_lists, mix, packed, slices, small, span_hashes, word_spans
 from .spans import row_key
 
 N, PERCENT = 5, 75
@@ -183,11 +183,11 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("c"), part.column("n"), int_lists(s.view(np.int64), begin), int_lists(buckets.ravel(), rows * BUCKETS)], names=["c", "n", "s", "buckets"])
 
 
-def _linked(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose sets reach the similarity."""
+def _linked(pairs: DataFrame, of: DataFrame, percent: int, size: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets, of about `size` bytes in all, reach the similarity."""
     left = of.select(F.col("c").alias("a"), F.col("s").alias("sa"))
     right = of.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    both = packed(packed(pairs.join(left, "a"), size).join(right, "b"), 2 * size).withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
@@ -233,32 +233,35 @@ def _compare(percent: int):
     return run
 
 
-def _groups(tables: DataFrame, n_live: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(a, b): links within groups; and (c, g): every class's group. tables has (c, n, s, buckets)."""
+def _groups(tables: DataFrame, n_live: int, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links within groups; and (c, g): every class's group. tables has n_live rows (c, n, s, buckets), s of `size` bytes in all."""
     spark = tables.sparkSession
+    one, each = 64 * n_live, 48 * BUCKETS * n_live  # bytes of a row a class and of a row a bucket
     bucket = tables.select("c", F.posexplode("buckets").alias("i", "h"))
     mates = bucket.groupBy("i", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    bucket = scratch.settle(bucket.join(scratch.settle(mates), ["i", "h"]))
-    weight = scratch.settle(bucket.groupBy("c").agg(F.sum("m").alias("w")))
-    bucket = scratch.settle(bucket.join(weight, "c").select("c", "i", "h", "w"))
+    bucket = scratch.settle(packed(bucket.join(scratch.settle(packed(mates, each)), ["i", "h"]), each))
+    weight = scratch.settle(packed(bucket.groupBy("c").agg(F.sum("m").alias("w")), one))
+    bucket = scratch.settle(packed(bucket.join(weight, "c").select("c", "i", "h", "w"), each))
 
     def placed(edges: DataFrame, name: str) -> DataFrame:
-        root = components(spark, edges, scratch).withColumnRenamed("node", "c")
-        return scratch.settle(tables.select("c").join(root, "c", "left").select("c", F.coalesce("root", "c").alias(name)))
+        root = components(spark, edges, scratch, BUCKETS * n_live).withColumnRenamed("node", "c")
+        return scratch.settle(packed(tables.select("c").join(root, "c", "left").select("c", F.coalesce("root", "c").alias(name)), one))
 
     edges = None
     part, turn, n = tables.select("c", F.col("c").alias("part")), 0, n_live
     while n > ENOUGH * n_live:
         # the first leader is the class with the most mates, the centre of its copies; later ones are drawn by hash
         rank = F.struct("w", "c") if not turn else F.struct(F.xxhash64("c", F.lit(turn)), "c")
-        leader = scratch.settle(bucket.groupBy("i", "h").agg(F.max(rank)["c"].alias("lead")))
-        seen = bucket.join(leader, ["i", "h"]).where("c <> lead").groupBy("c", "lead").agg(F.count(F.lit(1)).alias("votes"))
+        leader = scratch.settle(packed(bucket.groupBy("i", "h").agg(F.max(rank)["c"].alias("lead")), each))
+        seen = packed(bucket.join(leader, ["i", "h"]), each).where("c <> lead").groupBy("c", "lead").agg(F.count(F.lit(1)).alias("votes"))
+        seen = packed(seen, each)
         if turn:
             seen = seen.join(part, "c").join(part.select(F.col("c").alias("lead"), F.col("part").alias("lead_part")), "lead").where("part <> lead_part")
+            seen = packed(seen, each)
         pairs = seen.groupBy("c").agg(F.max(F.struct("votes", "lead")).alias("x")).select(F.col("c").alias("a"), F.col("x.lead").alias("b"), "x.votes")
         if not turn:
             near = scratch.settle(seen.where(F.col("votes") >= VOTES).select(F.col("c").alias("a"), F.col("lead").alias("b")))
-        found = scratch.settle(_linked(pairs.select("a", "b"), tables, percent))
+        found = scratch.settle(_linked(packed(pairs, one).select("a", "b"), tables, percent, size))
         n, turn = found.count(), turn + 1
         edges = found if edges is None else edges.union(found)
         part = placed(edges, "part") if n else part
@@ -267,11 +270,11 @@ def _groups(tables: DataFrame, n_live: int, percent: int, scratch: Scratch) -> t
 
     # a group: classes joined by shared buckets or by links; those outside its largest component are compared with the others
     group = placed(near.union(edges), "g")
-    here = group.join(part, "c").join(tables.select("c", "n"), "c")
+    here = packed(group.join(part, "c").join(tables.select("c", "n"), "c"), one)
     sizes = here.groupBy("g", "part").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
-    sizes = sizes.groupBy("g").agg(F.max(F.struct("m", "part", "size")).alias("bulk"), F.sum("size").alias("size")).select("g", "size", "bulk.part", F.col("bulk.size").alias("bulk_size"))
-    sizes = scratch.settle(sizes.where("size > bulk_size").select("g", F.col("part").alias("bulk"), F.ceil(F.col("size") / BLOCK).cast("int").alias("p_n"), F.ceil((F.col("size") - F.col("bulk_size")) / BLOCK).cast("int").alias("q_n")))
-    here = scratch.settle(here.join(sizes, "g"))
+    sizes = packed(sizes, one).groupBy("g").agg(F.max(F.struct("m", "part", "size")).alias("bulk"), F.sum("size").alias("size")).select("g", "size", "bulk.part", F.col("bulk.size").alias("bulk_size"))
+    sizes = scratch.settle(packed(sizes, one).where("size > bulk_size").select("g", F.col("part").alias("bulk"), F.ceil(F.col("size") / BLOCK).cast("int").alias("p_n"), F.ceil((F.col("size") - F.col("bulk_size")) / BLOCK).cast("int").alias("q_n")))
+    here = scratch.settle(packed(here.join(sizes, "g"), one))
     deal = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
     held = here.select("c", "part", "g", F.lit(False).alias("asks"), deal("p_n").alias("p"), F.explode(F.sequence(F.lit(0), F.col("q_n") - 1)).alias("q"))
     asking = here.where("part <> bulk").select("c", "part", "g", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("p_n") - 1)).alias("p"), deal("q_n").alias("q"))
@@ -287,64 +290,71 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("string").alias("text"))
     rows = scratch.settle(texts.mapInArrow(_sketch, SKETCH))
     kinds = rows.where("n_shingles > 0").groupBy("c", "c2", "n_shingles").agg(F.min("k").alias("k"), F.min("doc_id").alias("least"))
-    kinds = scratch.settle(kinds.withColumn("id", F.monotonically_increasing_id()))
+    n_rows = rows.count()
+    kinds = scratch.settle(packed(kinds, 128 * n_rows).withColumn("id", F.monotonically_increasing_id()))
 
     # 2. classes with enough prefix shingles that another class has
     sent = texts.select("text").mapInArrow(_prefixes(percent), PREFIX)
     seen = sent.repartition("h").sortWithinPartitions("h").mapInArrow(_hits, "c long, hits long").groupBy("c").agg(F.sum("hits").alias("hits"))
     enough = F.col("hits") >= F.floor(F.col("n_shingles") * (t * EXTRA)) + 1
-    live = scratch.settle(kinds.join(scratch.settle(seen), "c").where(enough).select("k", F.col("id").alias("c"), F.col("n_shingles").alias("n")))
+    live = packed(kinds.join(scratch.settle(packed(seen, 256 * n_rows)), "c"), 128 * n_rows)
+    live = scratch.settle(live.where(enough).select("k", F.col("id").alias("c"), F.col("n_shingles").alias("n")))
 
     # 3. groups of similar classes
-    n_live = live.count()
+    n_live, size = live.agg(F.count(F.lit(1)), 8 * F.coalesce(F.sum("n"), F.lit(0))).first()
     chosen = texts.select("k", "text").join(small(live, n_live, 48), "k").dropDuplicates(["c"])
-    tables = scratch.settle(chosen.select("c", "n", "text").mapInArrow(_sets, "c long, n long, s array<long>, buckets array<long>"))
-    edges, group = _groups(tables, n_live, percent, scratch)
-    member = group.join(live.select("c", "n"), "c")
+    tables = scratch.settle(packed(chosen.select("c", "n", "text"), 2 * size).mapInArrow(_sets, "c long, n long, s array<long>, buckets array<long>"))
+    edges, group = _groups(tables, n_live, size, percent, scratch)
+    member = packed(group.join(live.select("c", "n"), "c"), 64 * n_live)
 
     # 4. the matrix of shingles and groups, without the rows that only one group has
     cells = tables.select("c", F.explode("s").alias("s")).join(small(member, n_live, 48), "c")
     spread = cells.groupBy("s").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("s")
-    shared = scratch.settle(cells.join(scratch.settle(spread), "s").select("c", "n", "g", "s"))
-    matrix = scratch.settle(shared.select("s", "g").distinct())
-    order = scratch.settle(matrix.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
+    shared = scratch.settle(packed(cells.join(scratch.settle(packed(spread, 3 * size)), "s").select("c", "n", "g", "s"), 4 * size))
+    matrix = scratch.settle(packed(shared.select("s", "g").distinct(), 3 * size))
+    order = scratch.settle(packed(matrix.groupBy("s").agg(F.count(F.lit(1)).alias("df")), 3 * size))
     # a class's shingles that no other group has come first; what is left of its prefix goes to the rarest others
     need = F.ceil(F.col("n") * F.lit(percent) / 100)
-    ranks = shared.join(order, "s").groupBy("c", "n", "g").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    ranks = packed(shared.join(order, "s"), 4 * size).groupBy("c", "n", "g").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     room = F.size("x") - need + 1
     more = F.floor(F.col("n") * EXTRA)
-    first = scratch.settle(ranks.where(room > 0).select("c", "n", "g", F.explode(F.slice("x", F.lit(1), (room + more).cast("int"))).alias("y")).select("c", "n", "g", "y.s"))
+    first = scratch.settle(packed(ranks, 4 * size).where(room > 0).select("c", "n", "g", F.explode(F.slice("x", F.lit(1), (room + more).cast("int"))).alias("y")).select("c", "n", "g", "y.s"))
     # with so many more shingles in either prefix, linked sets have at least so many of them in common
     least_shared = F.floor(F.col("n") * (t * EXTRA)) + 1
-    held = scratch.settle(first.select("s", F.col("g").alias("h")).distinct())
-    asked = first.join(held, "s").where("g <> h").groupBy("c", "n", "h").agg(F.count(F.lit(1)).alias("o")).where(F.col("o") >= least_shared)
-    asked = scratch.settle(asked.select("c", "n", "h"))
+    held = scratch.settle(packed(first.select("s", F.col("g").alias("h")).distinct(), 3 * size))
+    asked = packed(first.join(held, "s"), 4 * size).where("g <> h").groupBy("c", "n", "h").agg(F.count(F.lit(1)).alias("o")).where(F.col("o") >= least_shared)
+    asked = scratch.settle(packed(asked, 4 * size).select("c", "n", "h"))
     # the token union of a group as rows of about UNION shingles; a query meets each row of a group it asks once
-    rows_of = scratch.settle(matrix.join(asked.select(F.col("h").alias("g")).distinct(), "g").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNION).alias("rows")))
-    union = matrix.join(rows_of, "g").groupBy(F.col("g").alias("h"), F.pmod(F.xxhash64("s"), F.col("rows")).alias("row")).agg(F.collect_list("s").alias("u"))
-    mine = shared.join(asked.select("c").distinct(), "c").groupBy("c").agg(F.collect_list("s").alias("x"))
-    bound = asked.join(mine, "c").join(union, "h").select("c", "n", "h", F.size(F.array_intersect("x", "u")).alias("o"))
-    opened = scratch.settle(bound.groupBy("c", "n", "h").agg(F.sum("o").alias("o")).where(F.col("o") * 100 >= F.col("n") * percent).select("c", "h"))
+    wanted = packed(matrix.join(packed(asked.select(F.col("h").alias("g")).distinct(), 64 * n_live), "g"), 3 * size)
+    rows_of = scratch.settle(packed(wanted.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNION).alias("rows")), 64 * n_live))
+    union = packed(matrix.join(rows_of, "g"), 3 * size).groupBy(F.col("g").alias("h"), F.pmod(F.xxhash64("s"), F.col("rows")).alias("row")).agg(F.collect_list("s").alias("u"))
+    mine = packed(shared.join(packed(asked.select("c").distinct(), 64 * n_live), "c"), 4 * size).groupBy("c").agg(F.collect_list("s").alias("x"))
+    bound = packed(packed(asked.join(packed(mine, size), "c"), 4 * size).join(packed(union, size), "h"), 4 * size).select("c", "n", "h", F.size(F.array_intersect("x", "u")).alias("o"))
+    bound = packed(bound.groupBy("c", "n", "h").agg(F.sum("o").alias("o")), 4 * size)
+    opened = scratch.settle(bound.where(F.col("o") * 100 >= F.col("n") * percent).select("c", "h"))
     inside = first.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"), "s")
     sized = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
-    pairs = first.select("c", "n", "s").join(opened, "c").join(inside, ["s", "h"]).where(sized).groupBy(F.col("c").alias("a"), F.col("d").alias("b"), "h", F.least("n", "m").alias("n")).agg(F.count(F.lit(1)).alias("o"))
-    pairs = scratch.settle(pairs.where(F.col("o") >= least_shared).select("a", "b", "h", "o"))
+    pairs = packed(packed(first.select("c", "n", "s").join(opened, "c"), 4 * size).join(inside, ["s", "h"]), 4 * size)
+    pairs = pairs.where(sized).groupBy(F.col("c").alias("a"), F.col("d").alias("b"), "h", F.least("n", "m").alias("n")).agg(F.count(F.lit(1)).alias("o"))
+    pairs = scratch.settle(packed(pairs, 4 * size).where(F.col("o") >= least_shared).select("a", "b", "h", "o"))
     # a group may hold several components: a query that links to a member is linked to its component, and to no other
-    inner = scratch.settle(components(spark, edges, scratch))
+    inner = scratch.settle(components(spark, edges, scratch, 2 * n_live))
     whole = pairs.join(inner.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", "o", F.coalesce("root", "b").alias("part"))
-    whole = scratch.settle(whole)
-    likely = whole.groupBy("a", "part").agg(F.max(F.struct("o", "b"))["b"].alias("b"))
-    across = scratch.settle(_linked(likely.select("a", "b"), tables, percent))
-    done = across.join(whole, ["a", "b"]).select("a", "part")
-    again = scratch.settle(_linked(whole.join(done, ["a", "part"], "left_anti").where("a < b").select("a", "b"), tables, percent))
+    whole = scratch.settle(packed(whole, 4 * size))
+    likely = packed(whole.groupBy("a", "part").agg(F.max(F.struct("o", "b"))["b"].alias("b")), size)
+    across = scratch.settle(_linked(likely.select("a", "b"), tables, percent, size))
+    done = packed(across.join(whole, ["a", "b"]), size).select("a", "part")
+    again = packed(whole.join(done, ["a", "part"], "left_anti"), size).where("a < b").select("a", "b")
+    again = scratch.settle(_linked(again, tables, percent, size))
 
     # 5. components of classes, then of documents
-    root = components(spark, inner.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across).union(again), scratch)
+    root = components(spark, inner.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across).union(again), scratch, 3 * n_live)
     named = kinds.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id"))
-    least = scratch.settle(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = scratch.settle(named.select("c", "c2", "n_shingles", "component").join(least, "component"))
+    named = packed(named, 128 * n_rows)
+    least = scratch.settle(packed(named.groupBy("component").agg(F.min("least").alias("component_id")), 128 * n_rows))
+    named = scratch.settle(packed(named.select("c", "c2", "n_shingles", "component").join(least, "component"), 128 * n_rows))
     scratch.drop(live, tables, shared, matrix, order, first, held, asked, rows_of, opened, pairs, whole)
-    out = rows.join(named, ["c", "c2", "n_shingles"], "left")
+    out = packed(rows.join(named, ["c", "c2", "n_shingles"], "left"), 128 * n_rows)
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "k", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
 
@@ -360,9 +370,10 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.settle(linked_rows(docs, percent).where("n_shingles > 0").select("doc_id", "k", "component"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
-    stays = scratch.settle(rows.groupBy("component").agg(F.min(rank)["k"].alias("stay")))
-    again = rows.join(stays, "component").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("k") == F.col("stay")).alias("stay"))
-    marked = scratch.settle(again.where("not stay or n > 1").select(F.col("k").alias("__rm_key"), F.col("stay").alias("__rm_stay")))
+    size = 96 * rows.count()
+    stays = scratch.settle(packed(rows.groupBy("component").agg(F.min(rank)["k"].alias("stay")), size))
+    again = packed(rows.join(stays, "component"), size).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("k") == F.col("stay")).alias("stay"))
+    marked = scratch.settle(packed(again, size).where("not stay or n > 1").select(F.col("k").alias("__rm_key"), F.col("stay").alias("__rm_stay")))
     keyed = docs.withColumn("__rm_key", row_key()).join(small(marked, marked.count(), 32), "__rm_key", "left")
     once = keyed.where("__rm_stay").dropDuplicates(["__rm_key"])
     return keyed.where("__rm_stay is null").union(once).select(docs.columns)

@@ -1,8 +1,10 @@
 """Null ids, repeated rows, very long texts and clashing columns in operators whose other tests lack them."""
 
+import glob
+
 import pytest
 
-from rowmill.llm import decontaminate, html_text, licenses, ngram_join, suffix_dedup, topk
+from rowmill.llm import common, decontaminate, html_text, licenses, ngram_join, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, k string, n_words int, item_id long, component_id string"
 
@@ -59,6 +61,30 @@ def test_ngram_join_with_groups_of_several_components(spark, monkeypatch):
     assert got == {i: find(i) for i in sets}
 
 
+def test_ngram_join_of_few_rows_over_many_partitions(spark, monkeypatch):
+    """Small tables take tasks and files by their size, whatever the number of shuffle partitions; rounds cost so many times that."""
+    made = []
+    settle = common.Scratch.settle
+
+    def counted(self, df):
+        out = settle(self, df)
+        made.append(len(glob.glob(f"{out._rowmill_path.removeprefix('file://')}/part-*")))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "settle", counted)
+    rows = [(i, words(40, f"f{i // 4}x") + f" end{i % 4}") for i in range(400)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: r.component_id for r in ngram_join.join_classes(table(spark, rows)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 4 * 4 for i, _ in rows}
+    assert len(made) > 30 and max(made) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_suffix_dedup(spark):
     text = words(60)
     got = sorted(((r.doc_id or -1), r.n_bytes, r.n_removed) for r in suffix_dedup.drop_repeats(table(spark, [(None, text), (None, text), (None, None), (1, text[:199]), (2, words(40_000, "q"))])).collect())
