@@ -10,7 +10,9 @@ the rest of its shard.
 
 Encoding: white space that follows a non-space, and a sign that follows an ASCII letter or digit, begin a new pre-token in this
 kind of byte-level BPE, so pieces cut there encode alike alone and in place. Pieces met before are looked up by hash and
-compared byte by byte; new ones go to the library many at a time, set apart by a special token. The table of pieces is bounded
+compared byte by byte; new ones go to the library many at a time. Pieces that begin with white space and end without it stand
+one after another there, as in a text, and the lengths of the tokens tell where each ends; the others are set apart by a
+special token. The table of pieces is bounded
 in pieces and bytes; when it is full, those met again since stay and the others go. A text with white space outside ASCII, or with a special token's
 string, and a piece of over `LONG` bytes go to the tokenizers library each time and are not kept.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import FIRST_BYTES, LONG, Scratch, slices, small, span_hashes
 
 SHARD, GAIN, RULES_A_ROUND, LEAST = 1 << 20, 0.01, 2048, 12
-_TABLE, PIECES, PIECE_BYTES, AT_ONCE = 1 << 21, 500_000, 16 << 20, 4000
+_TABLE, _SECOND, PIECES, PIECE_BYTES, AT_ONCE = 1 << 21, 32, 500_000, 16 << 20, 500
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
 _ALNUM, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -40,6 +42,11 @@ _ALNUM[np.r_[48:58, 65:91, 97:123]] = True
 _SIGN[np.r_[33:39, 40:48, 58:65, 91:97, 123:127]] = True  # an apostrophe may join what it stands between
 
 
+def _spans(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Every position of spans that begin at `at`, one span after another."""
+    return np.repeat(at - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+
+
 class Encoder:
     """Whole texts to ids, with a table of the pieces met so far in this worker."""
 
@@ -54,11 +61,16 @@ class Encoder:
         # a token that sets texts apart: always matched as it stands, and no end of it is its beginning
         whole = [(i, t.content) for i, t in sorted(added.items()) if not (t.normalized or t.lstrip or t.rstrip or t.single_word) and not any(t.content.endswith(t.content[:n]) for n in range(1, len(t.content)))]
         self.apart = whole[0] if whole else None
+        # bytes of each token: the byte-level alphabet has a character for each byte
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max([*vocab.values(), *added, 0]) + 1, np.int64)
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
+        self.joins = not any(set(s) & set(np.flatnonzero(_BREAK).tolist()) for s in self.special)  # no special token's string arises between pieces
         self.clear()
 
     def clear(self) -> None:
-        self.slot = np.zeros(_TABLE, np.int32)
-        self.index: dict[int, int] = {}
+        # where other bits of the hash are a piece's second place; one that has lost both to later pieces counts as new
+        self.slot, self.second = np.zeros(_TABLE, np.int32), np.zeros(_TABLE, np.int32)
         self.hash, self.at, self.len, self.raw_at, self.raw_len = (np.zeros(1 << 16, t) for t in (np.uint64, *[np.int64] * 4))
         self.ids = np.zeros(1 << 18, np.uint16 if self.base <= 1 << 16 else np.uint32)
         self.raw = np.zeros(1 << 20, np.uint8)
@@ -79,8 +91,38 @@ class Encoder:
         self.n, self.used = self.n + len(lens), self.used + len(ids)
         return new
 
-    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, one after another, and how many each has. No piece holds a special token's string."""
+    def _library(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, which stand in data one after another, and how many each has. No piece holds a special token's string."""
+        ends = np.cumsum(size)
+        starts = ends - size
+        free = _BREAK[data[starts]] & ~_BREAK[data[ends - 1]] & self.joins
+        at, other = np.flatnonzero(free), np.flatnonzero(~free)
+        got = self._joined(data[_spans(starts[at], size[at])], size[at]) if len(at) else None
+        if got is None:
+            at, other, got = np.zeros(0, np.int64), np.arange(len(size)), (np.zeros(0, self.ids.dtype), np.zeros(0, np.int64))
+        raw = data.tobytes()
+        rest = self._set_apart([raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]) if len(other) else (np.zeros(0, self.ids.dtype), np.zeros(0, np.int64))
+        lens = np.zeros(len(size), np.int64)
+        lens[at], lens[other] = got[1], rest[1]
+        first = np.cumsum(lens) - lens
+        ids = np.empty(int(lens.sum()), self.ids.dtype)
+        ids[_spans(first[at], lens[at])] = got[0]
+        ids[_spans(first[other], lens[other])] = rest[0]
+        return ids, lens
+
+    def _joined(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same of pieces that begin with white space and end without; None if the tokens' lengths don't tell them apart."""
+        ends, raw = np.cumsum(size), data.tobytes()
+        cuts = [*(ends - size)[::AT_ONCE].tolist(), len(raw)]
+        ids = np.concatenate([np.array(g.ids, self.ids.dtype) for g in self.lib.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)])
+        upto = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(upto, ends)
+        if not len(ids) or upto[-1] != ends[-1] or not np.array_equal(upto[last], ends):
+            return None
+        return ids, np.diff(np.r_[-1, last])
+
+    def _set_apart(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any pieces, with a special token after each."""
         if self.apart is None:
             got = [np.array(g.ids, self.ids.dtype) for g in self.lib.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
             return np.concatenate(got), np.array([len(g) for g in got])
@@ -96,17 +138,16 @@ class Encoder:
         least = 1 if np.count_nonzero(met) <= PIECES // 2 else int(np.partition(met, -PIECES // 2)[-PIECES // 2]) + 1
         old = np.flatnonzero(met >= least) + 1
         old = old[np.cumsum(self.raw_len[old]) <= PIECE_BYTES // 2]
-        spans = lambda at, lens: np.repeat(at - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(int(lens.sum()))
         lens, raw_lens, hashes = self.len[old], self.raw_len[old], self.hash[old]
-        ids, raw = self.ids[spans(self.at[old], lens)], self.raw[spans(self.raw_at[old], raw_lens)]
+        ids, raw = self.ids[_spans(self.at[old], lens)], self.raw[_spans(self.raw_at[old], raw_lens)]
         self.clear()
         if len(old):
             self._enter(hashes, self._store(ids, lens), raw, raw_lens)
 
-    def _add(self, hashes, pieces: list[bytes]) -> np.ndarray:
+    def _add(self, hashes: np.ndarray, raw: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Numbers of new pieces that are kept for later texts."""
-        new = self._store(*self._library(pieces))
-        self._enter(hashes, new, np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        new = self._store(*self._library(raw, lens))
+        self._enter(hashes, new, raw, lens)
         return new
 
     def _enter(self, hashes: np.ndarray, new: np.ndarray, raw: np.ndarray, lens: np.ndarray) -> None:
@@ -116,18 +157,25 @@ class Encoder:
         self.raw[self.raw_used : self.raw_used + len(raw)] = raw
         self.hash[new], self.raw_len[new], self.raw_at[new] = hashes, lens, self.raw_used + np.cumsum(lens) - lens
         self.raw_used += len(raw)
-        self.slot[(self.hash[new] & np.uint64(_TABLE - 1)).astype(np.int64)] = new
-        self.index.update(zip(self.hash[new].tolist(), new.tolist()))
+        for slot, shift in ((self.slot, 0), (self.second, _SECOND)):
+            slot[(hashes >> np.uint64(shift) & np.uint64(_TABLE - 1)).astype(np.int64)] = new
+
+    def _known(self, slot: np.ndarray, h: np.ndarray, shift: int) -> np.ndarray:
+        """The piece of each hash that a table has, or 0."""
+        piece = slot[(h >> np.uint64(shift) & np.uint64(_TABLE - 1)).astype(np.int64)].astype(np.int64)
+        piece[self.hash[piece] != h] = 0
+        return piece
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each span of data is its piece, byte by byte."""
         size = ends - starts
         ok = (piece > 0) & (self.raw_len[piece] == size)
-        mine = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
-        kept = np.lib.stride_tricks.sliding_window_view(self.raw, 8)
+        # words of 8 bytes that begin at any byte
+        mine = np.ndarray(len(data), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+        kept = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
         at, j = np.flatnonzero(ok), 0
         while len(at):
-            differs = mine[starts[at] + j].view(np.uint64).ravel() ^ kept[self.raw_at[piece[at]] + j].view(np.uint64).ravel()
+            differs = mine[starts[at] + j] ^ kept[self.raw_at[piece[at]] + j]
             ok[at[(differs & FIRST_BYTES[np.minimum(size[at] - j, 8)]) != 0]] = False
             j += 8
             at = at[ok[at] & (size[at] > j)]
@@ -175,17 +223,17 @@ class Encoder:
             ends = np.r_[starts[1:], n]
             apart = odd[np.searchsorted(offs, starts, "right") - 1] | (ends - starts > LONG)
             h = span_hashes(data, starts, np.where(apart, starts, ends), folded=False)
-            piece = self.slot[(h & np.uint64(_TABLE - 1)).astype(np.int64)].astype(np.int64)
-            piece[self.hash[piece] != h] = 0
+            piece = self._known(self.slot, h, 0)
             miss = np.flatnonzero((piece == 0) & ~apart)
             raw, new_from = data.tobytes(), self.n
             if len(miss):
                 values, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                known = np.fromiter((self.index.get(v, 0) for v in values.tolist()), np.int64, len(values))
+                known = self._known(self.second, values, _SECOND)
                 new = np.flatnonzero(known == 0)
                 for a in range(0, len(new), 20_000):
                     part = new[a : a + 20_000]
-                    known[part] = self._add(values[part], [raw[starts[i] : ends[i]] for i in miss[first[part]]])
+                    at = miss[first[part]]
+                    known[part] = self._add(values[part], data[_spans(starts[at], ends[at] - starts[at])], ends[at] - starts[at])
                 piece[miss] = known[back]
             state = self.n, self.used
             other = np.flatnonzero(apart | ~self._same(data, starts, ends, piece))  # the last are pieces of equal hash
@@ -223,27 +271,35 @@ def compress(ids: np.ndarray, base: int, gain: float = GAIN) -> tuple[np.ndarray
     rules: list[np.ndarray] = []
     lengths = np.ones(base, np.int64)
     bits = np.uint32((1 << 18) - 1)
+    stands = np.zeros(int(bits) + 1, np.uint64)
     before = np.inf
     while len(seq) >= 2 and len(seq) <= (1 - gain) * before:
         before = len(seq)
         bucket = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA6B)))
-        bucket = (bucket ^ (bucket >> np.uint32(15))) & bits
+        bucket = ((bucket ^ (bucket >> np.uint32(15))) & bits).astype(np.intp)
         counts = np.bincount(bucket, minlength=int(bits) + 1)
         least = max(LEAST, int(np.partition(counts, -RULES_A_ROUND)[-RULES_A_ROUND]))
         at = np.flatnonzero((counts >= least)[bucket])
         if not len(at):
             break
-        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
-        pairs, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        # one pair of each bucket is counted by it; only the others are sorted
+        key, code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64), bucket[at]
+        stands[code] = key
+        other = np.flatnonzero(stands[code] != key)
+        rest, back = np.unique(key[other], return_inverse=True)
+        code[other] = len(stands) + back
+        pairs = np.r_[stands, rest]
+        n = np.bincount(code, minlength=len(pairs))
         chosen = np.flatnonzero(n >= LEAST)
         if len(chosen) > RULES_A_ROUND:
-            chosen = np.sort(chosen[np.lexsort((pairs[chosen], -n[chosen]))[:RULES_A_ROUND]])
+            chosen = chosen[np.lexsort((pairs[chosen], -n[chosen]))[:RULES_A_ROUND]]
         if not len(chosen):
             break
+        chosen = chosen[np.argsort(pairs[chosen])]
         number = np.full(len(pairs), -1, np.int64)
         number[chosen] = np.arange(len(chosen))
-        hit = number[back] >= 0
-        at, name = at[hit], number[back][hit]
+        name = number[code]
+        at, name = at[name >= 0], name[name >= 0]
         # of matches that overlap, every other one from the left is replaced
         run = np.r_[True, np.diff(at) > 1]
         start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -265,10 +321,12 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.nd
     at = np.r_[0, np.cumsum(np.r_[np.ones(base, np.int64), lengths])]
     flat = np.zeros(int(at[-1]), np.uint32)
     flat[:base] = np.arange(base)
-    for i, (a, b) in enumerate(rules.tolist(), base):
-        mid = at[i] + at[a + 1] - at[a]
-        flat[at[i] : mid] = flat[at[a] : at[a + 1]]
-        flat[mid : at[i + 1]] = flat[at[b] : at[b + 1]]
+    i, top = 0, rules.max(axis=1) if len(rules) else np.zeros(0, np.uint32)
+    while i < len(rules):  # rules of one round stand for symbols of earlier rounds only
+        later = np.flatnonzero(top[i:] >= base + i)
+        j = i + int(later[0]) if len(later) else len(rules)
+        flat[at[base + i] : at[base + j]] = expand(rules[i:j].ravel(), flat, at)
+        i = j
     return flat, at
 
 

@@ -312,6 +312,34 @@ def test_token_files(spark, rows, tmp_path):
     assert token_files.tokens_of(spark, out, 4) == [lib.encode(extra[2][1], add_special_tokens=False).ids + [0]]
 
 
+def test_new_pieces_go_to_the_tokenizer_as_they_stand(monkeypatch):
+    """Pieces led by white space stand there one after another, without a special token after each; ids are those of the whole text."""
+    import numpy as np
+
+    class Spy:
+        def __init__(self, lib):
+            self.lib, self.texts = lib, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.lib.encode_batch_fast(texts, **options)
+
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdeñé日'-.7") for _ in range(r.randint(1, 9))) for _ in range(300)) + r.choice(["", " ", "\n\n", " \t"]) for _ in range(20)]
+    texts += ["", " ", "  a\n\n b", "x<|endoftext|> y", "wide\u3000space here"]
+    data = [t.encode() for t in texts]
+    for size in (token_files._TABLE, 16):  # a table so small that most pieces lose both their places
+        monkeypatch.setattr(token_files, "_TABLE", size)
+        enc = token_files.Encoder(token_files.tokenizer_path())
+        lib, enc.lib = enc.lib, Spy(enc.lib)
+        want = [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        for _ in range(2):
+            ids, lens = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(list(map(len, data)))])
+            assert ids.tolist() == sum(want, []) and lens.tolist() == list(map(len, want))
+        led = [t for t in enc.lib.texts if t[:1].isspace()]
+        assert sum(t.count(" ") for t in led) > 3000 and not any("<|endoftext|>" in t for t in led)
+
+
 def test_grammar_round_trip():
     import numpy as np
 
