@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, small, span_hashes, word_spans
+from .common import Scratch, packed, slices, small, span_hashes, word_spans
 from .spans import row_key
 from .toxicity import _SPLIT, fold
 
@@ -40,6 +40,8 @@ WIDTH, STEP, RANK, ITEMS, SHORTEST, SIGNATURE = 64, 32, 64, 4000, 6, 1024
 COSINE, HELD, COVER, PIECE, ANSWER, STOP, WEIGHING = 0.1, 0.3, 0.7, 0.5, 0.5, 0.2, 0.5
 #: Columns of the random matrix beyond the rank.
 OVERSAMPLE = 16
+#: What a task makes at a time: rows of table for so many words, pairs of passage and item, signatures of half passages, rows of a result.
+HITS, PAIRS, HALVES, ROWS = 1 << 14, 1 << 18, 4096, 4096
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +102,20 @@ class _Passages:
         out[:-1] += np.where(self.last[:-1, None], 0, out[1:])
         return out
 
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        """Of each passage, the weighted sum of its terms' rows of table."""
+        out = np.zeros((int(self.base[-1]) + 1, table.shape[1]), table.dtype)
+        bounds, a = np.r_[self.new, len(self.term)], 0
+        while a < len(self.new):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + HITS, "right")) - 1)
+            some = slice(bounds[a], bounds[b])
+            x = table[self.term[some]]
+            x *= self.weight[some, None].astype(table.dtype)
+            out[self.rows[a:b]] = np.add.reduceat(x, self.new[a:b] - bounds[a], axis=0)
+            a = b
+        out[:-1] += np.where(self.last[:-1, None], 0, out[1:])
+        return out
+
     def norms(self) -> np.ndarray:
         return np.sqrt(self.sums((self.weight**2)[:, None])[:, 0])
 
@@ -114,24 +130,34 @@ def _sketch(shared):
                 if not len(p.term):
                     continue
                 norm = np.maximum(p.norms(), 1e-9)[:, None].astype(np.float32)
-                y = p.sums(omega[p.term] * p.weight[:, None].astype(np.float32)) / norm**2
+                y = p.vectors(omega) / norm**2
                 back = y.copy()  # what every hit of a half passage gets: from its passage and the one before
                 back[1:] += np.where(p.last[:-1, None], 0, y[:-1])
                 order = np.argsort(p.term, kind="stable")
-                t = p.term[order]
-                new = np.flatnonzero(np.r_[True, np.diff(t) > 0])
-                w[t[new]] += np.add.reduceat(back[p.block[order]] * p.weight[order, None].astype(np.float32), new, axis=0)
-        rows = np.flatnonzero(np.abs(w).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * w.shape[1]), pa.array(w[rows].ravel()))], names=["term", "y"])
+                for a in range(0, len(order), HITS):
+                    some = order[a : a + HITS]
+                    t = p.term[some]
+                    new = np.flatnonzero(np.r_[True, np.diff(t) > 0])
+                    x = back[p.block[some]]
+                    x *= p.weight[some, None].astype(np.float32)
+                    w[t[new]] += np.add.reduceat(x, new, axis=0)
+        rows = np.flatnonzero(w.any(axis=1))
+        for a in range(0, len(rows), ROWS):
+            some = rows[a : a + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * w.shape[1]), pa.array(w[some].ravel()))], names=["term", "y"])
 
     return run
 
 
 def _signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """For each row, the set of its word hashes as SIGNATURE bits."""
-    bits = np.zeros((rows, SIGNATURE), bool)
-    bits[row, (h >> np.uint64(20)).astype(np.int64) % SIGNATURE] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    """For each row, the set of its word hashes as SIGNATURE bits. Rows ascend."""
+    out = np.zeros((rows, SIGNATURE // 64), np.uint64)
+    for a in range(0, rows, HALVES):
+        lo, hi = np.searchsorted(row, (a, a + HALVES))
+        bits = np.zeros((min(HALVES, rows - a), SIGNATURE), bool)
+        bits[row[lo:hi] - a, (h[lo:hi] >> np.uint64(20)).astype(np.int64) % SIGNATURE] = True
+        out[a : a + HALVES] = np.packbits(bits, axis=1).view(np.uint64)
+    return out
 
 
 def common_length(masks: dict, m: int, words) -> int:
@@ -204,10 +230,11 @@ def _confirmed(shared):
         least = np.array([int(np.ceil((COVER if x.total == len(x.words) else PIECE) * len(x.words))) for x in items])
         spare = np.array([len(x.words) for x in items]) - least
         light = np.array([np.mean(idf[np.searchsorted(vocab, np.array(x.words, np.uint64))] > 0) < WEIGHING for x in items])
+        at_once = max(1, PAIRS // len(items))
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist()
-            out = []
+            ids, keys = batch.column("doc_id"), batch.column("k")
             for a, _, data, offs in slices(batch.column("text")):
+                out = []
                 h, first = words_of(data, offs)
                 p = _Passages(vocab, idf, h, first)
                 if not len(p.term) and not light.any():
@@ -217,20 +244,20 @@ def _confirmed(shared):
                 near = _signatures(h, p.base[doc] + (np.arange(len(h)) - first[doc]) // STEP, int(p.base[-1]) + 1)
                 near = np.pad(near, ((1, 2), (0, 0)))
                 near = near[:-3] | near[1:-2] | near[2:-1] | near[3:]  # of a half passage, the one before and the two after
-                z = p.sums(basis[p.term] * p.weight[:, None].astype(np.float32))
+                z = p.vectors(basis)
                 length = np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-9)
                 z /= length[:, None]
                 rows = np.arange(int(p.base[-1])) if light.any() else np.flatnonzero(size > 0)
                 best: dict = {}
-                for r in range(0, len(rows), 4096):
-                    some = rows[r : r + 4096]
+                for r in range(0, len(rows), at_once):
+                    some = rows[r : r + at_once]
                     cos = z[some] @ vectors.T
                     # what else a passage holds dilutes the cosine; its part along an item that it covers stays
                     along = cos * length[some][:, None] >= HELD * latent[None, :]
                     gate = (cos >= COSINE) & along & (size[some][:, None] > 0) & (size[some][:, None] >= 0.4 * norms[None, :])
                     i, j = np.nonzero(gate | light[None, :])
                     # every word of an item that is missing takes one from the common subsequence
-                    few = np.concatenate([np.bitwise_count(item_bits[j[c : c + 65536]] & ~near[some[i[c : c + 65536]]]).sum(axis=1) <= spare[j[c : c + 65536]] for c in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+                    few = np.concatenate([np.bitwise_count(item_bits[j[c : c + HITS]] & ~near[some[i[c : c + HITS]]]).sum(axis=1) <= spare[j[c : c + HITS]] for c in range(0, len(i), HITS)] or [np.zeros(0, bool)])
                     i, j = i[few], j[few]
                     doc = np.searchsorted(p.base, some[i], "right") - 1
                     for b, q, d, c in zip(some[i].tolist(), j.tolist(), doc.tolist(), cos[i, j].tolist()):
@@ -247,10 +274,12 @@ def _confirmed(shared):
                 for (d, _), pieces in best.items():
                     one, (n, tail, c, lo, hi) = items[next(iter(pieces))], zip(*pieces.values())
                     if sum(n) >= COVER * one.total and sum(tail) >= ANSWER * one.answer:
-                        out.append((ids[a + d], keys[a + d], one.item_id, sum(n) / one.total, max(c), min(lo), max(hi)))
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "k", "item_id", "covered", "cosine", "first_word", "last_word"])
+                        out.append((ids[a + d].as_py(), keys[a + d].as_py(), one.item_id, sum(n) / one.total, max(c), min(lo), max(hi)))
+                if not out:
+                    continue
+                cols = list(zip(*out))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "k", "item_id", "covered", "cosine", "first_word", "last_word"])
 
     return run
 
@@ -274,7 +303,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
             continue
         vocab = np.unique(np.concatenate([np.array(x.words, np.uint64) for x in items]))
         shared = spark.sparkContext.broadcast(vocab)
-        counted = only.mapInArrow(_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().set_index("term").n
+        counted = packed(only.mapInArrow(_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), len(vocab) * 16).toPandas().set_index("term").n
         total = int(counted.get(-1, 0))
         n = np.zeros(len(vocab))
         n[counted.index[counted.index >= 0]] = counted[counted.index >= 0]
@@ -283,7 +312,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
         width = omega.shape[1]
         shared = spark.sparkContext.broadcast((vocab, idf, omega))
         sums = only.mapInArrow(_sketch(shared), "term long, y array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("y")[j]) for j in range(width)]).alias("y"))
-        got = sums.toPandas()  # one row for each benchmark word of the block
+        got = packed(sums, len(vocab) * width * 8).toPandas()  # one row for each benchmark word of the block
         w = np.zeros((len(vocab), width))
         if len(got):
             w[got.term.to_numpy()] = np.stack(got.y.to_numpy())

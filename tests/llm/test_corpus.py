@@ -527,6 +527,35 @@ def test_decontaminate_recall(spark, edits):
     assert len(found & want) >= 0.9 * len(want) > 60 and all(i % 40 == j for i, j in found)
 
 
+def test_decontaminate_takes_bounded_memory():
+    """Half a million short words of the benchmark in one run of texts take no more memory than long ones; sums are the plain ones."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    r, words = np.random.default_rng(4), np.array([chr(97 + i) for i in range(26)])
+    texts = [" ".join(r.choice(words, 50_000)) for _ in range(10)] + [""]
+    raw = [(i, " ".join(r.choice(words, 8)) + f" only item {i} has") for i in range(30)]
+    items = decontaminate._pieces_of(raw)
+    vocab = np.unique(np.concatenate([np.array(x.words, np.uint64) for x in items]))
+    idf, omega = r.uniform(0.5, 2, len(vocab)), r.standard_normal((len(vocab), 80)).astype(np.float32)
+    vectors = r.standard_normal((len(items), 64)).astype(np.float32)
+    basis = np.linalg.qr(r.standard_normal((len(vocab), 64)))[0].astype(np.float32)[:, :64] if len(vocab) >= 64 else omega[:, :64]
+    rest = (items, vectors, np.ones(len(items)), np.full(len(items), 1e9))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11), pa.int64()), pa.array([b"k"] * 11), pa.array(texts)], names=["doc_id", "k", "text"])
+    for step, shared in ((decontaminate._sketch, (vocab, idf, omega)), (decontaminate._confirmed, (vocab, idf, basis, *rest))):
+        tracemalloc.start()
+        list(step(SimpleNamespace(value=shared))(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 120e6, (step, peak)
+    data = [t[:5000].encode() for t in texts]
+    p = decontaminate._Passages(vocab, idf, *decontaminate.words_of(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(list(map(len, data)))]))
+    assert np.allclose(p.vectors(omega), p.sums(omega[p.term] * p.weight[:, None].astype(np.float32)), atol=1e-3)
+
+
 def test_latent_space():
     import numpy as np
 
